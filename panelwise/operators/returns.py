@@ -8,16 +8,24 @@ from panelwise.functions.exprs import change
 
 
 def daily_returns(bars: DataFrame, key: str = "ticker", price: str = "close") -> DataFrame:
-    """(date, key, price, r); r is NULL on a series' first row."""
+    """(date, key, price, prev_date, r); r is NULL on a series' first row."""
     w = Window.partitionBy(key).orderBy("date")
     px = bars.filter(F.col(price).isNotNull())
-    return px.select("date", key, price, change(price, F.lag(price).over(w)).alias("r"))
+    return px.select(
+        "date", key, price, F.lag("date").over(w).alias("prev_date"), change(price, F.lag(price).over(w)).alias("r")
+    )
 
 
 def benchmark_prices(bars: DataFrame, ticker: str) -> DataFrame:
-    """(date, price): the benchmark close or, on days of a panel without it, the cross-sectional mean close."""
+    """(date, price): the benchmark close; a panel without the benchmark gives the cross-sectional mean close.
+
+    One partial aggregate by day; whether the benchmark exists is then a one-row aggregate over the days.
+    """
     own = F.max(F.when(F.col("ticker") == ticker, F.col("close")))
-    return bars.groupBy("date").agg(own.alias("own"), F.avg("close").alias("mean_close"))
+    daily = bars.groupBy("date").agg(own.alias("own"), F.avg("close").alias("mean_close"))
+    exists = daily.agg(F.coalesce(F.bool_or(F.col("own").isNotNull()), F.lit(False)).alias("exists"))
+    price = F.when(F.col("exists"), F.col("own")).otherwise(F.col("mean_close"))
+    return daily.join(F.broadcast(exists)).select("date", price.alias("price")).filter(F.col("price").isNotNull())
 
 
 def benchmark_returns(bars: DataFrame, ticker: str) -> DataFrame:

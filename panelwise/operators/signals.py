@@ -49,8 +49,11 @@ class Signal:
     needs_benchmark: bool = False
 
 
-def momentum(lookback: int = 252, min_periods: int = 200, name: str = "momentum") -> Signal:
-    days = lookback + BUFFER_DAYS
+def momentum(
+    lookback: int = 252, min_periods: int = 200, name: str = "momentum", read_days: int | None = None
+) -> Signal:
+    """``read_days`` overrides the calendar window, for models that share a longer read."""
+    days = read_days or lookback + BUFFER_DAYS
     return Signal(name, ((lookback, days), (None, days)), lambda: _span_return(lookback, days, min_periods))
 
 

@@ -72,9 +72,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "rets": (
         ("bars",),
-        "SELECT date, ticker, close, close / NULLIF(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r FROM bars",
+        "SELECT date, ticker, close, lag(date) OVER (PARTITION BY ticker ORDER BY date) AS prev_date, "
+        "close / NULLIF(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r FROM bars",
     ),
     "bench": (("rets",), "SELECT date, close, r FROM rets WHERE ticker = 'Brand#1' AND r IS NOT NULL"),
+    "macro_at": (
+        ("macro_w", "rebal"),
+        "SELECT r.as_of, " + ", ".join(
+            f"(SELECT arg_max(m.{k}, m.date) FROM macro_w m WHERE m.date <= r.as_of AND m.{k} IS NOT NULL) AS {k}"
+            for k in ["VIX", "T10Y2Y", *MACRO_FROM_PRIORITY, "CPI", "UNRATE"]
+        ) + " FROM rebal r",
+    ),
     # Last close before each decision date.
     "px": (
         ("bars", "members", "rebal"),
