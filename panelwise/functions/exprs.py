@@ -41,3 +41,9 @@ def sig(x: C, digits: int = 8) -> Column:
 
 def num(x: C, digits: int = 6) -> Column:
     return F.round(_c(x).cast("double"), digits)
+
+
+def literal_rows(spark, columns: list[str], rows: list[tuple]):
+    """Configuration rows as constants of the plan: no Python serialization and no job to read them."""
+    cells = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, r, strict=True)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*cells)))

@@ -10,7 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelwise.functions.exprs import ratio
+from panelwise.functions.exprs import literal_rows, ratio
 
 
 def _lit_map(m: Mapping[str, float | str]) -> Column:
@@ -34,7 +34,7 @@ def selection_table(
         if sum(weights.values()) == 0:
             raise ValueError(f"regime {regime}: total weight is 0")
         rows += [(regime, m, float(w)) for m, w in weights.items()]
-    return spark.createDataFrame(rows, "regime string, model string, weight double")
+    return literal_rows(spark, ["regime", "model", "weight"], rows)
 
 
 def selector_from_config(spark: SparkSession, config: Mapping) -> DataFrame:

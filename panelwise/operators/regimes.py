@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwise.functions.exprs import C, _c, change, ratio
+from panelwise.functions.exprs import C, _c, change, literal_rows, ratio
 from panelwise.operators import asof
 
 # Names under which a macro series may be asked for -> series id.
@@ -68,7 +68,7 @@ def macro_wide(macro: DataFrame, indicators: Sequence[str]) -> DataFrame:
 
 def macro_as_of(macro: DataFrame, days: Column, names: Mapping[str, str]) -> DataFrame:
     """(as_of, one column per name): latest value on or before each date."""
-    keys = macro.sparkSession.createDataFrame([(v,) for v in sorted(set(names.values()))], "indicator string")
+    keys = literal_rows(macro.sparkSession, ["indicator"], [(v,) for v in sorted(set(names.values()))])
     seen = asof.as_of(
         macro.filter(F.col("indicator").isin(sorted(set(names.values())))),
         asof.markers(keys, days), ["indicator"], ["value"], inclusive=True,

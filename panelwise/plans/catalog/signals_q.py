@@ -21,6 +21,11 @@ def month_marks(spark: SparkSession, root: str) -> DataFrame:
     return asof.markers(members_from_orders(spark, root), schedule_days(START, END, "monthly"))
 
 
+def momentum_scores_wide(spark: SparkSession, root: str) -> DataFrame:
+    wide = S.score(bars_from_orders(spark, root), month_marks(spark, root), [S.momentum(LOOKBACK, MIN_PERIODS, "score")])
+    return wide.select("as_of", "ticker", "score")
+
+
 def momentum_weights(spark: SparkSession, root: str, min_periods: int = MIN_PERIODS, top_n: int = 5) -> DataFrame:
     bars = bars_from_orders(spark, root)
     wide = S.score(bars, month_marks(spark, root), [S.momentum(LOOKBACK, min_periods)])
