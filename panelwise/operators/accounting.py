@@ -113,7 +113,11 @@ def daily_value(
     in_range = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     daily = idle.unionByName(port).unionByName(charge.filter(in_range)).groupBy("strategy_id", "date").agg(F.sum("r").alias("r"))
     by = Window.partitionBy("strategy_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return daily.withColumn("equity", initial * F.product(1.0 + F.col("r")).over(by))
+    # The log curve stays finite where a long, volatile product leaves the range of a double.
+    return daily.withColumns({
+        "equity": initial * F.product(1.0 + F.col("r")).over(by),
+        "log_equity": F.log(F.lit(initial)) + F.sum(F.log1p("r")).over(by),
+    })
 
 
 def buy_and_hold(prices: DataFrame, capital: float = 100_000.0) -> DataFrame:

@@ -202,8 +202,54 @@ def yearly_share(labels: DataFrame, regimes: Sequence[str]) -> DataFrame:
 
 
 def returns_by_regime(labels: DataFrame) -> DataFrame:
+    """Benchmark return statistics of the days spent in each regime."""
     w = Window.partitionBy(F.lit(0)).orderBy("date")
     r = labels.withColumn("r", change("price", F.lag("price").over(w)))
+    year = F.lit(252.0)
     return r.groupBy("regime").agg(
-        F.avg("r").alias("mean_daily"), F.stddev_samp("r").alias("std_daily"), F.count("r").alias("n")
+        F.avg("r").alias("mean_daily"), F.stddev_samp("r").alias("std_daily"), F.count("r").alias("n"),
+        (F.product(1.0 + F.col("r")) - 1.0).alias("total_return"),
+        ratio(F.avg("r") * year, F.stddev_samp("r") * F.sqrt(year)).alias("sharpe"),
     )
+
+
+def current_summary(labels: DataFrame) -> DataFrame:
+    """Latest label with the price's distance from its mean in percent; one row."""
+    last = labels.agg(F.max_by(F.struct("date", "regime", "trend", "vol", "price", "ma", "vix"), "date").alias("s"))
+    return last.select("s.*").withColumn("price_vs_ma_pct", change("price", "ma") * 100.0)
+
+
+def history_stats(history: DataFrame, lookback_rows: int = 252) -> DataFrame:
+    """Counts and shares of the last ``lookback_rows`` daily regimes; daily rows are bounded by the calendar."""
+    recent = history.orderBy(F.col("date").desc()).limit(lookback_rows)
+    return distribution(recent)
+
+
+def severity(regime: C) -> Column:
+    m = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
+    return F.coalesce(F.try_element_at(m, _c(regime)), F.lit(0))
+
+
+def regime_alerts(daily: DataFrame) -> DataFrame:
+    """(date, regime, vix, spread) -> one alert row per change, with its level."""
+    w = Window.partitionBy(F.lit(0)).orderBy("date")
+    d = daily.withColumn("previous_regime", F.lag("regime").over(w)).filter(
+        F.col("previous_regime").isNotNull() & (F.col("previous_regime") != F.col("regime"))
+    )
+    worse = severity("regime") > severity("previous_regime")
+    level = (
+        F.when(worse & F.col("regime").isin("HIGH_VOL", "RECESSION_WARNING"), "CRITICAL")
+        .when(worse & (F.col("regime") == "ELEVATED_VOL"), "WARNING")
+        .otherwise("INFO")
+    )
+    return d.withColumns({"level": level, "category": F.lit("REGIME")})
+
+
+def daily_macro_regime(macro: DataFrame, variant: str = "monitor") -> DataFrame:
+    """(date, vix, spread, regime) on every macro date, both series carried forward."""
+    wide = macro_wide(macro.filter(F.col("indicator").isin("VIX", "T10Y2Y")), ["VIX", "T10Y2Y"])
+    w = Window.partitionBy(F.lit(0)).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    d = wide.select(
+        "date", F.last("VIX", ignorenulls=True).over(w).alias("vix"), F.last("T10Y2Y", ignorenulls=True).over(w).alias("spread")
+    )
+    return d.withColumn("regime", macro_regime("vix", "spread", variant))
