@@ -20,7 +20,7 @@ def with_previous(bars: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("date")
     return bars.filter(F.col("close").isNotNull()).withColumns({
         "prev_close": F.lag("close").over(w), "prev_date": F.lag("date").over(w),
-        "age": F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("date").desc())),
+        "age": F.count("*").over(Window.partitionBy("ticker")) - F.row_number().over(w) + 1,
     }).withColumn("r", change("close", "prev_close"))
 
 

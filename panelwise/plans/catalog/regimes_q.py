@@ -66,8 +66,8 @@ LEVELS = {"RISK_ON": 0, "ELEVATED_VOL": 1, "HIGH_VOL": 2, "RECESSION_WARNING": 3
 SEV = "CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEVELS.items()) + " END"
 ALERT_SQL = dict(
     f=FILL,
-    dm=f"SELECT *, CASE WHEN s < 0 THEN 'RECESSION_WARNING' WHEN v IS NULL THEN 'UNKNOWN' {BYVOL} AS regime FROM f",
-    ch="SELECT * FROM (SELECT *, lag(regime) OVER (ORDER BY date) AS prev FROM dm) WHERE prev <> regime",
+    dmr=f"SELECT *, CASE WHEN s < 0 THEN 'RECESSION_WARNING' WHEN v IS NULL THEN 'UNKNOWN' {BYVOL} AS regime FROM f",
+    ch="SELECT * FROM (SELECT *, lag(regime) OVER (ORDER BY date) AS prev FROM dmr) WHERE prev <> regime",
     al=f"SELECT date, prev AS previous_regime, regime, CASE WHEN {SEV.format(x='regime')} > {SEV.format(x='prev')} AND regime IN ('HIGH_VOL', 'RECESSION_WARNING') THEN 'CRITICAL' "
     f"WHEN {SEV.format(x='regime')} > {SEV.format(x='prev')} AND regime = 'ELEVATED_VOL' THEN 'WARNING' ELSE 'INFO' END AS level FROM ch",
 )
