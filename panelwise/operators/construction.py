@@ -77,7 +77,11 @@ def paired(
     cal = F.broadcast(calendar.select("as_of", "next_as_of", "seq"))
     g = F.col("growth") if carry_growth else F.lit(1.0)
     w = weights.join(cal, "as_of").withColumn("_held", F.col("weight") * F.coalesce(g, F.lit(0.0)))
-    zero = F.lit(0.0)
+    zero, first = F.lit(0.0), F.col("seq") == 0
+    if "run_start" in weights.columns:
+        # Runs over parts of the calendar: each starts at its own date and ends by its own.
+        first = F.col("as_of") == F.col("run_start")
+        w = w.withColumn("next_as_of", F.when(F.col("next_as_of") <= F.col("run_end"), F.col("next_as_of")))
 
     def row(at, prev, nxt, grown):
         return F.struct(at.alias("at"), F.col("ticker").alias("t"), prev.alias("prev_w"), nxt.alias("next_w"), grown.alias("grown"))
@@ -87,7 +91,7 @@ def paired(
         row(F.col("next_as_of"), F.col("weight"), zero, F.col("_held")),
         # The portfolio starts in cash: one such row per portfolio, spread over its first-date rows.
         F.when(
-            (F.col("seq") == 0) & F.lit(start_in_cash),
+            first & F.lit(start_in_cash),
             F.struct(
                 F.col("as_of").alias("at"), F.lit(CASH).alias("t"), F.col("weight").alias("prev_w"),
                 zero.alias("next_w"), F.col("weight").alias("grown"),
