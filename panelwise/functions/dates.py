@@ -60,16 +60,26 @@ def is_rebalance_day(d: C, schedule: str) -> Column:
     raise ValueError(f"Unknown schedule: {schedule}")
 
 
+# Rebalance-day tests as lambda text over ``d``; the same rules as ``is_rebalance_day``.
+_RULES = {
+    "daily": "weekday(d) < 5",
+    "weekly": "weekday(d) = 4",
+    "monthly": "d = date_sub(last_day(d), greatest(weekday(last_day(d)) - 4, 0))",
+    "month_end": "d = last_day(d)",
+    "quarter_end": "d = last_day(d) and month(d) % 3 = 0",
+}
+
+
 def schedule_days(start: str, end: str, schedule: str) -> Column:
     """array<date> of the rebalance days in [start, end]; a constant, folded by the optimizer."""
-    span = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    return F.filter(span, lambda d: is_rebalance_day(d, schedule))
+    if schedule not in _RULES:
+        raise ValueError(f"Unknown schedule: {schedule}")
+    return F.expr(f"filter(sequence(date'{start}', date'{end}'), d -> {_RULES[schedule]})")
 
 
 def every_n_bdays(start: str, end: str, n: int) -> Column:
-    span = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
-    days = F.filter(span, lambda d: F.weekday(d) < 5)
-    return F.filter(days, lambda d, i: i % n == 0)
+    days = f"filter(sequence(date'{start}', date'{end}'), d -> weekday(d) < 5)"
+    return F.expr(f"filter({days}, (d, i) -> i % {int(n)} = 0)")
 
 
 def schedule_table(spark: SparkSession, days: Column) -> DataFrame:

@@ -6,6 +6,8 @@ They are safe under ANSI mode: a zero divisor yields NULL instead of an error.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 C = str | Column
@@ -43,7 +45,30 @@ def num(x: C, digits: int = 6) -> Column:
     return F.round(_c(x).cast("double"), digits)
 
 
+def literal(v) -> str:
+    """SQL text of a constant."""
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, float):
+        return f"double('{v!r}')"
+    if isinstance(v, int):
+        return str(v)
+    if isinstance(v, dt.date):
+        return f"date'{v}'"
+    text = str(v).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
+def struct_array(columns: list[str], rows: list[tuple]) -> str:
+    """SQL text of a constant array of structs. One expression string instead of one call per cell."""
+    cells = ", ".join(
+        "struct(" + ", ".join(f"{literal(v)} as {c}" for c, v in zip(columns, r, strict=True)) + ")" for r in rows
+    )
+    return f"array({cells})"
+
+
 def literal_rows(spark, columns: list[str], rows: list[tuple]):
     """Configuration rows as constants of the plan: no Python serialization and no job to read them."""
-    cells = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, r, strict=True)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*cells)))
+    return spark.range(1).select(F.expr(f"inline({struct_array(columns, rows)})"))

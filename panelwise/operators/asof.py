@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwise.functions.exprs import C, _c, change
 
 
+# Number of spans from which a pass over the panel is limited by computation rather than by data.
+WIDE = 8
+
+
 def read_prices(bars: DataFrame, as_of: C, lookback_days: int | None = None) -> DataFrame:
     """Bars strictly before ``as_of``; lookback in calendar days. Literal dates reach the Parquet filter."""
     at = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
@@ -101,6 +105,10 @@ def observe(
     s = px.withColumn("key", F.unix_date("date") * 2 + 1).unionByName(
         marks.select("ticker", "as_of", (F.unix_date("as_of") * 2).alias("key")), allowMissingColumns=True
     )
+    spans = sorted(set(spans), key=str)
+    if len(spans) > WIDE:
+        # Many frames make the stage CPU-bound, while partition coalescing only looks at bytes.
+        s = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ticker")
     by = Window.partitionBy("ticker").orderBy("key")
     over = "over (partition by ticker order by key)"
     run = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -131,7 +139,6 @@ def observe(
         "oldest": F.first("state", ignorenulls=True).over(run),
         "next": F.expr(f"lead(state) ignore nulls {over}"),
     })
-    spans = sorted(set(spans), key=str)
     lags = {f"lag_{n}": F.expr(f"lag(state, {n}) ignore nulls {over}") for n in {r for r, _ in spans if r}}
     starts = {
         f"start_{n}": F.last("next", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, -(2 * n + 1)))

@@ -99,6 +99,9 @@ def paired(
         ),
     )
     flat = w.select("strategy_id", F.inline(F.array_compact(rows))).filter(F.col("at").isNotNull())
+    # Shuffled by portfolio, which is bounded by its positions: the sums by ticker here and by portfolio in
+    # the callers then need no further exchange.
+    flat = flat.repartition("strategy_id", "at")
     out = flat.groupBy("strategy_id", F.col("at").alias("as_of"), F.col("t").alias("ticker")).agg(
         F.sum("prev_w").alias("prev_w"), F.sum("next_w").alias("next_w"), F.sum("grown").alias("grown")
     )

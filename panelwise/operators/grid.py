@@ -75,11 +75,7 @@ class ParamSet:
             return [S.momentum(p["lookback_days"], n, name)]
         if self.alpha == "momentum_acceleration":
             # The grid also holds sets whose history test is shorter than the short lookback.
-            short, long = p["short_lookback_days"], p["long_lookback_days"]
-            days = long + S.BUFFER_DAYS
-            return [S.Signal(
-                name, ((short, days), (long, days), (None, days)),
-                lambda: S._span_return(short, days, n) - S._span_return(long, days, n))]
+            return [S.acceleration(p["short_lookback_days"], p["long_lookback_days"], n, name)]
         if self.alpha == "vol_adjusted_momentum":
             return [S.vol_adjusted_momentum(p["lookback_days"], n, p["vol_floor"], name)]
         if self.alpha == "residual_momentum":

@@ -7,45 +7,45 @@ when the history is too short.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from panelwise.functions.exprs import change, ratio
+from panelwise.functions.exprs import literal, ratio
 from panelwise.operators.asof import observe, span_name
 
 BUFFER_DAYS = 50
 YEAR = 252
 
 
-def _n(first: Column) -> Column:
-    return F.col("last")["seq"] - first["seq"] + 1
-
-
-def _span_return(rows: int, days: int, min_periods: int) -> Column:
+def _span_return(rows: int, days: int, min_periods: int) -> str:
     """p_last / p_first - 1 over the last ``rows`` closes; the history test counts the whole read window."""
-    window, first = F.col(span_name(None, days)), F.col(span_name(rows, days))
-    ok = (_n(window) >= min_periods) & (_n(first) >= 2)
-    return F.when(ok, change(F.col("last")["close"], first["close"]))
+    window, first = span_name(None, days), span_name(rows, days)
+    return (
+        f"case when last.seq - {window}.seq + 1 >= {min_periods} and last.seq - {first}.seq >= 1 "
+        f"then try_divide(last.close, {first}.close) - 1 end"
+    )
 
 
-def _span_volatility(rows: int, days: int, min_returns: int) -> Column:
+def _span_volatility(rows: int, days: int, min_returns: int) -> str:
     """Sample deviation of the returns inside the span, from running totals."""
-    first, last = F.col(span_name(rows, days)), F.col("last")
-    n = (last["n_r"] - first["n_r"]).cast("double")
-    s, ss = last["s_r"] - first["s_r"], last["s_rr"] - first["s_rr"]
-    var = F.greatest(ratio(ss - s * ratio(s, n), n - 1.0), F.lit(0.0))
-    return F.when(n >= min_returns, F.sqrt(var))
+    f = span_name(rows, days)
+    n, s, ss = f"(last.n_r - {f}.n_r)", f"(last.s_r - {f}.s_r)", f"(last.s_rr - {f}.s_rr)"
+    var = f"greatest(try_divide({ss} - {s} * try_divide({s}, {n}), {n} - 1), 0)"
+    return f"case when {n} >= {min_returns} then sqrt({var}) end"
 
 
 @dataclass(frozen=True)
 class Signal:
-    """A named score. ``spans`` feed ``observe``; ``expr`` is evaluated per (ticker, as_of)."""
+    """A named score. ``spans`` feed ``observe``; ``sql`` is evaluated per (ticker, as_of) on its states.
+
+    Text keeps wide grids cheap to build: one expression per score instead of a tree of calls.
+    """
 
     name: str
     spans: tuple[tuple[int | None, int | None], ...]
-    expr: Callable[[], Column]
+    sql: str
     needs_benchmark: bool = False
 
 
@@ -54,7 +54,16 @@ def momentum(
 ) -> Signal:
     """``read_days`` overrides the calendar window, for models that share a longer read."""
     days = read_days or lookback + BUFFER_DAYS
-    return Signal(name, ((lookback, days), (None, days)), lambda: _span_return(lookback, days, min_periods))
+    return Signal(name, ((lookback, days), (None, days)), _span_return(lookback, days, min_periods))
+
+
+def acceleration(short: int, long: int, min_periods: int, name: str) -> Signal:
+    """Short-window return less long-window return, without the parameter checks of the public model."""
+    days = long + BUFFER_DAYS
+    return Signal(
+        name, ((short, days), (long, days), (None, days)),
+        f"({_span_return(short, days, min_periods)}) - ({_span_return(long, days, min_periods)})",
+    )
 
 
 def momentum_acceleration(
@@ -66,24 +75,18 @@ def momentum_acceleration(
         raise ValueError("min_periods must reach the short lookback")
     if short < 20:
         raise ValueError("short lookback must be at least 20 days")
-    days = long + BUFFER_DAYS
-    return Signal(
-        name, ((short, days), (long, days), (None, days)),
-        lambda: _span_return(short, days, min_periods) - _span_return(long, days, min_periods),
-    )
+    return acceleration(short, long, min_periods, name)
 
 
 def vol_adjusted_momentum(
     lookback: int = 252, min_periods: int = 200, vol_floor: float = 0.01, name: str = "vol_adjusted_momentum"
 ) -> Signal:
     days = lookback + BUFFER_DAYS
-
-    def expr() -> Column:
-        vol = _span_volatility(lookback, days, 10) * F.sqrt(F.lit(float(YEAR)))
-        ret = _span_return(lookback, days, min_periods)
-        return F.when(vol.isNotNull(), ratio(ret, F.greatest(vol, F.lit(float(vol_floor)))))
-
-    return Signal(name, ((lookback, days), (None, days)), expr)
+    vol = f"({_span_volatility(lookback, days, 10)}) * sqrt({YEAR})"
+    ret = _span_return(lookback, days, min_periods)
+    # greatest() skips NULL, so an undefined volatility is tested first.
+    sql = f"case when ({vol}) is not null then try_divide({ret}, greatest({vol}, double('{vol_floor!r}'))) end"
+    return Signal(name, ((lookback, days), (None, days)), sql)
 
 
 def residual_momentum(
@@ -96,17 +99,11 @@ def residual_momentum(
     Returns pair up per ticker and date.
     """
     days = lookback + BUFFER_DAYS
-
-    def expr() -> Column:
-        a, b = F.col(span_name(None, days)), F.col("last")
-        n = (b["n_xy"] - a["n_xy"]).cast("double")
-        sx, sy = b["s_x"] - a["s_x"], b["s_y"] - a["s_y"]
-        sxx, sxy = b["s_xx"] - a["s_xx"], b["s_xy"] - a["s_xy"]
-        slope = ratio(n * sxy - sx * sy, n * sxx - sx * sx)
-        ok = (F.col("ticker") != benchmark) & (n >= min_periods)
-        return F.when(ok, sy - slope * sx)
-
-    return Signal(name, ((None, days),), expr, needs_benchmark=True)
+    a = span_name(None, days)
+    d = {k: f"(last.{k} - {a}.{k})" for k in ("n_xy", "s_x", "s_y", "s_xx", "s_xy")}
+    slope = f"try_divide({d['n_xy']} * {d['s_xy']} - {d['s_x']} * {d['s_y']}, {d['n_xy']} * {d['s_xx']} - {d['s_x']} * {d['s_x']})"
+    sql = f"case when ticker <> {literal(benchmark)} and {d['n_xy']} >= {min_periods} then {d['s_y']} - {slope} * {d['s_x']} end"
+    return Signal(name, ((None, days),), sql, needs_benchmark=True)
 
 
 def score(
@@ -115,7 +112,7 @@ def score(
     """One column per signal next to (ticker, as_of, price); a single pass over the panel."""
     use = benchmark_returns if any(s.needs_benchmark for s in signals) else None
     seen = observe(bars, marks, [sp for s in signals for sp in s.spans], use)
-    return seen.select("ticker", "as_of", F.col("last")["close"].alias("price"), *[s.expr().alias(s.name) for s in signals])
+    return seen.selectExpr("ticker", "as_of", "last.close as price", *[f"{s.sql} as {s.name}" for s in signals])
 
 
 def to_scores(wide: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -128,7 +125,7 @@ def trend_flag(bars: DataFrame, marks: DataFrame, ticker: str, ma_period: int) -
     """(as_of, bullish): last benchmark close above its mean over ``ma_period`` rows; short history is bullish."""
     seen = observe(bars.filter(F.col("ticker") == ticker), marks.filter(F.col("ticker") == ticker), [(ma_period, None)])
     first, last = F.col(span_name(ma_period, None)), F.col("last")
-    full = _n(first) >= ma_period
+    full = last["seq"] - first["seq"] + 1 >= ma_period
     mean = (last["s_close"] - first["s_close"] + first["close"]) / F.lit(float(ma_period))
     return seen.select("as_of", F.coalesce(F.when(full, last["close"] > mean), F.lit(True)).alias("bullish"))
 

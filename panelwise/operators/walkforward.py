@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwise.functions.exprs import change, ratio, sig
+from panelwise.functions.exprs import change, ratio, sig, struct_array
 
 
 @dataclass(frozen=True)
@@ -48,13 +48,8 @@ def windows(
 
 def window_array(spans: list[WindowSpan]) -> Column:
     """The windows as a constant array of structs, so that joining them to rows is an explode."""
-    return F.array(*[
-        F.struct(
-            F.lit(s.window_id).alias("window_id"), F.lit(s.train_start).alias("train_start"), F.lit(s.train_end).alias("train_end"),
-            F.lit(s.test_start).alias("test_start"), F.lit(s.test_end).alias("test_end"),
-        )
-        for s in spans
-    ])
+    fields = ["window_id", "train_start", "train_end", "test_start", "test_end"]
+    return F.expr(struct_array(fields, [tuple(getattr(s, f) for f in fields) for s in spans]))
 
 
 def slice_returns(curve: DataFrame, spans: list[WindowSpan]) -> DataFrame:

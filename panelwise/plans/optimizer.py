@@ -24,18 +24,16 @@ def grid_scores(
     bench = benchmark_returns(bars, benchmark) if any(x.needs_benchmark for x in signals) else None
     wide = accounting.forward_growth(S.score(bars, marks, signals, bench))
     names = {x.name for x in signals}
-    cells = F.array(*[
-        F.struct(
-            F.lit(p.param_id).alias("param_id"), F.col(f"p{p.param_id}").alias("s"),
-            (F.col(f"p{p.param_id}v") if f"p{p.param_id}v" in names else F.lit(None).cast("double")).alias("v"),
-        )
+    cells = ", ".join(
+        f"struct({p.param_id} as param_id, p{p.param_id} as s, "
+        f"{f'p{p.param_id}v' if f'p{p.param_id}v' in names else 'double(null)'} as v)"
         for p in sets
-    ])
-    return wide.select("as_of", "ticker", "price", "growth", F.inline(cells))
+    )
+    return wide.selectExpr("as_of", "ticker", "price", "growth", f"inline(array({cells}))")
 
 
 def grid_weights(
-    scores: DataFrame, params: DataFrame, universes: DataFrame, flags: DataFrame, safe: list[str], top_n: list[int] = TOP_N
+    scores: DataFrame, params: DataFrame, universes: DataFrame, flags: DataFrame | None, safe: list[str], top_n: list[int] = TOP_N
 ) -> DataFrame:
     """Weights of every configuration: (strategy_id, as_of, ticker, weight, growth).
 
@@ -43,7 +41,11 @@ def grid_weights(
     per set and per date and period, hence the broadcasts.
     """
     s = scores.join(F.broadcast(params.select("param_id", "alpha", "hurdle", "momentum_weight", "ma_period")), "param_id")
-    s = s.join(F.broadcast(flags), ["ma_period", "as_of"], "left").join(universes, "ticker")
+    if flags is None:
+        s = s.withColumn("bullish", F.lit(None).cast("boolean"))
+    else:
+        s = s.join(F.broadcast(flags), ["ma_period", "as_of"], "left")
+    s = s.join(universes, "ticker")
     group = Window.partitionBy("param_id", "universe_no", "as_of")
     is_safe = F.col("ticker").isin(safe)
     raw, alpha = F.col("s"), F.col("alpha")
@@ -80,7 +82,6 @@ def grid_weights(
 
 def trend_flags(bars: DataFrame, members: DataFrame, days: Column, benchmark: str, periods: list[int]) -> DataFrame:
     """(ma_period, as_of, bullish) of each period in use; one pass over the benchmark's bars."""
-    periods = sorted(periods) or [200]
     own = bars.filter(F.col("ticker") == benchmark)
     marks = asof.markers(members, days).filter(F.col("ticker") == benchmark)
     seen = asof.observe(own, marks, [(n, None) for n in periods])
@@ -101,6 +102,6 @@ def grid_curves(
     spark = bars.sparkSession
     scores = grid_scores(bars, members, days, sets, benchmark)
     mas = sorted({p.params["ma_period"] for p in sets if "ma_period" in p.params})
-    flags = trend_flags(bars, members, days, benchmark, mas)
+    flags = trend_flags(bars, members, days, benchmark, mas) if mas else None
     w = grid_weights(scores, param_table(spark, sets), universes, flags, safe)
     return accounting.periodic_value(w, calendar, cost_bps)
