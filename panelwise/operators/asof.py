@@ -151,6 +151,8 @@ def observe(
         if rows:
             back = F.col(f"lag_{rows}")
             first = F.when(back["seq"] > first["seq"], back).otherwise(first)
-        # The window is empty when its oldest candidate is not older than the decision date.
-        cols.append(F.when(first["date"] < F.col("as_of"), first).alias(span_name(rows, days)))
+        # The window is empty when even the newest bar is older than its start.
+        newest = F.col("last")["date"]
+        live = newest >= F.date_sub("as_of", days) if days else newest.isNotNull()
+        cols.append(F.when(live, first).alias(span_name(rows, days)))
     return s.select("ticker", "as_of", "last", *cols)
