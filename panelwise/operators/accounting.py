@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise import CASH
 from panelwise.functions.exprs import change, ratio
+from panelwise.functions.joins import DAYS, bounded
 from panelwise.operators.construction import paired
 
 
@@ -88,7 +89,7 @@ def daily_positions(weights: DataFrame, calendar: DataFrame, end: str) -> DataFr
     """
     from panelwise.functions.dates import next_bday
 
-    cal = F.broadcast(calendar.select("as_of", F.coalesce("next_as_of", F.lit(end).cast("date")).alias("until")))
+    cal = bounded(calendar.select("as_of", F.coalesce("next_as_of", F.lit(end).cast("date")).alias("until")), DAYS)
     lo, hi = next_bday("as_of"), F.col("until")
     days = F.when(lo <= hi, F.filter(F.sequence(lo, hi), lambda d: F.weekday(d) < 5))
     return weights.join(cal, "as_of").select("strategy_id", "ticker", "weight", "as_of", F.explode(days).alias("date"))

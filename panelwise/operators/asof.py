@@ -14,6 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwise.functions.exprs import C, _c, change
+from panelwise.functions.joins import DAYS, bounded
 
 
 # Number of spans from which a pass over the panel is limited by computation rather than by data.
@@ -98,7 +99,7 @@ def observe(
     if benchmark_returns is not None:
         # At most one row per calendar day, so its size is bounded whatever the panel holds.
         daily = benchmark_returns.groupBy("date").agg(F.first("r").alias("x"))
-        px = px.join(F.broadcast(daily), "date", "left")
+        px = px.join(bounded(daily, DAYS), "date", "left")
     else:
         px = px.withColumn("x", F.lit(None).cast("double"))
     # Bars get the odd key 2d+1 and marks the even key 2d: a mark sorts before the bar of its own day.

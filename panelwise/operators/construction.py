@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise import CASH
 from panelwise.functions.exprs import ratio
+from panelwise.functions.joins import DAYS, bounded
 
 
 def ranked(scores: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
@@ -74,7 +75,7 @@ def paired(
     ``start_in_cash`` (weights must then sum to 1), else an empty portfolio.
     ``calendar`` is (as_of, next_as_of, seq), one row per date, hence the broadcast.
     """
-    cal = F.broadcast(calendar.select("as_of", "next_as_of", "seq"))
+    cal = bounded(calendar.select("as_of", "next_as_of", "seq"), DAYS)
     g = F.col("growth") if carry_growth else F.lit(1.0)
     w = weights.join(cal, "as_of").withColumn("_held", F.col("weight") * F.coalesce(g, F.lit(0.0)))
     zero, first = F.lit(0.0), F.col("seq") == 0

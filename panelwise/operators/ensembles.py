@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwise.functions.exprs import literal_rows, ratio
+from panelwise.functions.joins import CONFIGS, DAYS, bounded
 
 
 def _lit_map(m: Mapping[str, float | str]) -> Column:
@@ -58,8 +59,8 @@ def select_models(regimes: DataFrame, table: DataFrame) -> DataFrame:
         "regime", "model", ratio("weight", "total").alias("share")
     )
     known = share.filter(F.col("regime").isNotNull()).select(F.col("regime").alias("known")).distinct()
-    keyed = regimes.join(F.broadcast(known), F.col("regime") == F.col("known"), "left")
-    return keyed.join(F.broadcast(share.withColumnRenamed("regime", "key")), F.col("known").eqNullSafe(F.col("key"))).select(
+    keyed = regimes.join(bounded(known, CONFIGS), F.col("regime") == F.col("known"), "left")
+    return keyed.join(bounded(share.withColumnRenamed("regime", "key"), CONFIGS), F.col("known").eqNullSafe(F.col("key"))).select(
         "as_of", "regime", "model", "share"
     )
 
@@ -67,7 +68,7 @@ def select_models(regimes: DataFrame, table: DataFrame) -> DataFrame:
 def apply_selection(scores: DataFrame, selection: DataFrame) -> DataFrame:
     """Scores under the selected model or blend. One model keeps its NULLs; a blend turns all-missing into 0."""
     n = selection.groupBy("as_of").agg(F.count("*").alias("n_models"))
-    j = scores.join(F.broadcast(selection), ["as_of", "model"]).join(F.broadcast(n), "as_of")
+    j = scores.join(bounded(selection, 10 * DAYS), ["as_of", "model"]).join(bounded(n, DAYS), "as_of")
     out = j.groupBy("as_of", "ticker").agg(
         F.sum(F.col("score") * F.col("share")).alias("s"), F.max("n_models").alias("n"), F.first("regime").alias("regime")
     )

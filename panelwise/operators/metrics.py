@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwise.functions.exprs import change, ratio
+from panelwise.functions.joins import DAYS, bounded
 
 INF = float("inf")
 
@@ -83,7 +84,7 @@ def performance(
 def aligned(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Strategy and benchmark returns of common dates. ``benchmark``: (date, r), one row per day, hence the broadcast."""
     b = benchmark.filter(F.col("r").isNotNull()).groupBy("date").agg(F.first("r").alias("b"))
-    return returns.filter(F.col("r").isNotNull()).join(F.broadcast(b), "date")
+    return returns.filter(F.col("r").isNotNull()).join(bounded(b, DAYS), "date")
 
 
 def active(

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise.functions.exprs import clip, ratio
+from panelwise.functions.joins import DAYS, bounded
 
 KEYS = ["strategy_id", "as_of"]
 # Instruments that receive the defensive share.
@@ -92,7 +93,7 @@ def volatility_regime(
     share = F.when(F.col("vix") >= high, high_share).when(F.col("vix") >= elevated, elevated_share).otherwise(0.0)
     is_def = F.col("ticker").isin(list(defensive))
     by = Window.partitionBy(*KEYS)
-    w = weights.select(*KEYS, "ticker", "weight").join(F.broadcast(vix.select("as_of", "vix")), "as_of", "left")
+    w = weights.select(*KEYS, "ticker", "weight").join(bounded(vix.groupBy("as_of").agg(F.max("vix").alias("vix")), DAYS), "as_of", "left")
     risky = F.sum(F.when(~is_def, F.col("weight"))).over(by)
     first = F.row_number().over(by.orderBy("ticker")) == 1
     w = w.withColumns({"vix_level": level, "_share": share, "_risky": risky, "_first": first})

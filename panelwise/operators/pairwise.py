@@ -21,18 +21,18 @@ MOMENTS = ["n", "s_i", "s_j", "q_i", "q_j", "p"]
 
 def pair_moments(
     rows: DataFrame, series: str, value: str, keys: Sequence[str] = (), weight: str | None = None, n_blocks: int = 4,
-    include_self: bool = False,
+    include_self: bool = False, by_year: bool = True,
 ) -> DataFrame:
     """(keys, i, j, n, s_i, s_j, q_i, q_j, p), i < j (or i <= j), over dates where both have a value.
 
     With a weight column every sum is weighted, n included. Choose ``n_blocks`` so that a block holds a few
-    hundred series.
+    hundred series. ``by_year`` bounds the days of a task; rows that are already cut to short windows can do without.
     """
     keys = list(keys)
     block = F.pmod(F.xxhash64(series), F.lit(n_blocks)).cast("int")
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     base = rows.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(series).alias("s"), F.unix_date("date").alias("d"), F.year("date").alias("chunk"),
+        *keys, F.col(series).alias("s"), F.unix_date("date").alias("d"), (F.year("date") if by_year else F.lit(0)).alias("chunk"),
         F.col(value).cast("double").alias("v"), w.alias("w"), block.alias("b"),
     )
     # Block b meets every block k; the pair is stored once as (low, high).
@@ -103,16 +103,16 @@ def ewma_covariance(
     cal = schedule_table(spark, days).select("as_of", F.explode(
         F.sequence(F.date_sub("as_of", lookback * 2), F.col("as_of"))).alias("date"))
     cal = cal.filter(bday_index("date") >= bday_index("as_of") - lookback)
-    live = r.select("date").distinct().join(F.broadcast(cal), "date")
+    live = r.select("date").distinct().join(cal, "date")
     from pyspark.sql import Window
 
     age = F.row_number().over(Window.partitionBy("as_of").orderBy(F.col("date").desc())) - 1
     lam = 0.5 ** (1.0 / halflife)
     raw = live.withColumn("raw", F.pow(F.lit(lam), age))
     w = raw.withColumn("w", ratio("raw", F.sum("raw").over(Window.partitionBy("as_of")))).select("as_of", "date", "w")
-    x = r.join(F.broadcast(w), "date").select("as_of", "date", "ticker", "r", "w")
+    x = r.join(w, "date").select("as_of", "date", "ticker", "r", "w")
     mean = x.groupBy("as_of", "ticker").agg(F.sum(F.col("w") * F.col("r")).alias("mu"))
-    p = pair_moments(x, "ticker", "r", ["as_of"], "w", n_blocks, include_self=True)
+    p = pair_moments(x, "ticker", "r", ["as_of"], "w", n_blocks, include_self=True, by_year=False)
     mi = mean.select("as_of", F.col("ticker").alias("i"), F.col("mu").alias("mu_i"))
     mj = mean.select("as_of", F.col("ticker").alias("j"), F.col("mu").alias("mu_j"))
     return p.join(mi, ["as_of", "i"]).join(mj, ["as_of", "j"]).select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwise.functions.dates import bdays_spanned
 from panelwise.functions.exprs import change, ratio
+from panelwise.functions.joins import bounded
 
 FIELDS = ["open", "high", "low", "close", "volume"]
 PRICES = FIELDS[:4]
@@ -85,7 +86,7 @@ def missing_summary(bars: DataFrame) -> DataFrame:
     per = bars.groupBy("ticker").agg(
         F.count("*").alias("_n"), F.sum(nulls).alias("_nulls"), F.count_if(any_null).alias("_partial")
     )
-    j = per.join(F.broadcast(n_days))
+    j = per.join(bounded(n_days, 1))
     absent = F.col("total_rows") - F.col("_n")
     return j.select(
         "ticker",
@@ -121,7 +122,7 @@ def quality_score(bars: DataFrame, threshold: float = 0.15) -> DataFrame:
     """Dataset score 0-100 and grade: up to 30 points off for missing cells, up to 20 for price spikes."""
     miss = missing_summary(bars).agg(F.avg("nan_pct").alias("avg_missing_pct"))
     n = with_previous(bars).agg(F.count_if(F.abs("r") > threshold).alias("spike_count"))
-    s = miss.join(F.broadcast(n))
+    s = miss.join(bounded(n, 1))
     s = s.withColumns({
         "missing_penalty": F.least(F.lit(30), F.floor(F.col("avg_missing_pct") * 10)).cast("long"),
         "spike_penalty": F.least(F.lit(20), F.col("spike_count") * 5).cast("long"),
@@ -158,15 +159,40 @@ def bad_prices(bars: DataFrame) -> DataFrame:
 
 
 def issues(bars: DataFrame, members: DataFrame, as_of: Column) -> DataFrame:
-    """All checks as (ticker, check, value): one row per finding."""
-    stale = staleness(bars, members, as_of).filter("is_stale").select(
-        "ticker", F.lit("STALE").alias("check"), F.col("days_stale").cast("double").alias("value"))
-    gap = gaps(bars).select("ticker", F.lit("GAP").alias("check"), F.col("max_gap_days").cast("double").alias("value"))
-    cols = ["ticker", "check", "value"]
-    out = stale.unionByName(gap)
-    for part in (spikes(bars, 0.10, 252), zero_volume(bars), bad_prices(bars)):
-        out = out.unionByName(part.select(*cols))
-    return out
+    """All checks as (ticker, check, value), one row per finding, from one shuffle by ticker.
+
+    Members join as rows without a date, so a ticker that never had a price is seen too. Per-row findings come out
+    where they occur; per-ticker findings come out once, at the member's own row.
+    """
+    rows = bars.select("ticker", "date", "close", "volume").unionByName(members.select("ticker"), allowMissingColumns=True)
+    whole = Window.partitionBy("ticker")
+    w = whole.orderBy("date")
+    over = "over (partition by ticker order by date)"
+    n_seen = F.count("close").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    r = rows.withColumns({
+        "prev_close": F.expr(f"lag(close) ignore nulls {over}"),
+        "prev_date": F.expr(f"lag(case when close is not null then date end) ignore nulls {over}"),
+        "age": F.count("close").over(whole) - n_seen + 1,
+        "bar_age": F.count("date").over(whole) - F.count("date").over(w.rowsBetween(Window.unboundedPreceding, 0)) + 1,
+        "last_date": F.max(F.when(F.col("close").isNotNull(), F.col("date"))).over(whole),
+    })
+    is_member, priced = F.col("date").isNull(), F.col("close").isNotNull()
+    gap = F.when(priced, bdays_spanned("prev_date", "date"))
+    r = r.withColumns({"move": F.when(priced, change("close", "prev_close")), "max_gap": F.max(gap).over(whole)})
+    stale = F.coalesce(bdays_spanned("last_date", as_of), F.lit(999))
+
+    def finding(name, value: Column, when: Column) -> Column:
+        kind = F.lit(name) if isinstance(name, str) else name
+        return F.when(when, F.struct(kind.alias("check"), value.cast("double").alias("value")))
+
+    found = F.array_compact(F.array(
+        finding("STALE", stale, is_member & (stale > 3)),
+        finding("GAP", F.col("max_gap"), is_member & (F.col("max_gap") > 5)),
+        finding("PRICE_SPIKE", F.col("move"), (F.col("age") < 252) & (F.abs("move") > 0.10)),
+        finding("ZERO_VOLUME", F.lit(0.0), (F.col("bar_age") <= 20) & (F.col("volume") == 0)),
+        finding(F.when(F.col("close") < 0, "NEGATIVE_PRICE").otherwise("ZERO_PRICE"), F.col("close"), F.col("close") <= 0),
+    ))
+    return r.select("ticker", F.inline(found))
 
 
 def overall_status(found: DataFrame) -> DataFrame:
@@ -196,7 +222,7 @@ def summary(bars: DataFrame, members: DataFrame) -> DataFrame:
     """Found and missing tickers and the completeness of the close grid; one row."""
     days = bars.agg(F.count_distinct("date").alias("trading_days"), F.min("date").alias("start"), F.max("date").alias("end"))
     per = bars.groupBy("ticker").agg(F.count("close").alias("n"))
-    j = members.join(per, "ticker", "left").join(F.broadcast(days))
+    j = members.join(per, "ticker", "left").join(bounded(days, 1))
     found = F.col("n").isNotNull()
     gap = F.when(found, F.col("trading_days") - F.col("n"))
     out = j.agg(

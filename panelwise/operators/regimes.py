@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwise.functions.exprs import C, _c, change, literal_rows, ratio
+from panelwise.functions.joins import DAYS, bounded
 from panelwise.operators import asof
 
 # Names under which a macro series may be asked for -> series id.
@@ -154,12 +155,12 @@ def distribution(labels: DataFrame, column: str = "regime") -> DataFrame:
     """Count and share of each regime; the total is a one-row aggregate over the few regime rows."""
     n = labels.groupBy(column).agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
-    return n.join(F.broadcast(total)).select(column, "n", ratio("n", "total").alias("share"))
+    return n.join(bounded(total, 1)).select(column, "n", ratio("n", "total").alias("share"))
 
 
 def strategy_by_regime(returns: DataFrame, labels: DataFrame, min_rows: int = 5) -> DataFrame:
     """Return statistics per (strategy, regime); labels have one row per day, hence the broadcast."""
-    j = returns.filter(F.col("r").isNotNull()).join(F.broadcast(labels.select("date", "regime")), "date")
+    j = returns.filter(F.col("r").isNotNull()).join(bounded(labels.groupBy("date").agg(F.first("regime").alias("regime")), DAYS), "date")
     by = Window.partitionBy("strategy_id", "regime").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     grown = j.withColumn("cum", F.product(1.0 + F.col("r")).over(by))
     grown = grown.withColumn("dd", change(F.col("cum"), F.max("cum").over(by)))

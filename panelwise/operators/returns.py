@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise.functions.exprs import change
+from panelwise.functions.joins import bounded
 
 
 def daily_returns(bars: DataFrame, key: str = "ticker", price: str = "close") -> DataFrame:
@@ -25,7 +26,7 @@ def benchmark_prices(bars: DataFrame, ticker: str) -> DataFrame:
     daily = bars.groupBy("date").agg(own.alias("own"), F.avg("close").alias("mean_close"))
     exists = daily.agg(F.coalesce(F.bool_or(F.col("own").isNotNull()), F.lit(False)).alias("exists"))
     price = F.when(F.col("exists"), F.col("own")).otherwise(F.col("mean_close"))
-    return daily.join(F.broadcast(exists)).select("date", price.alias("price")).filter(F.col("price").isNotNull())
+    return daily.join(bounded(exists, 1)).select("date", price.alias("price")).filter(F.col("price").isNotNull())
 
 
 def benchmark_returns(bars: DataFrame, ticker: str) -> DataFrame:

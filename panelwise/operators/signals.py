@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise.functions.exprs import literal, ratio
+from panelwise.functions.joins import DAYS, bounded
 from panelwise.operators.asof import observe, span_name
 
 BUFFER_DAYS = 50
@@ -136,7 +137,7 @@ def trend_filtered(scores: DataFrame, flags: DataFrame, column: str, defensive:
     ``flags`` has one row per decision date, a bound set by the schedule, hence the broadcast.
     """
     safe = F.when(F.col("ticker").isin(list(defensive)), 1.0).otherwise(0.0)
-    return scores.join(F.broadcast(flags), "as_of", "left").withColumn(
+    return scores.join(bounded(flags.groupBy("as_of").agg(F.bool_or("bullish").alias("bullish")), DAYS), "as_of", "left").withColumn(
         column, F.when(F.coalesce("bullish", F.lit(True)), F.col(column)).otherwise(safe)
     )
 
@@ -148,9 +149,9 @@ def dual_momentum(
     """Risky tickers above the hurdle keep their return, the rest get 0; if none passes, safe tickers get 1."""
     is_safe = F.col("ticker").isin(list(safe))
     passes = ~is_safe & (F.col(column) > risk_free * lookback / YEAR)
-    # One flag per group by a partial aggregate, broadcast back: groups are schedule dates, never rows.
+    # One flag per group by a partial aggregate, joined back; groups by date alone are bounded by the calendar.
     any_pass = scores.groupBy(*keys).agg(F.coalesce(F.bool_or(passes), F.lit(False)).alias("risk_on"))
-    out = scores.join(F.broadcast(any_pass), list(keys))
+    out = scores.join(bounded(any_pass, DAYS) if tuple(keys) == ("as_of",) else any_pass, list(keys))
     picked = F.when(F.col("risk_on"), F.when(passes, F.col(column)).otherwise(0.0)).otherwise(
         F.when(is_safe, 1.0).otherwise(0.0)
     )

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from panelwise.functions.exprs import ratio
+from panelwise.functions.joins import DAYS, bounded
 
 KEYS = ["strategy_id", "as_of", "ticker"]
 CHECK_KEYS = ["strategy_id", "as_of"]
@@ -29,15 +30,38 @@ def align(current: DataFrame, target: DataFrame, fields: tuple[str, ...] = ("wei
     return both.groupBy(*KEYS).agg(*[F.sum(n).alias(n) for n in names])
 
 
+def consecutive(targets: DataFrame, calendar: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """``align`` of every target with the one before it, in one pass.
+
+    A target row is the target side of its own date and the current side of the next one; dates come from the
+    calendar (as_of, next_as_of), one row per date.
+    """
+    cal = bounded(calendar.select("as_of", "next_as_of"), DAYS)
+    zero = F.lit(0.0)
+
+    def side(at: str, cur: bool):
+        return F.struct(
+            F.col(at).alias("at"), *[(F.coalesce(f, zero) if cur else zero).alias(f"current_{f}") for f in fields],
+            *[(zero if cur else F.coalesce(f, zero)).alias(f"target_{f}") for f in fields],
+        )
+
+    both = targets.join(cal, "as_of").select("strategy_id", "ticker", F.inline(F.array(side("as_of", False), side("next_as_of", True))))
+    names = [f"{s}_{f}" for s in ("current", "target") for f in fields]
+    out = both.filter(F.col("at").isNotNull()).groupBy("strategy_id", "at", "ticker").agg(*[F.sum(n).alias(n) for n in names])
+    return out.withColumnRenamed("at", "as_of")
+
+
 def diff_trades(pairs: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Weight changes; with a threshold only those at least that large."""
     out = pairs.withColumn("delta_weight", F.col("target_weight") - F.col("current_weight"))
     return out.filter(F.abs("delta_weight") >= threshold) if threshold > 0 else out
 
 
-def share_trades(current: DataFrame, target: DataFrame) -> DataFrame:
-    """BUY / SELL / HOLD with notional; the price is the target's, else the current one's."""
-    pairs = align(current, target, ("shares", "weight", "price"))
+SHARE_FIELDS = ("shares", "weight", "price")
+
+
+def share_trades(pairs: DataFrame) -> DataFrame:
+    """BUY / SELL / HOLD with notional from pairs of ``SHARE_FIELDS``; the price is the target's, else the current one's."""
     delta = F.col("target_shares") - F.col("current_shares")
     price = F.when(F.col("target_price") != 0, F.col("target_price")).otherwise(F.col("current_price"))
     action = F.when(F.abs(delta) < 0.01, "HOLD").when(delta > 0, "BUY").otherwise("SELL")

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwise.functions.exprs import change, ratio, sig, struct_array
+from panelwise.functions.joins import CONFIGS, bounded
 
 
 @dataclass(frozen=True)
@@ -111,7 +112,7 @@ def window_results(metrics: DataFrame, bench: DataFrame) -> DataFrame:
         pick("test", "total_return").alias("oos_return"), pick("test", "sharpe").alias("oos_sharpe"),
         pick("test", "volatility").alias("oos_volatility"), pick("test", "max_drawdown").alias("oos_max_drawdown"),
     )
-    j = w.join(F.broadcast(bench), "window_id", "left").withColumn("bench_return", F.coalesce("bench_return", F.lit(0.0)))
+    j = w.join(bounded(bench, CONFIGS), "window_id", "left").withColumn("bench_return", F.coalesce("bench_return", F.lit(0.0)))
     return j.withColumn("active_return", F.col("oos_return") - F.col("bench_return"))
 
 
@@ -201,5 +202,5 @@ def trailing_score(returns: DataFrame, trailing_rows: int = 252) -> DataFrame:
 
 def regime_weighted_score(stats: DataFrame, weights: DataFrame) -> DataFrame:
     """Sharpe by regime averaged with regime shares as weights. ``weights``: (regime, share), one row per regime."""
-    j = stats.join(F.broadcast(weights), "regime").filter((F.col("share") > 0) & F.col("sharpe_ratio").isNotNull())
+    j = stats.join(bounded(weights, CONFIGS), "regime").filter((F.col("share") > 0) & F.col("sharpe_ratio").isNotNull())
     return j.groupBy("strategy_id").agg(ratio(F.sum(F.col("share") * F.col("sharpe_ratio")), F.sum("share")).alias("regime_score"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwise.functions.dates import schedule_days, schedule_table
 from panelwise.functions.exprs import change, literal_rows, num, sig
+from panelwise.functions.joins import CONFIGS, bounded
 from panelwise.operators import accounting, grid as G, metrics as M, regimes as R, walkforward as WF
 from panelwise.operators.returns import benchmark_prices
 from panelwise.operators.schedule_defaults import END, START
@@ -17,6 +18,7 @@ from panelwise.plans.optimizer import grid_curves
 from panelwise.plans.registry import query
 from panelwise.plans.sqlkit import sig as q_sig, with_ctes
 from panelwise.sources.panel import bars_from_orders, members_from_orders
+from panelwise.sources.storage import durable
 
 # Nested universes of the panel: the first 8 and 16 brands, and all of them.
 UNIVERSES = {"tier2": 8, "tier3": 16, "tier4": 25}
@@ -265,7 +267,7 @@ def multi_period(spark: SparkSession, root: str) -> DataFrame:
     curve = curves(spark, root, "monthly", CHECKED)
     by = Window.partitionBy("strategy_id").orderBy("as_of")
     r = curve.select("strategy_id", F.col("as_of").alias("date"), F.col("returns").alias("r"), F.lag("as_of").over(by).alias("prev"))
-    r = r.join(F.broadcast(config.select("strategy_id", "warmup_days")), "strategy_id")
+    r = r.join(bounded(config.select("strategy_id", "warmup_days"), CONFIGS), "strategy_id")
     years = F.array(*[F.lit(y) for y in PERIOD_YEARS])
     begin = F.date_sub(F.lit(LAST).cast("date"), F.col("years") * 365 + F.col("warmup_days"))
     sliced = r.filter(F.col("date") <= LAST).select("*", F.explode(years).alias("years")).filter(F.col("prev") >= begin)
@@ -307,7 +309,7 @@ def multi_period_evaluation(spark: SparkSession, root: str) -> DataFrame:
     "(SELECT sid, bool_and(act > 0 AND ir > 0) AS beats, avg(ir) AS m, stddev_pop(ir) AS sp FROM ms GROUP BY 1) JOIN nm USING (sid)", **MP_SQL))
 def multi_period_composite(spark: SparkSession, root: str) -> DataFrame:
     m = multi_period(spark, root)
-    c = WF.period_composite(m).join(F.broadcast(configs(spark, "monthly", CHECKED).select("strategy_id", "config_name")), "strategy_id")
+    c = WF.period_composite(m).join(bounded(configs(spark, "monthly", CHECKED).select("strategy_id", "config_name"), CONFIGS), "strategy_id")
     return c.select("config_name", "beats_all_periods", num("composite_score").alias("composite_score"))
 
 
@@ -321,7 +323,7 @@ def grid_returns(spark: SparkSession, root: str) -> DataFrame:
     "JOIN nm USING (sid) WHERE k <= 36 GROUP BY 1", **GRID_SQL))
 def trailing_window_scores(spark: SparkSession, root: str) -> DataFrame:
     t = WF.trailing_score(grid_returns(spark, root), 36)
-    t = t.join(F.broadcast(configs(spark, "monthly", CHECKED).select("strategy_id", "config_name")), "strategy_id")
+    t = t.join(bounded(configs(spark, "monthly", CHECKED).select("strategy_id", "config_name"), CONFIGS), "strategy_id")
     return t.select("config_name", "n", num("trailing_score").alias("trailing_score"))
 
 
@@ -346,7 +348,7 @@ def regimes_on(spark: SparkSession, root: str) -> DataFrame:
 def regime_weighted_scores(spark: SparkSession, root: str) -> DataFrame:
     stats = R.strategy_by_regime(grid_returns(spark, root), regimes_on(spark, root))
     s = WF.regime_weighted_score(stats, R.distribution(labels(spark, root)))
-    s = s.join(F.broadcast(configs(spark, "monthly", CHECKED).select("strategy_id", "config_name")), "strategy_id")
+    s = s.join(bounded(configs(spark, "monthly", CHECKED).select("strategy_id", "config_name"), CONFIGS), "strategy_id")
     return s.select("config_name", sig("regime_score", 7).alias("regime_score"))
 
 
@@ -356,10 +358,10 @@ def regime_weighted_scores(spark: SparkSession, root: str) -> DataFrame:
 def finalist_regime_mapping(spark: SparkSession, root: str) -> DataFrame:
     """The six best configurations' returns by regime, and the best of them in each."""
     config = configs(spark, "monthly", CHECKED)
-    curve = curves(spark, root, "monthly", CHECKED)
+    curve = durable(curves(spark, root, "monthly", CHECKED))
     best = WF.rank(evaluate(spark, root, curve, config, 12.0).filter(F.col("oos_active_return_mean") > 0))
-    finalists = F.broadcast(best.orderBy("rank").limit(6).select("strategy_id"))
+    finalists = bounded(best.orderBy("rank").limit(6).select("strategy_id"), 6)
     r = curve.select("strategy_id", F.col("as_of").alias("date"), F.col("returns").alias("r")).join(finalists, "strategy_id", "left_semi")
     m = R.best_by_regime(R.strategy_by_regime(r, regimes_on(spark, root)), min_days=5)
-    j = m.join(F.broadcast(config.select(F.col("strategy_id").alias("strategy"), "config_name")), "strategy")
+    j = m.join(bounded(config.select(F.col("strategy_id").alias("strategy"), "config_name"), CONFIGS), "strategy")
     return j.select("regime", F.col("config_name").alias("strategy"), sig("score", 7).alias("score"), "num_days")

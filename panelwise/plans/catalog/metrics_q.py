@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelwise.functions.dates import schedule_days, schedule_table
 from panelwise.functions.exprs import num, sig
-from panelwise.operators import accounting, asof, benchmarks as B, comparison, costs, metrics as M, rolling as W
+from panelwise.functions.joins import DAYS, bounded
+from panelwise.operators import accounting, asof, benchmarks as B, comparison, construction, costs, metrics as M, rolling as W
 from panelwise.operators.returns import benchmark_prices, benchmark_returns, daily_returns
 from panelwise.operators.schedule_defaults import END, START
-from panelwise.plans.catalog.portfolio_q import CSQL, PSQL, VOL_SQL, WSQL, monthly, pairs, with_peak
+from panelwise.plans.catalog.portfolio_q import CSQL, WSQL, monthly
 from panelwise.plans.catalog.signals_q import BENCH, momentum_weights
 from panelwise.plans.registry import query
-from panelwise.plans.sqlkit import bnum, sig as q_sig, with_ctes
+from panelwise.plans.sqlkit import sig as q_sig, with_ctes
 from panelwise.sources.panel import bars_from_orders, macro_from_orders, members_from_orders, reference_from_orders
+from panelwise.sources.storage import durable
 
 
 def rets(spark: SparkSession, root: str) -> DataFrame:
@@ -316,7 +318,7 @@ def cycle_rows(spark: SparkSession, root: str) -> DataFrame:
     b = benchmark_prices(bars_from_orders(spark, root), BENCH).select(F.lit(BENCH).alias("k"), "date", "price")
     marks = asof.markers(spark.range(1).select(F.lit(BENCH).alias("k")), schedule_days(START, END, "monthly"))
     seen = asof.as_of(b, marks, ["k"], ["price"], inclusive=True).select("as_of", F.col("price").alias("bench"))
-    return M.cycles(curve.join(F.broadcast(seen), "as_of"))
+    return M.cycles(curve.join(bounded(seen, DAYS), "as_of"))
 
 
 CYC = dict(
@@ -443,8 +445,9 @@ def benchmark_set_comparison(spark: SparkSession, root: str) -> DataFrame:
     pr="SELECT p.date, sum(p.weight * x.r) AS r FROM pos p JOIN rets x ON x.ticker = p.ticker AND x.date = p.date GROUP BY 1",
     c="SELECT CAST(as_of + CASE WHEN isodow(as_of) = 5 THEN 3 ELSE 1 END AS DATE) AS date, turnover * 0.001 AS cost FROM turn"))
 def daily_value_curve(spark: SparkSession, root: str) -> DataFrame:
-    w = momentum_weights(spark, root)
-    c = accounting.daily_value(w, rets(spark, root), monthly(spark), costs.flat(pairs(spark, root)), START, END)
+    w = durable(momentum_weights(spark, root))
+    paired = construction.paired(w, monthly(spark))
+    c = accounting.daily_value(w, rets(spark, root), monthly(spark), costs.flat(paired), START, END)
     return c.select("date", sig("r").alias("r"), num("log_equity").alias("log_equity"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelwise import CASH
 from panelwise.functions.dates import every_n_bdays, is_rebalance_day, schedule_days, schedule_table
-from panelwise.functions.exprs import change, literal_rows, num, sig
+from panelwise.functions.exprs import literal_rows, num, sig
+from panelwise.functions.joins import DAYS, bounded
 from panelwise.operators import accounting, construction, costs, overlays, pairwise, regimes as R, trades as T
 from panelwise.operators.calendar import next_rebalance
 from panelwise.operators.returns import daily_returns
@@ -16,6 +17,7 @@ from panelwise.plans.production import production_run, regime_rebalance
 from panelwise.plans.registry import query
 from panelwise.plans.sqlkit import bnum, sig as q_sig, with_ctes
 from panelwise.sources.panel import bars_from_orders, macro_from_orders, reference_from_orders
+from panelwise.sources.storage import durable
 
 WSQL = {k: WEIGHTS_SQL[k] for k in ("s", "g", "rk", "w")}
 PSQL = {k: WEIGHTS_SQL[k] for k in ("s", "g", "rk", "w", "aw", "prev", "pair")}
@@ -110,7 +112,7 @@ def backtest_summary(spark: SparkSession, root: str) -> DataFrame:
     x="SELECT dw.as_of, dw.date, dw.w, r.ticker, r.r FROM dw JOIN rets r ON r.date = dw.date WHERE r.r IS NOT NULL",
     mu="SELECT as_of, ticker, sum(w * r) AS mu FROM x GROUP BY 1, 2"))
 def ewma_covariance(spark: SparkSession, root: str) -> DataFrame:
-    c = pairwise.ewma_covariance(daily_returns(bars_from_orders(spark, root)), schedule_days(START, END, "monthly"))
+    c = pairwise.ewma_covariance(daily_returns(bars_from_orders(spark, root)), schedule_days(START, END, "monthly"), n_blocks=2)
     return c.select("as_of", "i", "j", num("cov").alias("cov"))
 
 
@@ -261,7 +263,7 @@ def weights_to_shares(spark: SparkSession, root: str) -> DataFrame:
 
 def at_next(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """Re-key rows to the following decision date; the calendar has one row per date."""
-    nxt = F.broadcast(calendar.select("as_of", "next_as_of"))
+    nxt = bounded(calendar.select("as_of", "next_as_of"), DAYS)
     return df.join(nxt, "as_of").filter(F.col("next_as_of").isNotNull()).withColumn("as_of", F.col("next_as_of")).drop("next_as_of")
 
 
@@ -278,8 +280,7 @@ SHARE_SQL = dict(
     "px", f"SELECT as_of, ticker, CASE WHEN abs(ts - cs) < 0.01 THEN 'HOLD' WHEN ts > cs THEN 'BUY' ELSE 'SELL' END AS action, "
     f"{q_sig('cs')} AS current_shares, {q_sig('ts')} AS target_shares, {q_sig('abs((ts - cs) * price)')} AS notional_value FROM tr", **SHARE_SQL))
 def share_trades(spark: SparkSession, root: str) -> DataFrame:
-    tgt = share_targets(spark, root)
-    t = T.share_trades(at_next(tgt, monthly(spark)), tgt)
+    t = T.share_trades(T.consecutive(share_targets(spark, root), monthly(spark), T.SHARE_FIELDS))
     return t.select("as_of", "ticker", "action", *[sig(c).alias(c) for c in ("current_shares", "target_shares", "notional_value")])
 
 
@@ -297,7 +298,7 @@ def sectors(spark: SparkSession, root: str) -> DataFrame:
 
 @query("pre_trade_checks", with_ctes("bars members rebal reference", CHECK_SQL, **PSQL))
 def pre_trade_checks(spark: SparkSession, root: str) -> DataFrame:
-    t = T.diff_trades(weight_pairs(spark, root))
+    t = durable(T.diff_trades(weight_pairs(spark, root)))
     out = T.check_turnover(t, 0.7).unionByName(T.check_sectors(t, sectors(spark, root), 0.45)).unionByName(T.check_small_trades(t))
     return out.select("as_of", F.col("check").alias("check_name"), num("value").alias("value"), "passed")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwise import CASH
+from panelwise.functions.joins import CONFIGS, DAYS, bounded
 from panelwise.operators import accounting, asof, signals as S
 from panelwise.operators.grid import TOP_N, ParamSet, param_table, strategy_key
 from panelwise.operators.returns import benchmark_returns
@@ -40,11 +41,11 @@ def grid_weights(
     ``universes``: (universe_no, ticker). ``flags``: (ma_period, as_of, bullish). ``params`` and ``flags`` have one row
     per set and per date and period, hence the broadcasts.
     """
-    s = scores.join(F.broadcast(params.select("param_id", "alpha", "hurdle", "momentum_weight", "ma_period")), "param_id")
+    s = scores.join(bounded(params.select("param_id", "alpha", "hurdle", "momentum_weight", "ma_period"), CONFIGS), "param_id")
     if flags is None:
         s = s.withColumn("bullish", F.lit(None).cast("boolean"))
     else:
-        s = s.join(F.broadcast(flags), ["ma_period", "as_of"], "left")
+        s = s.join(bounded(flags, 10 * DAYS), ["ma_period", "as_of"], "left")
     s = s.join(universes, "ticker")
     group = Window.partitionBy("param_id", "universe_no", "as_of")
     is_safe = F.col("ticker").isin(safe)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwise.functions.dates import schedule_days
 from panelwise.functions.exprs import ratio
+from panelwise.functions.joins import DAYS, bounded
 from panelwise.operators import construction, overlays, regimes as R, trades as T
+from panelwise.sources.storage import durable
 
 
 def production_run(
@@ -21,13 +23,14 @@ def production_run(
     """
     adjusted = overlays.chain(targets, steps)
     pairs = T.align(current, adjusted)
-    trades = T.diff_trades(pairs, threshold)
+    # Summary and both checks read the trades: written once, so that the signals behind them run once.
+    trades = durable(T.diff_trades(pairs, threshold))
     summary = trades.groupBy("strategy_id", "as_of").agg(
         F.count("*").alias("n_trades"), (0.5 * F.sum(F.abs("delta_weight"))).alias("turnover")
     )
     checks = T.check_turnover(trades, max_turnover).unionByName(T.check_sectors(trades, sectors, max_sector))
     passed = checks.groupBy("strategy_id", "as_of").agg(F.bool_and("passed").alias("passed"))
-    days = targets.select("strategy_id").distinct().select(
+    days = trades.select("strategy_id").distinct().select(
         "strategy_id", F.explode(schedule_days(start, end, "daily")).alias("as_of")
     )
     gate = F.array_contains(schedule_days(start, end, schedule), F.col("as_of"))
@@ -48,14 +51,12 @@ def regime_rebalance(
     ``scores``: (model, as_of, ticker, score). Returns (targets, trades); dates without scores have no targets.
     """
     chosen = R.map_strategy(regimes, mapping, fallback)
-    picked = scores.join(F.broadcast(chosen), (scores["as_of"] == chosen["as_of"]) & (scores["model"] == chosen["strategy"])).select(
+    picked = scores.join(bounded(chosen, DAYS), (scores["as_of"] == chosen["as_of"]) & (scores["model"] == chosen["strategy"])).select(
         scores["as_of"], "ticker", "score", "regime", "strategy"
     )
     w = construction.top_x_fully_invested(picked, top_n, ["as_of"]).withColumn("strategy_id", F.lit("regime"))
     tgt = T.to_shares(w.join(prices, ["as_of", "ticker"]), portfolio_value)
-    nxt = F.broadcast(calendar.select("as_of", "next_as_of"))
-    cur = tgt.join(nxt, "as_of").filter(F.col("next_as_of").isNotNull()).withColumn("as_of", F.col("next_as_of")).drop("next_as_of")
-    return tgt, T.share_trades(cur, tgt)
+    return tgt, T.share_trades(T.consecutive(tgt, calendar, T.SHARE_FIELDS))
 
 
 def rebalance_summary(trades: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise.functions.exprs import C, _c
+from panelwise.functions.joins import bounded
 from panelwise.sources.panel import FIELDS
 
 # Texts that stand for a missing entry.
@@ -156,7 +157,7 @@ def manifest(bars: DataFrame, name: str, universe: str, validation: DataFrame) -
         F.count("*").alias("total_tickers"), F.count_if(F.col("status") == "OK").alias("valid_tickers"),
         F.count_if(F.col("status") != "OK").alias("failed_tickers"), F.sum("anomalies").alias("total_anomalies"),
     )
-    return data.join(F.broadcast(v)).select(
+    return data.join(bounded(v, 1)).select(
         F.lit(name).alias("snapshot_name"), F.lit(universe).alias("universe"), "*", F.lit(",".join(FIELDS)).alias("price_fields")
     )
 

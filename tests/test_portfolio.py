@@ -128,5 +128,6 @@ def test_share_trades_actions(spark):
     s = "strategy_id string, as_of date, ticker string, weight double, shares double, price double"
     cur = spark.createDataFrame([("s", D[0], "A", .5, 10.0, 5.0), ("s", D[0], "B", .5, 4.0, 2.0)], s)
     tgt = spark.createDataFrame([("s", D[0], "A", .5, 10.005, 5.0), ("s", D[0], "C", .5, 3.0, 7.0)], s)
-    got = {r.ticker: (r.action, r.notional_value) for r in T.share_trades(cur, tgt).collect()}
+    pairs_ = T.align(cur, tgt, T.SHARE_FIELDS)
+    got = {r.ticker: (r.action, r.notional_value) for r in T.share_trades(pairs_).collect()}
     assert got["A"][0] == "HOLD" and got["B"] == ("SELL", 8.0) and got["C"] == ("BUY", 21.0)
