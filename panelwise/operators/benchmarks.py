@@ -30,7 +30,7 @@ def random_selection(priced: DataFrame, n: int, trials: int, seed: int = 42) ->
     The draw depends only on (seed, trial, date, ticker), so a retried task draws the same names.
     """
     ok = priced.filter(F.col("price") > 0).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    draw = F.xxhash64(F.lit(seed), "trial", "as_of", "ticker")
+    draw = F.md5(F.concat_ws("|", F.lit(seed), "trial", "as_of", "ticker"))
     w = Window.partitionBy("trial", "as_of").orderBy(draw, "ticker")
     picked = ok.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
     return picked.withColumns({"weight": F.lit(1.0 / n), "strategy_id": F.concat(F.lit("random:"), F.col("trial"))})

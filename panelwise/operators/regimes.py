@@ -217,7 +217,7 @@ def returns_by_regime(labels: DataFrame) -> DataFrame:
 def current_summary(labels: DataFrame) -> DataFrame:
     """Latest label with the price's distance from its mean in percent; one row."""
     last = labels.agg(F.max_by(F.struct("date", "regime", "trend", "vol", "price", "ma", "vix"), "date").alias("s"))
-    return last.select("s.*").withColumn("price_vs_ma_pct", change("price", "ma") * 100.0)
+    return last.filter(F.col("s").isNotNull()).select("s.*").withColumn("price_vs_ma_pct", change("price", "ma") * 100.0)
 
 
 def history_stats(history: DataFrame, lookback_rows: int = 252) -> DataFrame:

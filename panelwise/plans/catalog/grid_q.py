@@ -156,7 +156,7 @@ ONE = dict(
     cm="SELECT *, product(1 + r) OVER (PARTITION BY wid, ph ORDER BY as_of) AS cum FROM sl",
     cd="SELECT *, cum / max(cum) OVER (PARTITION BY wid, ph ORDER BY as_of) - 1 AS dd FROM cm",
     sm="SELECT wid, ph, count(*) AS n, arg_max(cum, as_of) - 1 AS tr, stddev_samp(r) * sqrt(252) AS vol, min(dd) AS dd FROM cd GROUP BY 1, 2",
-    sm2="SELECT *, (pow(1 + tr, 252.0 / n) - 1) / vol AS sh FROM sm",
+    sm2="SELECT *, CASE WHEN vol > 0 THEN (pow(1 + tr, 252.0 / n) - 1) / vol ELSE 0 END AS sh FROM sm",
     bw="SELECT wid, arg_max(close, date) / arg_min(close, date) - 1 AS br FROM bars JOIN ws ON date >= c AND date < d WHERE ticker = 'Brand#1' GROUP BY 1",
 )
 
@@ -203,7 +203,7 @@ FRESH = dict(
     c1="SELECT c0.*, CASE WHEN k = 1 THEN 1 - t0 * 0.001 ELSE gross * (1 - turnover * 0.001) END AS f, CASE WHEN k > 1 THEN gross * (1 - turnover * 0.001) - 1 END AS r FROM c0 JOIN ft USING (as_of)",
     c2="SELECT *, product(f) OVER (PARTITION BY wid, ph ORDER BY as_of) AS nav FROM c1",
     c3="SELECT *, nav / max(nav) OVER (PARTITION BY wid, ph ORDER BY as_of) - 1 AS dd FROM c2",
-    m0="SELECT wid, ph, arg_max(nav, as_of) - 1 AS tr, avg(r) / stddev_samp(r) * sqrt(12) AS sh, min(dd) AS dd FROM c3 GROUP BY 1, 2",
+    m0="SELECT wid, ph, arg_max(nav, as_of) - 1 AS tr, coalesce(avg(r) / NULLIF(stddev_samp(r), 0) * sqrt(12), 0) AS sh, min(dd) AS dd FROM c3 GROUP BY 1, 2",
     m1="SELECT wid, max(tr) FILTER (ph = 'is') AS ir, max(tr) FILTER (ph = 'oos') AS orr, max(sh) FILTER (ph = 'is') AS ish, max(sh) FILTER (ph = 'oos') AS osh, max(dd) FILTER (ph = 'is') AS idd, max(dd) FILTER (ph = 'oos') AS odd FROM m0 GROUP BY 1",
 )
 
@@ -230,8 +230,8 @@ def walk_forward_fresh_windows(spark: SparkSession, root: str) -> DataFrame:
 
 
 STAB = {
-    "is_sharpe_mean": "avg(ish)", "is_sharpe_std": "stddev_samp(ish)", "is_sharpe_median": "quantile_cont(ish, 0.5)", "is_sharpe_cv": "abs(stddev_samp(ish) / avg(ish))",
-    "oos_sharpe_mean": "avg(osh)", "oos_sharpe_std": "stddev_samp(osh)", "oos_sharpe_median": "quantile_cont(osh, 0.5)", "oos_sharpe_cv": "abs(stddev_samp(osh) / avg(osh))",
+    "is_sharpe_mean": "avg(ish)", "is_sharpe_std": "stddev_samp(ish)", "is_sharpe_median": "quantile_cont(ish, 0.5)", "is_sharpe_cv": "abs(stddev_samp(ish) / NULLIF(avg(ish), 0))",
+    "oos_sharpe_mean": "avg(osh)", "oos_sharpe_std": "stddev_samp(osh)", "oos_sharpe_median": "quantile_cont(osh, 0.5)", "oos_sharpe_cv": "abs(stddev_samp(osh) / NULLIF(avg(osh), 0))",
     "is_return_mean": "avg(ir)", "oos_return_mean": "avg(orr)", "is_drawdown_mean": "avg(idd)", "oos_drawdown_mean": "avg(odd)", "sharpe_degradation": "avg(ish - osh)",
     "sharpe_degradation_std": "stddev_samp(ish - osh)", "return_degradation": "avg(ir - orr)", "pct_oos_positive": "avg(CASE WHEN orr > 0 THEN 1.0 ELSE 0.0 END)",
     "pct_oos_beats_is": "avg(CASE WHEN osh > ish THEN 1.0 ELSE 0.0 END)", "oos_sharpe_positive_pct": "avg(CASE WHEN osh > 0 THEN 1.0 ELSE 0.0 END)",

@@ -166,7 +166,7 @@ ACTIVE = dict(
 ACTIVE_COLS = {
     "strategy_total_return": "arg_max(se, date) - 1",
     "strategy_sharpe": "avg(r) / stddev_samp(r) * sqrt(252)",
-    "strategy_sortino": "avg(r - 0.02 / 252) * 252 / (stddev_samp(r) FILTER (r - 0.02 / 252 < 0) * sqrt(252))",
+    "strategy_sortino": "CASE WHEN count(*) FILTER (r < 0.02 / 252) = 0 THEN CAST('inf' AS DOUBLE) ELSE avg(r - 0.02 / 252) * 252 / (stddev_samp(r) FILTER (r - 0.02 / 252 < 0) * sqrt(252)) END",
     "strategy_max_dd": "min(sd)",
     "strategy_cagr": "pow(arg_max(se, date), 252.0 / count(*)) - 1",
     "benchmark_total_return": "arg_max(be, date) - 1",
@@ -396,11 +396,17 @@ def benchmark_perfect_foresight(spark: SparkSession, root: str) -> DataFrame:
     return B.value(w, calendar(spark, "month_end")).select("as_of", sig("nav").alias("nav"))
 
 
-@query("benchmark_random_selection")
+@query("benchmark_random_selection", with_ctes(
+    "bars members rebal_me",
+    f"SELECT as_of, {q_sig('avg(nav)', 7)} AS nav, {q_sig('stddev_samp(nav)', 7)} AS std FROM (SELECT trial, as_of, 100000 * product(coalesce(g, 1)) OVER (PARTITION BY trial ORDER BY as_of) AS nav FROM "
+    "(SELECT trial, as_of, lag(gross) OVER (PARTITION BY trial ORDER BY as_of) AS g FROM (SELECT trial, as_of, sum(CAST(0.2 AS DOUBLE) * growth) AS gross FROM dr WHERE k <= 5 GROUP BY 1, 2))) GROUP BY 1",
+    p=_px_sql("rebal_me"),
+    dr="SELECT *, row_number() OVER (PARTITION BY trial, as_of ORDER BY md5('42|' || trial || '|' || as_of || '|' || ticker), ticker) AS k FROM p CROSS JOIN (SELECT unnest(range(100)) AS trial) WHERE price > 0"))
 def benchmark_random_selection(spark: SparkSession, root: str) -> DataFrame:
-    """Mean and deviation over 100 seeded random portfolios; the hash draw has no SQL twin, see the tests."""
+    """Mean and deviation over 100 seeded random portfolios."""
     w = B.random_selection(priced(spark, root, "month_end"), 5, 100)
-    return B.random_summary(B.value(w, calendar(spark, "month_end")))
+    s = B.random_summary(B.value(w, calendar(spark, "month_end")))
+    return s.select("as_of", sig("nav", 7).alias("nav"), sig("std", 7).alias("std"))
 
 
 def benchmark_set(spark: SparkSession, root: str) -> DataFrame:
@@ -462,7 +468,7 @@ def portfolio_daily_returns(spark: SparkSession, root: str) -> DataFrame:
 
 @query("experiment_metrics", with_ctes(
     "px",
-    f"SELECT {q_sig('arg_max(nav, as_of) / arg_min(nav, as_of) - 1')} AS total_return, round(avg(s.r) / stddev_samp(s.r) * sqrt(12), 6) AS sharpe, "
+    f"SELECT {q_sig('arg_max(nav, as_of) / arg_min(nav, as_of) - 1')} AS total_return, round(coalesce(avg(s.r) / NULLIF(stddev_samp(s.r), 0) * sqrt(12), 0), 6) AS sharpe, "
     "round(stddev_samp(s.r) * sqrt(12), 6) AS volatility, round(avg(CASE WHEN s.r > 0 THEN 100.0 ELSE 0.0 END), 6) AS win_rate, "
     "round(avg(s.r - s.b) * 12 / (stddev_samp(s.r - s.b) * sqrt(12)), 6) AS information_ratio, round(stddev_samp(s.r - s.b) * sqrt(12), 6) AS tracking_error "
     "FROM (SELECT c.as_of, nav, returns AS r, bench / lag(bench) OVER (ORDER BY c.as_of) - 1 AS b FROM curve c JOIN bx USING (as_of)) s WHERE s.r IS NOT NULL", **CYC).replace(

@@ -93,7 +93,7 @@ def holdings_history(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("backtest_summary", with_ctes(
-    "px", f"SELECT {q_sig('arg_max(nav, as_of) / 100000 - 1')} AS total_return, round(avg(returns) / stddev_samp(returns) * sqrt(12), 6) AS sharpe_ratio, "
+    "px", f"SELECT {q_sig('arg_max(nav, as_of) / 100000 - 1')} AS total_return, round(coalesce(avg(returns) / NULLIF(stddev_samp(returns), 0) * sqrt(12), 0), 6) AS sharpe_ratio, "
     f"round(min(dd), 6) AS max_drawdown, {q_sig('sum(cost)')} AS total_costs, count(*) AS num_rebalances FROM "
     "(SELECT *, nav / max(nav) OVER (ORDER BY as_of) - 1 AS dd FROM curve)", **CSQL))
 def backtest_summary(spark: SparkSession, root: str) -> DataFrame:

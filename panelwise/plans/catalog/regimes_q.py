@@ -111,10 +111,10 @@ LABEL_SQL = dict(
 )
 
 
-@query("regime_indicators", with_ctes("bars macro_w", f"SELECT date, {q_sig('price', 11)} AS price, {q_sig('ma', 11)} AS ma, {q_sig('vix', 11)} AS vix FROM ind",
+@query("regime_indicators", with_ctes("bars macro_w", f"SELECT date, {q_sig('price', 13)} AS price, {q_sig('ma', 13)} AS ma, {q_sig('vix', 13)} AS vix FROM ind",
                                       **{k: LABEL_SQL[k] for k in ("b1", "ind")}))
 def regime_indicators(spark: SparkSession, root: str) -> DataFrame:
-    return indicators(spark, root).select("date", *[sig(c, 11).alias(c) for c in ("price", "ma", "vix")])
+    return indicators(spark, root).select("date", *[sig(c, 13).alias(c) for c in ("price", "ma", "vix")])
 
 
 @query("regime_label_history", with_ctes(

@@ -5,7 +5,7 @@ from conftest import SF
 import __spark_entry__ as entry
 
 # Queries that plain SQL cannot restate; each is checked against brute force in the other tests.
-NO_SQL = {"benchmark_random_selection", "optimizer_full_grid", "sharpe_difference_test"}
+NO_SQL = {"optimizer_full_grid", "sharpe_difference_test"}
 
 
 def test_every_query_has_its_check():
