@@ -42,7 +42,13 @@ def _replay(rows: DataFrame, key: str, parts: list[tuple[str, str]], build, sche
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     _land(rows, f"{root}/in", key, parts)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    _drain(build(stream), f"{root}/out", f"{root}/checkpoint")
+    # The number of state stores is fixed at a query's first start: one per core, as each costs a commit per batch.
+    stores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(stores))
+    try:
+        _drain(build(stream), f"{root}/out", f"{root}/checkpoint")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     return spark.read.schema(schema).parquet(f"{root}/out").filter(F.col(key) != FLUSH)
 
 
