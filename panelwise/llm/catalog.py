@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from panelwise.llm import decontamination
+from panelwise.llm import decontamination, fingerprints, licences, pseudonyms
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
+    "op4_pii_pseudonyms": pseudonyms.query,
+    "op7_fingerprints": fingerprints.query,
+    "op10_license_scan": licences.query,
 }
 
 SQL = {
     "op1_benchmark_decontamination": decontamination.SQL,
+    "op10_license_scan": licences.SQL,
 }
