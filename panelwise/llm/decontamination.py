@@ -31,7 +31,8 @@ def term_hash(term: Column) -> Column:
 
 def vocabulary(items: DataFrame) -> DataFrame:
     """Distinct term hashes of the items' texts, and the end marker."""
-    return items.select(F.explode_outer(F.array_append(words(F.col("text")), F.lit(END))).alias("term")).select(
+    end = items.sparkSession.range(1).select(F.lit(END).alias("term"))
+    return items.select(F.explode(words(F.col("text"))).alias("term")).union(end).select(
         term_hash(F.col("term")).alias("term")).distinct()
 
 
