@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from panelwise.llm import decontamination, fingerprints, licences, pseudonyms
+from panelwise.llm import (
+    decontamination, fingerprints, html_text, language_id, language_model, licences, ngram_join, packing, pseudonyms, toxicity,
+)
 
 QUERIES = {
     "op1_benchmark_decontamination": decontamination.query,
+    "op2_best_fit_packing": packing.query,
+    "op3_html_extraction": html_text.query,
     "op4_pii_pseudonyms": pseudonyms.query,
+    "op5_lm_scores": language_model.query,
+    "op6_language_id": language_id.query,
     "op7_fingerprints": fingerprints.query,
+    "op8_toxicity": toxicity.query,
+    "op9_ngram_jaccard_join": ngram_join.query,
     "op10_license_scan": licences.query,
 }
 
