@@ -1,7 +1,7 @@
 """Toxicity by gradient-boosted trees over dense features, with isotonic calibration.
 
-The lexicon is learned from all labelled training rows: words whose share of documents is far larger among toxic ones, with
-a weight each. Features of a text: lexicon hits (number, density, distinct, weighted, densest stretch), hits near
+The lexicon is learned from all labelled training rows: words, and beginnings of words, whose share of documents is far larger
+among toxic ones by a likelihood ratio, with a weight each. Features of a text: lexicon hits (number, density, distinct, weighted, densest stretch), hits near
 second-person words, hits that only show after undoing look-alike characters or spacing, capitals, punctuation,
 exclamation marks, obfuscated and repeated words, length. Trees are grown on histograms of at most ``BINS`` bins in numpy on
 at most about ``TRAIN_ROWS`` labelled rows (a parameter); one fold of them isn't used by the trees and fits the calibration.
@@ -22,7 +22,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise.llm.common import stored, words
 
-LEXICON, BINS, TREES, DEPTH, RATE = 200, 64, 80, 3, 0.15
+LEXICON, BINS, TREES, DEPTH, RATE = 400, 64, 80, 3, 0.15
+# A lexicon entry that ends in * stands for all words that begin so.
+BEGINNINGS = (4, 5)
+LEAST_RATIO, LEAST_WEIGHT = 20.0, 2.0
 TRAIN_ROWS = 40_000
 THRESHOLD = 0.7
 # Second-person words of English, German, French and Spanish.
@@ -43,27 +46,45 @@ def fold(n: int) -> Column:
 
 
 def lexicon(labelled: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """word -> weight: the words that tell toxic documents from others best; ``size`` bounds what reaches the driver."""
+    """entry -> weight: what tells toxic documents from others best; ``size`` bounds what reaches the driver."""
     total = labelled.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     t, c = int(total["t"] or 0), int(total["n"]) - int(total["t"] or 0)
     if not t or not c:
         return {}
-    by_word = labelled.select("toxic", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(
-        F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).where("a >= 5")
+    w = words(F.lower("text"))
+    begun = [F.transform(F.filter(w, lambda x, k=k: F.length(x) > k), lambda x, k=k: F.concat(F.left(x, F.lit(k)), F.lit("*")))
+             for k in BEGINNINGS]
+    by_entry = labelled.select("toxic", F.explode_outer(F.array_distinct(F.concat(w, *begun))).alias("word")).groupBy("word").agg(
+        F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")).where("a >= 3 AND word IS NOT NULL")
     a, b = F.col("a"), F.col("n") - F.col("a")
     weight = F.log((a + 0.5) / (t - a + 0.5)) - F.log((b + 0.5) / (c - b + 0.5))
-    sure = weight / F.sqrt(1 / (a + 0.5) + 1 / (t - a + 0.5) + 1 / (b + 0.5) + 1 / (c - b + 0.5))
-    best = by_word.select("word", weight.alias("w"), sure.alias("z")).where("z > 4 AND w > 1").orderBy(
-        F.desc("z"), "word").limit(size).collect()
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    share = F.col("n") / float(t + c)
+    ratio = 2 * (part(a, t * share) + part(t - a, t * (1 - share)) + part(b, c * share) + part(c - b, c * (1 - share)))
+    best = by_entry.select("word", weight.alias("w"), ratio.alias("r")).where(
+        (F.col("r") > LEAST_RATIO) & (F.col("w") > LEAST_WEIGHT)).orderBy(F.desc("r"), "word").limit(size).collect()
     return {r["word"]: float(r["w"]) for r in best}
 
 
+def weight_of(word: str, lex: dict[str, float]) -> float:
+    """The entry of the word itself, else of its longest beginning; 0 if there is none."""
+    found = lex.get(word)
+    for k in reversed(BEGINNINGS):
+        if found is None and len(word) > k:
+            found = lex.get(word[:k] + "*")
+    return found or 0.0
+
+
 def features(text: str | None, lex: dict[str, float]) -> list[float]:
     text = text or ""
     low = text.lower()
     tokens = _WORD.findall(low)
     n = max(1, len(tokens))
-    at = [i for i, w in enumerate(tokens) if w in lex]
+    found = {w: v for w in set(tokens) if (v := weight_of(w, lex))}
+    at = [i for i, w in enumerate(tokens) if w in found] if found else []
     you = [i for i, w in enumerate(tokens) if w in SECOND_PERSON] if at else []
     spots = np.searchsorted(you, at) if you else []
     near = sum(1 for i, s in zip(at, spots) if (s < len(you) and you[s] - i <= NEAR) or (s > 0 and i - you[s - 1] <= NEAR))
@@ -72,13 +93,13 @@ def features(text: str | None, lex: dict[str, float]) -> list[float]:
     for m in _ODD.finditer(low):
         odd += 1
         plain = m.group().translate(_SEPARATORS).replace(" ", "").translate(_LOOKALIKE)
-        hidden += (plain in lex or _REPEAT.sub(r"\1", plain) in lex) and m.group() not in lex
+        hidden += bool(weight_of(plain, lex) or weight_of(_REPEAT.sub(r"\1", plain), lex)) and not weight_of(m.group(), lex)
     repeats = _REPEAT.findall(low)
     raw = text.encode()
     capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     marks = len(raw) - len(raw.translate(None, b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
     size = max(1, len(raw))
-    return [len(at), len(at) / n, len({tokens[i] for i in at}), sum(lex[tokens[i]] for i in at), sum(lex[tokens[i]] for i in at) / n,
+    return [len(at), len(at) / n, len({tokens[i] for i in at}), sum(found[tokens[i]] for i in at), sum(found[tokens[i]] for i in at) / n,
             densest, near, near / n, hidden, hidden / n, capitals / size, marks / size, raw.count(b"!") / size,
             (odd + len(repeats)) / n, np.log1p(len(tokens))]
 
@@ -108,7 +129,7 @@ def grow(x: np.ndarray, grad: np.ndarray, hess: np.ndarray, n_bins: int) -> tupl
             g, h, c = (np.bincount(key, w, k * n_bins).reshape(k, n_bins) for w in (grad, hess, None))
             gl, hl, cl = g.cumsum(1), h.cumsum(1), c.cumsum(1)
             gt, ht, ct = gl[:, -1:], hl[:, -1:], cl[:, -1:]
-            ok = (cl >= 20) & (ct - cl >= 20)
+            ok = (cl >= 5) & (ct - cl >= 5)
             gain[:, j] = np.where(ok, gl ** 2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt ** 2 / (ht + 1), -np.inf)
         best = gain.reshape(k, -1).argmax(1)
         top = gain.reshape(k, -1).max(1)
