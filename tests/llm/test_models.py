@@ -114,21 +114,28 @@ def test_language_model_counts_against_brute_force(spark, documents):
 
 def test_language_model_is_a_distribution_and_causal():
     rng = np.random.default_rng(0)
-    m = lm.train([rng.integers(0, 5, 80) for _ in range(20)], 5, np.full(5, 0.2))
-    two = [np.array([a, b]) for a in range(5) for b in range(5)]
+    m = lm.train([rng.integers(0, 7, 80) for _ in range(20)], [np.full(4, 0.25), np.full(4, 0.25)], 5)
+    two = [np.array([a, b]) for a in range(7) for b in range(7)]  # class 6 is what lies beyond the last level
     assert abs(np.exp(lm.log_probabilities(two, m)).sum() - 1) < 1e-4
-    s = rng.integers(0, 5, 50)
+    s = rng.integers(0, 7, 50)
     parts = [lm.log_probabilities([s[:i]], m)[0] for i in range(1, 51)]
+    assert (np.diff(parts) < 0).all()
     other = s.copy()
-    other[40:] = (other[40:] + 1) % 5
+    other[40:] = (other[40:] + 1) % 7
     assert abs(parts[39] - lm.log_probabilities([other[:40]], m)[0]) < 1e-6
     assert abs(lm.log_probabilities([s, other], m)[0] - parts[-1]) < 1e-4
 
 
-def test_language_model_gradient_learns_order():
-    seq = [np.arange(i, i + 64) % 6 for i in range(1500)]
-    m = lm.train(seq, 6, np.full(6, 1 / 6))
-    assert lm.log_probabilities([np.arange(32) % 6], m)[0] / 32 > -0.4
+def test_language_model_uses_what_is_further_back():
+    """Every second id repeats the id three places before, which pairs of ids can't tell."""
+    rng = np.random.default_rng(5)
+    seq = []
+    for _ in range(1500):
+        s = rng.integers(0, 6, 64)
+        s[4::2] = s[1:-3:2][:len(s[4::2])]
+        seq.append(s)
+    m = lm.train(seq[:-50], [np.full(7, 1 / 7), np.full(2, 0.5)], 6)
+    assert lm.log_probabilities(seq[-50:], m).mean() / 64 > np.log(1 / 6) * 0.85
 
 
 def test_language_model_beats_the_base_line(spark, documents):
