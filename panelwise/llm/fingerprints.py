@@ -128,10 +128,11 @@ def as_text(sig: Column) -> Column:
 def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id, next_id, n_chars, edited_sha256, own, other, next: signatures of the text, its edit and the next text."""
     parts = edited(docs, ordered(docs))
-    sig = stored(signatures(weights(parts), samples))
-    meta = stored(parts.select("doc_id", "next_id", "n_chars", F.sha2(F.concat("head", "patch"), 256).alias("edited_sha256")))
-    after = sig.select(F.col("doc_id").alias("next_id"), F.col("own").alias("next"))
-    return meta.join(sig, "doc_id", "left").join(after, "next_id", "left")
+    # Both branches read the same exchange of texts, and meet again without another one.
+    meta = parts.select("doc_id", "next_id", "n_chars", F.sha2(F.concat("head", "patch"), 256).alias("edited_sha256"))
+    out = stored(meta.join(signatures(weights(parts), samples), "doc_id", "left"))
+    after = out.select(F.col("doc_id").alias("next_id"), F.col("own").alias("next"))
+    return out.join(after, "next_id", "left")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
