@@ -132,8 +132,8 @@ def param_table(spark: SparkSession, sets: list[ParamSet]) -> DataFrame:
 
 
 def strategy_key(param_id: Column, universe_no: Column, top_n: Column) -> Column:
-    """One integer per configuration, cheaper to shuffle than its name."""
-    return (param_id * 1000 + universe_no * 100 + top_n).cast("int")
+    """One long per configuration, cheaper to shuffle than its name; 20 bits each for universe and size."""
+    return F.shiftleft(param_id.cast("long"), 40).bitwiseOR(F.shiftleft(universe_no.cast("long"), 20)).bitwiseOR(top_n.cast("long"))
 
 
 def config_table(spark: SparkSession, sets: list[ParamSet], universes: list[str], top_n: list[int] = TOP_N) -> DataFrame:

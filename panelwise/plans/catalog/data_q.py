@@ -154,15 +154,14 @@ def incremental_new_rows(spark: SparkSession, root: str) -> DataFrame:
     return ingest.new_rows(old, new).select("ticker", "date", sig("close", 13).alias("close"))
 
 
-BRANDS = [f"Brand#{i}" for i in range(1, 26)]
-
-
 @query("wide_panel_to_long", with_ctes("bars", f"SELECT date, ticker, {BAR_SQL} FROM bars"))
 def wide_panel_to_long(spark: SparkSession, root: str) -> DataFrame:
     """Wide layout (one column per ticker and field) and back."""
     b = bars_from_orders(spark, root)
+    # A wide table has a column for each ticker, so its width is that of the dimension.
+    tickers = sorted(r[0] for r in table(spark, root, "part").select("p_brand").distinct().collect())
     wide = b.groupBy("date").agg(
-        *[F.max(F.when(F.col("ticker") == t, F.col(f))).alias(f"{t}|{f.capitalize()}") for t in BRANDS for f in FIELDS]
+        *[F.max(F.when(F.col("ticker") == t, F.col(f))).alias(f"{t}|{f.capitalize()}") for t in tickers for f in FIELDS]
     )
     return wide_to_long(wide).select("date", "ticker", *bar_cols())
 

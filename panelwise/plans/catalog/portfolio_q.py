@@ -116,13 +116,13 @@ def ewma_covariance(spark: SparkSession, root: str) -> DataFrame:
     return c.select("as_of", "i", "j", num("cov").alias("cov"))
 
 
-TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-
-
 @query("one_hot_exposures", with_ctes(
-    "reference", "SELECT ticker, " + ", ".join(f"CAST(sector = '{t}' AS DOUBLE) AS {t}" for t in TYPES) + " FROM reference"))
+    "reference", "SELECT * FROM (PIVOT (SELECT ticker, sector, 1.0::DOUBLE AS v FROM reference) ON sector USING coalesce(max(v), 0.0::DOUBLE) GROUP BY ticker)"))
 def one_hot_exposures(spark: SparkSession, root: str) -> DataFrame:
-    return T.exposures_one_hot(reference_from_orders(spark, root), "sector", TYPES)
+    """A column for each category that the dimension holds."""
+    reference = reference_from_orders(spark, root)
+    kinds = sorted(r[0] for r in reference.select("sector").distinct().collect())
+    return T.exposures_one_hot(reference, "sector", kinds)
 
 
 # --- overlays ------------------------------------------------------------------------------------------------------
@@ -335,10 +335,15 @@ def production_run_q(spark: SparkSession, root: str) -> DataFrame:
 
 @query("rebalance_calendars", with_ctes(
     "days rebal rebal_w rebal_me rebal_qe",
+    "SELECT schedule, as_of, CAST(coalesce(sum(n), 0) AS BIGINT) AS orders FROM (SELECT *, lag(as_of) OVER (PARTITION BY schedule ORDER BY as_of) AS prev FROM ("
     "SELECT 'monthly' AS schedule, as_of FROM rebal UNION ALL SELECT 'weekly', as_of FROM rebal_w UNION ALL SELECT 'month_end', as_of FROM rebal_me "
     "UNION ALL SELECT 'quarter_end', as_of FROM rebal_qe UNION ALL SELECT 'every_21', d FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS k FROM days "
-    "WHERE isodow(d) < 6) WHERE k % 21 = 0"))
+    "WHERE isodow(d) < 6) WHERE k % 21 = 0)) c LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1) o "
+    "ON day <= as_of AND (prev IS NULL OR day > prev) GROUP BY 1, 2"))
 def rebalance_calendars(spark: SparkSession, root: str) -> DataFrame:
+    """Dates of each schedule with the orders since the one before."""
+    from panelwise.sources.panel import table
+
     one = spark.range(1)
     cells = [
         one.select(F.lit(s).alias("schedule"), F.explode(schedule_days(START, END, s)).alias("as_of"))
@@ -348,7 +353,12 @@ def rebalance_calendars(spark: SparkSession, root: str) -> DataFrame:
     out = cells[0]
     for c in cells[1:]:
         out = out.unionByName(c)
-    return out
+    out = out.withColumn("prev", F.lag("as_of").over(Window.partitionBy("schedule").orderBy("as_of")))
+    # Both sides have one row a day at most.
+    daily = table(spark, root, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    since = (F.col("day") <= F.col("as_of")) & (F.col("prev").isNull() | (F.col("day") > F.col("prev")))
+    return out.join(bounded(daily, DAYS), since, "left").groupBy("schedule", "as_of").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("orders"))
 
 
 @query("next_rebalance_dates", with_ctes(

@@ -47,7 +47,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "members": ((), "SELECT DISTINCT p_brand AS ticker FROM part"),
     "macro_w": (
         (),
-        "SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) * 4.0 AS DOUBLE) AS VIX, "
+        "SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) AS DOUBLE) / avg(count(*)) OVER () * 25.0 AS VIX, "
         "avg(o_totalprice) / 250000.0 - 1.0 AS T10Y2Y, "
         + ", ".join(
             f"avg(CASE WHEN o_orderpriority = '{p}' THEN o_totalprice END) / 100000.0 AS {k}"

@@ -6,7 +6,7 @@ same shapes from the star-schema tables, so that every registered query works on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelwise.functions.exprs import nan_to_null, ratio
 
@@ -109,13 +109,17 @@ MACRO_FROM_PRIORITY = {
 }
 
 
-def macro_from_orders(spark: SparkSession, root: str, vix_scale: float = 4.0) -> DataFrame:
-    """Long macro table (indicator, date, value), one partial aggregate over orders and an explode."""
+def macro_from_orders(spark: SparkSession, root: str, vix_level: float = 25.0) -> DataFrame:
+    """Long macro table (indicator, date, value), one partial aggregate over orders and an explode.
+
+    The volatility proxy is a day's orders over the mean of all days, at ``vix_level`` on an average day, so it doesn't grow
+    with the number of orders. The mean runs over one row for each day.
+    """
     o = table(spark, root, "orders").select(
         F.col("o_orderdate").cast("date").alias("date"), "o_totalprice", "o_orderpriority", "o_orderstatus"
     )
     daily = o.groupBy("date").agg(
-        (F.count("*") * F.lit(vix_scale)).alias("VIX"),
+        F.count("*").alias("n"),
         (F.avg("o_totalprice") / 250000.0 - 1.0).alias("T10Y2Y"),
         *[
             (F.avg(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))) / 100000.0).alias(k)
@@ -124,6 +128,8 @@ def macro_from_orders(spark: SparkSession, root: str, vix_scale: float = 4.0) ->
         (F.max("o_totalprice") / 1000.0).alias("CPI"),
         (F.avg(F.when(F.col("o_orderstatus") == "F", 10.0).otherwise(0.0))).alias("UNRATE"),
     )
+    share = F.col("n") / F.avg("n").over(Window.partitionBy(F.lit(0)))
+    daily = daily.select("date", (share * F.lit(vix_level)).alias("VIX"), *[c for c in daily.columns if c not in ("date", "n")])
     names = [c for c in daily.columns if c != "date"]
     cells = F.array(*[F.struct(F.lit(n).alias("indicator"), F.col(n).alias("value")) for n in names])
     return daily.select("date", F.inline(cells)).filter(F.col("value").isNotNull())

@@ -9,9 +9,10 @@ from pyspark.sql.types import StructType
 from panelwise.sources.ingest import last_write_wins
 
 
-def bar_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    """Bar files arriving in a folder."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def bar_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = 1) -> DataFrame:
+    """Bar files arriving in a folder; None takes all that have arrived into one batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(path)
 
 
 def append_versions(stream: DataFrame, table: str, checkpoint: str, order: str) -> StreamingQuery:

@@ -104,7 +104,6 @@ def test_parsers(spark):
     got = df.select(ingest.clean_ticker("t").alias("t"), ingest.parse_percent("p").alias("p")).collect()
     assert [r.t for r in got] == ["SPY", None, None, "BRK", None]
     assert [r.p for r in got] == [0.09, 1234.0, None, None, None]
-    assert ingest.clean_name("  Expense Ratio (%) ") == "expense_ratio"
 
 
 @pytest.mark.parametrize("provider,name,want", [
