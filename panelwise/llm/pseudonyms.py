@@ -5,7 +5,7 @@ their format: a value's symbols (digits, letters, octets) are split into two hal
 half is shifted, within its own alphabet, by a keyed hash of the other half. That is a permutation for any key, so equal
 values stay equal across documents and different ones stay different; layout, case, separators, e-mail domains, country
 codes and check digits stay valid. Dates move within 1900 to 2099, leap days to leap days. Secrets (long hexadecimal or
-vendor-prefixed strings) are permuted by character class.
+vendor-prefixed strings, and what follows words like password=) are permuted by character class.
 
 Defined cases: null text stays null; text without candidates is unchanged; candidates that fail validation stay as they
 are; each input row gives one row; all other columns are kept, whatever their names. Only text is read.
@@ -29,7 +29,8 @@ DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:(?:\d{4}[ -]){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
 SECRET = (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}"
-          r"|xox[abpr]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")
+          r"|xox[abpr]-[A-Za-z0-9-]{10,}"
+          r"|(?<=(?:password|passwd|secret|token|api_key|apikey)(?:=|:|: | = )[\"']{0,1})[A-Za-z0-9]{6,})(?![A-Za-z0-9])")
 # In this order: what a more telling pattern takes isn't offered to a later one.
 KINDS = {"email": EMAIL, "ip": IP, "iban": IBAN, "secret": SECRET, "phone": PHONE, "date": DATE, "ssn": SSN, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
@@ -150,7 +151,7 @@ def secret(s: Column, key: str) -> Column:
         moved = feistel(value, F.transform(chars, lambda c: F.lit(16)), key, "hex")
         return F.array_join(F.transform(moved, lambda v: F.lower(F.hex(v.cast("long")))), "")
     other = F.concat(prefix, permute_text(F.substring(s, F.length(prefix) + 1, F.length(s)), key, "secret"))
-    return F.when(prefix == "", let(F.filter(F.split(s, ""), lambda c: c != ""), as_hex)).otherwise(other)
+    return F.when((prefix == "") & s.rlike("^[0-9a-f]+$"), let(F.filter(F.split(s, ""), lambda c: c != ""), as_hex)).otherwise(other)
 
 
 def date(s: Column, key: str) -> Column:
@@ -185,7 +186,7 @@ def kind_of(s: Column) -> Column:
     for name, pattern in KINDS.items():
         if name != "email":
             out = out.when(s.rlike(f"^(?:{pattern})$"), F.lit(name))
-    return out
+    return out.otherwise(F.lit("secret"))  # found by what stands before it
 
 
 def pseudonym(s: Column, key: str) -> Column:

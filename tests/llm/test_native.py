@@ -70,7 +70,7 @@ def test_proximity(spark):
 
 TEXT = ("Mail bob.smith42@mail2.example.com, +1 (434) 555-9575, card 4111 1111 1111 1111, ip 92.130.43.179, 300.1.1.1, "
         "2024-02-29, 31.12.2020, 31/02/2020, iban GB82 WEST 1234 5698 7654 32, 123-45-6789, "
-        "key 1cc70516e0d322a6ab337a55224c508422771b75, 1234567890123456")
+        "key 1cc70516e0d322a6ab337a55224c508422771b75, 1234567890123456, password=a1b2c3d4e5 token = \"Zz9Yy8Xx\"")
 
 
 def luhn(s):
@@ -83,7 +83,7 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert b == a.replace(", ", " ; ") and c is None and d == "no data"
     shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d+", "0", s)))
     assert shape(a.split("iban")[0]) == shape(TEXT.split("iban")[0])
-    for value in ("bob.smith42", "434", "4111 1111", "92.130.43.179", "2024-02-29", "31.12.2020", "1234 5698", "123-45-6789", "1cc70516"):
+    for value in ("bob.smith42", "434", "4111 1111", "92.130.43.179", "2024-02-29", "31.12.2020", "1234 5698", "123-45-6789", "1cc70516", "a1b2c3d4e5", "Zz9Yy8Xx"):
         assert value not in a
     for kept in ("300.1.1.1", "31/02/2020", "1234567890123456", "@mail2.example.com", "+1 ("):
         assert kept in a
