@@ -188,19 +188,23 @@ def period_composite(periods: DataFrame) -> DataFrame:
     )
 
 
-def trailing_score(returns: DataFrame, trailing_rows: int = 252) -> DataFrame:
-    """Sharpe of the last rows; fewer than 20 give minus infinity. Long series count as weekly, short ones as monthly."""
+def trailing_score(returns: DataFrame, trailing_rows: int = 252, periods_per_year: float = 12.0) -> DataFrame:
+    """Sharpe of the last rows, annualised by the schedule's periods; fewer than 20 rows give minus infinity."""
     by = Window.partitionBy("strategy_id")
-    r = returns.filter(F.col("r").isNotNull()).withColumns({
-        "_k": F.row_number().over(by.orderBy(F.col("date").desc())), "_n": F.count("r").over(by)})
+    r = returns.filter(F.col("r").isNotNull()).withColumn("_k", F.row_number().over(by.orderBy(F.col("date").desc())))
     t = r.filter(F.col("_k") <= trailing_rows).groupBy("strategy_id").agg(
-        F.count("*").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.max("_n").alias("all"))
-    ppy = F.when(F.col("all") > 100, 52.0).otherwise(12.0)
+        F.count("*").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
+    ppy = F.lit(float(periods_per_year))
     return t.select("strategy_id", "n", F.when(F.col("n") < 20, float("-inf")).otherwise(
         F.coalesce(ratio("m", "s") * F.sqrt(ppy), F.lit(0.0))).alias("trailing_score"))
 
 
-def regime_weighted_score(stats: DataFrame, weights: DataFrame) -> DataFrame:
-    """Sharpe by regime averaged with regime shares as weights. ``weights``: (regime, share), one row per regime."""
+def regime_weighted_score(stats: DataFrame, weights: DataFrame, strategies: DataFrame) -> DataFrame:
+    """Sharpe by regime averaged with regime shares as weights. ``weights``: (regime, share), one row per regime.
+
+    ``strategies``: strategy_id of all that are ranked; one without a weighted regime gets minus infinity.
+    """
     j = stats.join(bounded(weights, CONFIGS), "regime").filter((F.col("share") > 0) & F.col("sharpe_ratio").isNotNull())
-    return j.groupBy("strategy_id").agg(ratio(F.sum(F.col("share") * F.col("sharpe_ratio")), F.sum("share")).alias("regime_score"))
+    s = j.groupBy("strategy_id").agg(ratio(F.sum(F.col("share") * F.col("sharpe_ratio")), F.sum("share")).alias("regime_score"))
+    return strategies.select("strategy_id").join(s, "strategy_id", "left").withColumn(
+        "regime_score", F.coalesce("regime_score", F.lit(float("-inf"))))

@@ -21,16 +21,16 @@ from panelwise.sources.panel import bars_from_orders, members_from_orders
 from panelwise.sources.storage import durable
 
 # Nested universes of the panel: the first 8 and 16 brands, and all of them.
-UNIVERSES = {"tier2": 8, "tier3": 16, "tier4": 25}
+UNIVERSES = {"tier2": 8, "tier3": 16, "tier4": None}
 FIRST, LAST = "1995-01-02", "2001-10-31"
 CHECKED = ["momentum", "momentum_acceleration"]
 
 
 def universe_rows(spark: SparkSession, root: str) -> DataFrame:
     no = F.regexp_extract("ticker", r"(\d+)$", 1).cast("int")
-    tiers = F.array(*[F.struct(F.lit(i).alias("universe_no"), F.lit(n).alias("size")) for i, n in enumerate(UNIVERSES.values())])
+    tiers = F.array(*[F.struct(F.lit(i).alias("universe_no"), F.lit(n).cast("int").alias("size")) for i, n in enumerate(UNIVERSES.values())])
     m = members_from_orders(spark, root).select("ticker", no.alias("no"), F.inline(tiers))
-    return m.filter(F.col("no") <= F.col("size")).select("universe_no", "ticker")
+    return m.filter(F.col("size").isNull() | (F.col("no") <= F.col("size"))).select("universe_no", "ticker")
 
 
 def curves(spark: SparkSession, root: str, schedule: str, alphas: list[str] | None = None) -> DataFrame:
@@ -76,7 +76,7 @@ GRID_SQL = dict(
     "any_value(mp) AS mp, any_value(sl) AS sl FROM wn w JOIN ps ON w.back <= ps.ll + 50 GROUP BY 1, 2, 3",
     sc="SELECT pid, ticker, as_of, CASE WHEN n >= mp AND n >= 2 THEN CASE WHEN sl > 0 THEN (pl / p2 - 1) - (pl / p1 - 1) ELSE pl / p1 - 1 END END AS score FROM ag",
     uv="SELECT ticker, CAST(substr(ticker, 7) AS INTEGER) AS no FROM members",
-    un="SELECT t.un, t.uname, u.ticker FROM uv u JOIN (VALUES (0, 'tier2', 8), (1, 'tier3', 16), (2, 'tier4', 25)) t(un, uname, sz) ON u.no <= t.sz",
+    un="SELECT t.un, t.uname, u.ticker FROM uv u JOIN (VALUES (0, 'tier2', 8), (1, 'tier3', 16), (2, 'tier4', NULL)) t(un, uname, sz) ON t.sz IS NULL OR u.no <= t.sz",
     fs="SELECT p.pid, un.un, un.uname, un.ticker, r.as_of, s.score FROM ps p CROSS JOIN un CROSS JOIN rebal r LEFT JOIN sc s ON s.pid = p.pid AND s.ticker = un.ticker AND s.as_of = r.as_of",
     rk="SELECT *, row_number() OVER (PARTITION BY pid, un, as_of ORDER BY score DESC NULLS LAST, ticker) AS k FROM fs",
     fan="SELECT rk.*, t.tn, pid * 1000 + un * 100 + tn AS sid FROM rk JOIN (VALUES (3), (5), (7)) t(tn) ON rk.k <= t.tn",
@@ -322,7 +322,7 @@ def grid_returns(spark: SparkSession, root: str) -> DataFrame:
     "px", "SELECT config_name, count(*) AS n, round(coalesce(avg(r) / NULLIF(stddev_samp(r), 0) * sqrt(12), 0), 6) AS trailing_score FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY as_of DESC) AS k FROM rt WHERE r IS NOT NULL) "
     "JOIN nm USING (sid) WHERE k <= 36 GROUP BY 1", **GRID_SQL))
 def trailing_window_scores(spark: SparkSession, root: str) -> DataFrame:
-    t = WF.trailing_score(grid_returns(spark, root), 36)
+    t = WF.trailing_score(grid_returns(spark, root), 36, 12)
     t = t.join(bounded(configs(spark, "monthly", CHECKED).select("strategy_id", "config_name"), CONFIGS), "strategy_id")
     return t.select("config_name", "n", num("trailing_score").alias("trailing_score"))
 
@@ -344,12 +344,13 @@ def regimes_on(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("regime_weighted_scores", with_ctes(
-    "px macro_w", f"SELECT config_name, {q_sig('sum(share * sh) / sum(share)', 7)} AS regime_score FROM st JOIN dist USING (regime) JOIN nm USING (sid) GROUP BY 1", **REG_SQL))
+    "px macro_w", f"SELECT config_name, coalesce(score, CAST('-infinity' AS DOUBLE)) AS regime_score FROM nm LEFT JOIN (SELECT sid, {q_sig('sum(share * sh) / sum(share)', 7)} AS score FROM st JOIN dist USING (regime) GROUP BY 1) USING (sid)", **REG_SQL))
 def regime_weighted_scores(spark: SparkSession, root: str) -> DataFrame:
     stats = R.strategy_by_regime(grid_returns(spark, root), regimes_on(spark, root))
-    s = WF.regime_weighted_score(stats, R.distribution(labels(spark, root)))
-    s = s.join(bounded(configs(spark, "monthly", CHECKED).select("strategy_id", "config_name"), CONFIGS), "strategy_id")
-    return s.select("config_name", sig("regime_score", 7).alias("regime_score"))
+    named = configs(spark, "monthly", CHECKED).select("strategy_id", "config_name")
+    s = WF.regime_weighted_score(stats, R.distribution(labels(spark, root)), named).join(bounded(named, CONFIGS), "strategy_id")
+    score = F.when(F.col("regime_score") == float("-inf"), F.col("regime_score")).otherwise(sig("regime_score", 7))
+    return s.select("config_name", score.alias("regime_score"))
 
 
 @query("finalist_regime_mapping", with_ctes(
