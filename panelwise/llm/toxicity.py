@@ -210,7 +210,8 @@ def with_score(featured: DataFrame, model: dict, into: str = "score") -> DataFra
 def learn_and_score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, features, score of every row of docs, learned from ``labels`` (doc_id, toxic) of documents in docs."""
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lex = lexicon(docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic"))
+    # One plan for every size: labels grow with the documents, so they aren't broadcast while they happen to be small.
+    lex = lexicon(docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "toxic"))
     featured = stored(with_features(docs.select("doc_id", "text"), lex).select("doc_id", "features"))
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
