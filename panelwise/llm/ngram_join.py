@@ -6,9 +6,9 @@ equal sets are one class, and only classes are joined. Classes that share a pref
 fit, if enough shingles are left behind the shared place, and if the counts of their shingles by hash range allow the
 overlap; each candidate pair is verified once on the texts themselves.
 
-Components need not see every pair: a first round joins each posting list to one of its members; the second takes every
-pair of a list whose two sides aren't in one component yet, leaving no link between components unseen. Lists where all
-members are already connected, as in a large group of copies, cost nothing more.
+Components need not see every pair: in the first rounds each class is tried against one member of the largest component of
+its posting lists; the last round takes every pair of a list whose two sides aren't in one component yet, leaving no link
+between components unseen. Lists where all members are already connected, as in a large group of copies, cost nothing more.
 
 Defined cases: null, empty and wordless texts have no shingles and no links and are their own component; rows with one id
 and one text are one row, with one id and several texts one row each; rows without doc_id are left out; ties go to the
@@ -17,6 +17,7 @@ smallest id; an empty table gives an empty result. Only doc_id and text are read
 
 from __future__ import annotations
 
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -25,15 +26,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwise.llm.common import broadcast_checked, stored, text_key
 from panelwise.llm.components import components
 from panelwise.llm.shingles import shingle_sets
 
 WORDS, NUM, DEN = 4, 85, 100
-# The sketch has 2 ** 20 counters, in chunks that are added up apart.
-SKETCH_BITS, CHUNKS, SALTS = 20, 64, 16
+# The sketch has 2 ** 22 counters, in chunks that are added up apart.
+SKETCH_BITS, CHUNKS, SALTS = 22, 64, 16
+PIVOT_ROUNDS = 2
 # Hash ranges by which shingles are counted for the suffix filter.
 RANGES = 64
 # Sets that a task keeps while it verifies pairs.
@@ -44,12 +46,20 @@ def _sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
     return shingle_sets(pc.cast(batch.column(column), pa.binary()).to_pylist(), k)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<i8")
+
+
 def profile(docs: DataFrame, k: int) -> DataFrame:
     """Per document: doc_id, text_key, n, cls (hash of its set), ranges (counts by hash range); per task: chunks of a sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         ids = None
         for batch in batches:
             ids = batch.column("doc_id")
@@ -69,7 +79,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(CHUNKS, ids.type), *[pa.nulls(CHUNKS, pa.int64())] * 3,
                  pa.nulls(CHUNKS, pa.binary()), pa.array(range(CHUNKS), pa.int32()),
-                 pa.array([task] * CHUNKS, pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], names)
+                 pa.array([task] * CHUNKS, pa.int32()), pa.array([packed(p) for p in parts], pa.binary())], names)
 
     names = ["doc_id", "text_key", "n", "cls", "ranges", "chunk", "salt", "counts"]
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(
@@ -79,9 +89,8 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
 def rarity(profiles: DataFrame) -> np.ndarray:
     """The added-up sketch: as many counters as SKETCH_BITS says, whatever the number of documents."""
     def add(table: pa.Table) -> pa.Table:
-        out = sum(np.frombuffer(b, "<i8") for b in table.column("counts").to_pylist())
-        return table.slice(0, 1).set_column(table.schema.get_field_index("counts"), "counts",
-                                            pa.array([out.astype("<i8").tobytes()], pa.binary()))
+        out = sum(map(unpacked, table.column("counts").to_pylist()))
+        return table.slice(0, 1).set_column(table.schema.get_field_index("counts"), "counts", pa.array([packed(out)], pa.binary()))
 
     rows = profiles.where("chunk IS NOT NULL").select("chunk", "salt", "counts")
     schema = "chunk int, salt int, counts binary"
@@ -89,13 +98,13 @@ def rarity(profiles: DataFrame) -> np.ndarray:
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     width = len(sketch) // CHUNKS
     for r in parts.collect():
-        sketch[r["chunk"] * width:(r["chunk"] + 1) * width] = np.frombuffer(r["counts"], "<i8")
+        sketch[r["chunk"] * width:(r["chunk"] + 1) * width] = unpacked(r["counts"])
     return sketch
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
     """(shingle, cls, n, pos): the rarest shingles of each class. A task emits a class once."""
-    counts = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int64))
+    counts = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, (1 << 32) - 1).astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -122,8 +131,24 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) ->
 def lists(prefix: DataFrame) -> DataFrame:
     """Postings of the prefix shingles that two classes at least share, each class once."""
     once = prefix.repartition("shingle").groupBy("shingle", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    shared = once.groupBy("shingle").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return once.join(shared.select("shingle"), "shingle")
+    members = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
+    return once.withColumn("members", members).where("members > 1").drop("members")
+
+
+def labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings with their component, of lists that more than one component shares; the list's largest one as ``main``.
+
+    Everything is a window within a list, so the postings are dealt out by shingle once.
+    """
+    if labels is None:
+        p = postings.withColumn("component", F.col("cls"))
+    else:
+        p = postings.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn(
+            "component", F.coalesce("component", "cls"))
+    own, whole = Window.partitionBy("shingle", "component"), Window.partitionBy("shingle")
+    p = p.repartition("shingle").withColumn("c", F.count(F.lit(1)).over(own))
+    p = p.withColumn("main", F.max(F.struct("c", F.xxhash64("component").alias("h"), "component")).over(whole)["component"])
+    return p.withColumn("mixed", F.max((F.col("component") != F.col("main")).cast("int")).over(whole)).where("mixed = 1").drop("c", "mixed")
 
 
 def may_reach(num: int, den: int) -> Column:
@@ -133,30 +158,24 @@ def may_reach(num: int, den: int) -> Column:
     return fits & (F.least(n - pos, n2 - pos2) * (num + den) >= num * (n + n2))
 
 
-def pivots(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of each posting with the smallest class of its list and size band."""
-    band = F.floor(F.log("n") / float(np.log(den / num)))
-    p = postings.withColumn("band", band)
-    first = p.groupBy("shingle", "band").agg(F.min(F.struct("cls", "n", "pos")).alias("m"), F.count(F.lit(1)).alias("size"))
-    first = first.where("size > 1").select("shingle", "band", F.col("m.cls").alias("cls2"), F.col("m.n").alias("n2"),
-                                           F.col("m.pos").alias("pos2"))
-    return p.join(first, ["shingle", "band"]).where("cls <> cls2").where(may_reach(num, den)).select(
-        F.greatest("cls", "cls2").alias("a"), F.least("cls", "cls2").alias("b")).distinct()
+def pivots(mixed: DataFrame, salt: int, num: int, den: int) -> DataFrame:
+    """A candidate pair (a, b) for each class outside the main component: with one member of it in lists and size band."""
+    band = Window.partitionBy("shingle", "band")
+    member = F.when(F.col("component") == F.col("main"), F.struct(
+        F.xxhash64("cls", F.lit(salt)).alias("h"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2")))
+    p = mixed.withColumn("band", F.floor(F.log("n") / float(np.log(den / num)))).withColumn("m", F.max(member).over(band))
+    met = p.where("component <> main AND m IS NOT NULL").select("cls", "n", "pos", "m.*").where(may_reach(num, den))
+    return met.groupBy("cls").agg(F.max(F.struct("h", "cls2")).alias("m")).select(
+        F.greatest("cls", "m.cls2").alias("a"), F.least("cls", "m.cls2").alias("b"))
 
 
-def across(postings: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def across(mixed: DataFrame, num: int, den: int) -> DataFrame:
     """Candidate pairs (a, b) of one list that lie in different components."""
-    p = postings.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls"))
-    mixed = p.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    p = stored(p.join(mixed.select("shingle"), "shingle"))
-    main = p.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(
-        F.max(F.struct("c", "component")).alias("m")).select("shingle", F.col("m.component").alias("main"))
     # Each pair has a side outside the list's largest component, so that component is never joined to itself.
-    minor = p.join(main, "shingle").where("component <> main").select(
+    minor = mixed.where("component <> main").select(
         "shingle", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    return p.join(minor, "shingle").where("component <> component2").where(may_reach(num, den)).select(
-        F.greatest("cls", "cls2").alias("a"), F.least("cls", "cls2").alias("b")).distinct()
+    return mixed.join(minor, "shingle").where("component <> component2").where(may_reach(num, den)).where(
+        "component = main OR cls < cls2").select(F.greatest("cls", "cls2").alias("a"), F.least("cls", "cls2").alias("b")).distinct()
 
 
 def overlap_possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -174,7 +193,7 @@ def overlap_possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -198,15 +217,17 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num:
                     link.append(both * (num + den) >= num * (len(x) + len(y)))
                 yield batch.filter(pa.array(link, pa.bool_())).select(["a", "b"])
 
-    pairs = stored(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select(
-        "cls", "rep.doc_id", "rep.text_key")
-    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-    texts = stored(keyed.join(broadcast_checked(wanted), ["doc_id", "text_key"]).select("cls", "text").dropDuplicates(["cls"]))
     one, two = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def class_texts(docs: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
+    """(cls, text): one text of each class that shares a prefix shingle with another."""
+    wanted = stored(postings.select("cls").distinct().join(classes, "cls").select("cls", "rep.doc_id", "rep.text_key"))
+    keyed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    return stored(keyed.join(broadcast_checked(wanted), ["doc_id", "text_key"]).select("cls", "text").dropDuplicates(["cls"]))
+
+
 def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, component_id (smallest doc_id that links of J >= num/den reach)."""
     profiles = stored(profile(docs, k))
@@ -216,10 +237,17 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> Dat
     classes = stored(rows.where("n_shingles > 0").groupBy("cls").agg(
         F.min(F.struct("doc_id", "text_key")).alias("rep"), F.max("ranges").alias("ranges")))
     postings = stored(lists(prefixes(docs, sketch, k, num, den)))
-    near = stored(verified(overlap_possible(pivots(postings, num, den), classes, num, den), docs, classes, k, num, den))
-    labels = stored(components(near))
-    more = verified(overlap_possible(across(postings, labels, num, den), classes, num, den), docs, classes, k, num, den)
-    labels = stored(components(near.union(more)))
+    texts = class_texts(docs, classes, postings)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(verified(overlap_possible(pairs, classes, num, den), texts, k, num, den))
+
+    near, labels = None, None
+    for salt in range(PIVOT_ROUNDS):
+        more = linked(pivots(labelled(postings, labels), salt, num, den))
+        near = more if near is None else near.union(more)
+        labels = stored(components(near))
+    labels = stored(components(near.union(linked(across(stored(labelled(postings, labels)), num, den)))))
     named = classes.select("cls", "rep.doc_id").join(labels, F.col("cls") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "cls"))
     # The smallest id of each component of classes.
