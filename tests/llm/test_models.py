@@ -126,6 +126,26 @@ def test_language_model_is_a_distribution_and_causal():
     assert abs(lm.log_probabilities([s, other], m)[0] - parts[-1]) < 1e-4
 
 
+def test_language_model_counts_pairs_of_all_documents(spark, monkeypatch):
+    """Also those before and behind the middle of a document and in documents that the sample leaves out."""
+    monkeypatch.setattr(lm, "EPOCHS", 0)
+    rows = [(i, " ".join(["alpha beta gamma"] * 300 + ["delta one"] * (100 + i % 7) + ["two x"] * 300)) for i in range(30)] + [(None, None), (40, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    n = lm.id_counts(lm.stored(lm.word_counts(df)), default_path())
+    cls, many = lm.classes(n), sum(lm.LEVELS)
+    seqs = [cls[s] for s in lm.text_ids(Encoder(default_path()), [lm.split_words(t) for _, t in rows])]
+    wanted = np.zeros((lm.INPUT + 3, many + 1), np.int64)
+    for s in seqs:
+        for a, b in zip([lm.INPUT + 2, *np.minimum(s, lm.INPUT)], s):
+            wanted[a, b] += 1
+    assert (lm.corpus_pairs(df, default_path(), cls, lm.INPUT, many) == wanted).all() and wanted.sum() == n.sum()
+    got = lm.fit(df, lm.stored(lm.word_counts(df)), default_path())["pairs0"]
+    share = (n[np.lexsort((np.arange(lm.IDS), -n))] + 0.5)
+    prior = np.append(share[:64], share[64:].sum()) / share.sum()
+    level = np.column_stack([wanted[:, :64], wanted[:, 64:].sum(1)])
+    assert np.allclose(got, np.log((level + 10 * prior) / (level.sum(1, keepdims=True) + 10)), atol=1e-5)
+
+
 def test_language_model_uses_what_is_further_back():
     """Every second id repeats the id three places before, which pairs of ids can't tell."""
     rng = np.random.default_rng(5)
