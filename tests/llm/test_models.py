@@ -146,6 +146,20 @@ def test_language_model_counts_pairs_of_all_documents(spark, monkeypatch):
     assert np.allclose(got, np.log((level + 10 * prior) / (level.sum(1, keepdims=True) + 10)), atol=1e-5)
 
 
+def test_language_model_sees_sixteen_ids_back():
+    """Each id depends on the one 16 places before it, wherever blocks begin; the quick form equals the training's."""
+    rng = np.random.default_rng(2)
+    m = lm.train([rng.integers(0, 9, 60) for _ in range(20)], [np.full(10, 0.1)], 9)
+    s, t = rng.integers(0, 9, 48), rng.integers(0, 9, 9)
+    seen = lambda s: lm.attend(lm.blocks([s], 9)[0], m)["o"].reshape(-1, lm.EMBED)
+    for i in range(17, 48):
+        other = s.copy()
+        other[i - 16] = (other[i - 16] + 1) % 9
+        assert np.abs(seen(s)[i] - seen(other)[i]).max() > 1e-6
+    x = lm.blocks([s, t], 9)[0]
+    assert np.allclose(lm.hidden(x, m), lm.attend(x, m)["h"].reshape(-1, lm.HIDDEN), atol=1e-4)
+
+
 def test_language_model_uses_what_is_further_back():
     """Every second id repeats the id three places before, which pairs of ids can't tell."""
     rng = np.random.default_rng(5)
