@@ -25,7 +25,8 @@ IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 PHONE = (r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)"
          r"|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])")
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])"
+DATE = (r"(?<![\d./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}[./]\d{1,2}[./]\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{1,2}-\d{1,2}-\d{4})"
+        r"(?![\d/-])")
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 CARD = r"(?<!\d)(?:(?:\d{4}[ -]){3}\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
 SECRET = (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}"
@@ -34,8 +35,8 @@ SECRET = (r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za
 # In this order: what a more telling pattern takes isn't offered to a later one.
 KINDS = {"email": EMAIL, "ip": IP, "iban": IBAN, "secret": SECRET, "phone": PHONE, "date": DATE, "ssn": SSN, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-# Every candidate holds one of these, so a text without them is left alone at once.
-HINT = r"[0-9@]"
+# Every candidate holds one of these or stands behind one, so a text without them is left alone at once.
+HINT = r"[0-9@]|[a-f]{32}|AKIA|gh[pousr]_|sk-|xox[abpr]-|password|passwd|secret|token|api_?key"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -155,11 +156,22 @@ def secret(s: Column, key: str) -> Column:
 
 
 def date(s: Column, key: str) -> Column:
-    """A day moves to another day from 1900 to 2099: (year, day of year) are two symbols; a 366th day stays one."""
-    iso = s.rlike(r"^\d{4}-")
-    mark = F.substring(s, F.lit(3), F.lit(1))
-    day = F.when(iso, F.try_to_timestamp(s, F.lit("yyyy-MM-dd"))).otherwise(
-        F.try_to_timestamp(F.regexp_replace(s, r"[./]", "-"), F.lit("dd-MM-yyyy"))).cast("date")
+    """A day moves to another day from 1900 to 2099: (year, day of year) are two symbols; a 366th day stays one.
+
+    The year comes first or last. Last, the day is before the month; where that is no day of the calendar the month is first, and
+    the day moves to one after the 12th, so that it can't be read the other way either: (year, place among those days of a year)
+    are two symbols, the 29th of February stays one. Parts of two digits keep two.
+    """
+    part = lambda i: F.get(F.split(s, "[./-]"), F.lit(i))
+    day_of = lambda *i: F.try_to_timestamp(F.concat_ws("-", *[part(k) for k in i]), F.lit("yyyy-M-d")).cast("date")
+    iso = s.rlike(r"^\d{4}")
+    usual_day, month_first = F.when(iso, day_of(0, 1, 2)).otherwise(day_of(2, 1, 0)), F.when(~iso, day_of(2, 0, 1))
+    mark = F.regexp_extract(s, r"^\d+(\D)", 1), F.regexp_extract(s, r"(\D)\d+$", 1)
+    wide = lambda n, i: F.when(F.length(part(i)) > 1, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string"))
+    late = F.array(*[F.lit(n) for n in (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)])  # of days after a month's 12th
+
+    def text(first: Column, second: Column, third: Column) -> Column:
+        return F.concat(first, mark[0], second, mark[1], third)
 
     def move(d: Column) -> Column:
         year, number = F.year(d) - 1900, F.dayofyear(d) - 1
@@ -169,11 +181,24 @@ def date(s: Column, key: str) -> Column:
         moved = F.when(number < 365, let(usual, lambda x: F.date_add(
             F.make_date(F.get(x, 0) + 1900, F.lit(1), F.lit(1)), F.get(x, 1)))).otherwise(
             F.make_date((F.get(last, 0) + 1) * 4 + 1900, F.lit(12), F.lit(31)))
-        text = F.when(iso, F.date_format(moved, "yyyy-MM-dd")).otherwise(
-            F.concat_ws("", F.date_format(moved, "dd"), mark, F.date_format(moved, "MM"), F.substring(s, F.lit(6), F.lit(1)),
-                        F.date_format(moved, "yyyy")))
-        return F.when(d.isNotNull() & year.between(0, 199), text).otherwise(s)
-    return let(day, move)
+        return F.when(year.between(0, 199), let(moved, lambda m: F.when(iso, text(
+            F.date_format(m, "yyyy"), wide(F.month(m), 1), wide(F.day(m), 2))).otherwise(text(
+                wide(F.day(m), 0), wide(F.month(m), 1), F.date_format(m, "yyyy"))))).otherwise(s)
+
+    def move_month_first(d: Column) -> Column:
+        year = F.year(d) - 1900
+        place = F.get(late, F.month(d) - 1) + F.day(d) - 13
+        leap = feistel(F.array(F.floor(year / 4).cast("int") - 1), F.array(F.lit(49)), key, "leap")
+        usual = feistel(F.array(year, place), F.array(F.lit(200), F.lit(221)), key, "month first")
+
+        def shown(x: Column) -> Column:
+            month = F.size(F.filter(late, lambda n: n <= F.get(x, 1)))
+            return text(wide(month, 0), (F.get(x, 1) - F.get(late, month - 1) + 13).cast("string"), (F.get(x, 0) + 1900).cast("string"))
+        moved = F.when((F.month(d) == 2) & (F.day(d) == 29), text(part(0), part(1), ((F.get(leap, 0) + 1) * 4 + 1900).cast("string"))).otherwise(
+            let(usual, shown))
+        return F.when(year.between(0, 199), moved).otherwise(s)
+
+    return F.when(usual_day.isNotNull(), let(usual_day, move)).when(month_first.isNotNull(), let(month_first, move_month_first)).otherwise(s)
 
 
 def email(s: Column, key: str) -> Column:

@@ -122,6 +122,29 @@ def test_dates_are_permuted_within_the_calendar(spark):
     assert out.where(F.try_to_timestamp("text", F.lit("yyyy-MM-dd")).isNull()).count() == 0
 
 
+def test_secrets_without_digits_are_linked(spark):
+    rows = [(1, "password: correcthorse"), (2, "on 7 days password: correcthorse"), (3, "ghp_" + "abcdefghij" * 3), (4, "sk-" + "abcdefghij" * 3),
+            (5, "a " + "abcdefab" * 4), (6, "nothing here")]
+    out = {r.doc_id: r.text for r in ps.pseudonymize(docs(spark, rows)).collect()}
+    assert "correcthorse" not in out[1] and out[1].split()[-1] == out[2].split()[-1] and out[6] == "nothing here"
+    for i in (3, 4, 5):
+        assert out[i] != rows[i - 1][1] and out[i][:2] == rows[i - 1][1][:2]
+
+
+def test_dates_of_all_numeric_layouts(spark):
+    texts = ["12/31/1990", "1/31/1990", "02/29/2024", "5/3/1990", "05/03/1990", "1990/12/31", "1990.12.31", "31-12-1990", "1990-1-2", "3.4.2001"]
+    shown = ps.pseudonymize(docs(spark, list(enumerate([*texts, "31/02/2020", "13/13/2020"])))).orderBy("doc_id").collect()
+    out = [r.text for r in shown]
+    assert out[10:] == ["31/02/2020", "13/13/2020"] and all(a != b for a, b in zip(texts, out))
+    assert all(re.sub(r"\d", "", a) == re.sub(r"\d", "", b) for a, b in zip(texts, out))
+    assert all(int(out[i].split("/")[0]) <= 12 < int(out[i].split("/")[1]) for i in range(3)) and out[2][:6] == "02/29/"
+    days = spark.sql("SELECT explode(sequence(date'1999-01-01', date'2004-12-31', interval 1 day)) AS d")
+    for layout in ("MM/dd/yyyy", "d-M-yyyy"):
+        got = [r.text for r in days.select(F.date_format("d", layout).alias("text")).where(
+            "text LIKE '%-%' OR int(substr(text, 4, 2)) > 12").transform(ps.pseudonymize).collect()]
+        assert len(set(got)) == len(got)
+
+
 def test_fingerprints(spark):
     base = " ".join(f"w{i % 97}x{i}" for i in range(400))
     rows = [(1, base), (2, base), (3, "one"), (4, ""), (5, None), (9, base + " tail"), (9, base + " longer tail here"), (None, "x")]
