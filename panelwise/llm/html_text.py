@@ -2,7 +2,7 @@
 
 A page is a sequence of words and tags. A word in ordinary flow scores positive, a word in furniture (menus, forms, notices,
 comments and the like) and every tag negative; the weights are log odds of standing inside the marked article, counted on
-pages that mark one. A linear scan finds the contiguous run with the largest total; its flow words are the text.
+pages that mark one. The tags of the article itself stand outside, so they weigh like any boundary and don't decide. A linear scan finds the contiguous run with the largest total; its flow words are the text.
 
 Output: character references decoded, white space inside a block turned into one space, blocks trimmed and joined by line
 feeds in page order. Defined cases: null and empty html give an empty text; so does a page without flow words; broken
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 TRAIN_PAGES, TAGS = 2000, 1000
 WORD, FURNITURE_WORD = "#word", "#furniture"
 UNKNOWN_TAG = -0.5
-# Furniture inside an article and its tags hardly count: the region goes on behind them, and they are left out of the text.
+# Furniture tags, and words of furniture inside an article, hardly count: the region goes on behind them, and they are left out of the text.
 FLAT = -0.02
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
@@ -76,13 +76,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
                 drop.pop()
             elif drop and name in ("body", "html", "article", "main"):
                 drop.clear()
-            yield "/" + name, "", inside, article > 0
             if name in ("article", "main"):
                 article = max(0, article - 1)
+            yield "/" + name, "", inside, article > 0
             continue
         names = set()
         for found in _NAMES.findall(rest):
             names.update(x for x in _SPLIT.split("".join(found).lower()) if x)
+        outside = article == 0
         if name in ("article", "main") or (name == "body" and drop):
             if not names & _FURNITURE_NAMES:
                 drop.clear()
@@ -93,7 +94,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             drop.append(name)
         elif drop and not alone and name == drop[-1]:
             drop.append(name)
-        yield ".".join([name, *sorted(names)[:3]]), "", bool(drop), article > 0
+        yield ".".join([name, *sorted(names)[:3]]), "", bool(drop), article > 0 and not outside
         if name in _RAW and not rest.rstrip().endswith("/"):
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, pos)
             body = page[pos:stop.start()] if stop else page[pos:]
@@ -154,8 +155,6 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def extract(page: str | None, w: dict[str, float]) -> str:
     parts = list(tokens(page or ""))
-    if any(inside and key == WORD and not furniture for key, _, furniture, inside in parts):  # the page marks its article
-        parts = [(key, text, furniture or not inside, inside) for key, text, furniture, inside in parts]
     scores = []
     for key, text, furniture, inside in parts:
         if key == WORD:
@@ -163,7 +162,7 @@ def extract(page: str | None, w: dict[str, float]) -> str:
             scores.append(len(text.split()) * each)
         else:
             tag = w.get(key, w.get(key.split(".")[0], UNKNOWN_TAG))
-            scores.append(max(tag, FLAT) if furniture or inside else tag)
+            scores.append(max(tag, FLAT) if furniture else tag)
     a, b = best_region(scores)
     blocks, now = [], []
     for key, text, furniture, _ in parts[a:b]:

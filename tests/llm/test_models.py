@@ -98,6 +98,18 @@ def test_extraction_of_pages(spark):
     assert [r.text for r in ht.main_text(extra).collect()] == ["", ""]
 
 
+def test_extraction_is_not_decided_by_article_tags(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    w = ht.weights(pages)
+    assert w["article"] < -1 and w["/article"] < -1 and w["p"] > -1
+    for r in pages.select("html").limit(40).collect():
+        assert ht.extract(r.html.replace("<article>", "").replace("</article>", ""), w) == ht.extract(r.html, w) != ""
+    body = "".join(f"<p>{'long text of the page ' * 12}{i}</p>" for i in range(9))
+    teasers = "".join(f"<article><p>see {i}</p></article>" for i in range(4))
+    got = ht.extract(f"<html><body>{teasers}<div>{body}</div>{teasers}</body></html>", w)
+    assert got.count("long text of the page") == 108 and "see" not in got
+
+
 def test_language_model_counts_against_brute_force(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").limit(120).collect()] + [(None, None), (3, ""), (3, ""), (4, "Ab ab\tAB")]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")
