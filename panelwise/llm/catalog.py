@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from panelwise.llm import (
-    decontamination, fingerprints, html_text, language_id, language_model, licences, ngram_join, packing, pseudonyms, toxicity,
+    decontamination, fingerprints, html_text, language_id, language_model, licences, ngram_join, packing, prefix_trie,
+    pseudonyms, toxicity,
 )
 
 QUERIES = {
@@ -17,9 +18,11 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_license_scan": licences.query,
+    "op12_conversation_trie": prefix_trie.query,
 }
 
 SQL = {
     "op1_benchmark_decontamination": decontamination.SQL,
     "op10_license_scan": licences.SQL,
+    "op12_conversation_trie": prefix_trie.SQL,
 }
