@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from panelwise.llm import (
     decontamination, fingerprints, html_text, language_id, language_model, licences, ngram_join, packing, prefix_trie,
-    pseudonyms, toxicity,
+    pseudonyms, ranked_search, toxicity,
 )
 
 QUERIES = {
@@ -19,10 +19,12 @@ QUERIES = {
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_license_scan": licences.query,
     "op12_conversation_trie": prefix_trie.query,
+    "op13_ranked_search": ranked_search.query,
 }
 
 SQL = {
     "op1_benchmark_decontamination": decontamination.SQL,
     "op10_license_scan": licences.SQL,
     "op12_conversation_trie": prefix_trie.SQL,
+    "op13_ranked_search": ranked_search.SQL,
 }
