@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelwise.llm import (
-    decontamination, fingerprints, html_text, language_id, language_model, licences, ngram_join, packing, prefix_trie,
+    bottom_k, decontamination, fingerprints, html_text, language_id, language_model, licences, ngram_join, packing, prefix_trie,
     pseudonyms, ranked_search, toxicity,
 )
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_ngram_jaccard_join": ngram_join.query,
     "op10_license_scan": licences.query,
+    "op11_minhash_near_dedup": bottom_k.query,
     "op12_conversation_trie": prefix_trie.query,
     "op13_ranked_search": ranked_search.query,
 }
@@ -25,6 +26,7 @@ QUERIES = {
 SQL = {
     "op1_benchmark_decontamination": decontamination.SQL,
     "op10_license_scan": licences.SQL,
+    "op11_minhash_near_dedup": bottom_k.SQL,
     "op12_conversation_trie": prefix_trie.SQL,
     "op13_ranked_search": ranked_search.SQL,
 }

@@ -66,7 +66,7 @@ def _block(number: int, ids: list, lengths: list[int], parts: list[np.ndarray],
          column(tf.astype(np.int32), pa.int32())], ["block", "ids", "lengths", "terms", "starts", "places", "tf"])
 
 
-def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int = 16 << 20) -> DataFrame:
+def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int = 8 << 20) -> DataFrame:
     """Inverted blocks of all terms of all documents, stored in the shared folder. A block ends at either bound."""
     spark_kind = docs.schema["doc_id"].dataType.simpleString()
 
