@@ -86,26 +86,18 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null has none."""
         split = [None if t and _SPACE_RUN.search(t) else (t or "").split(" ") for t in texts]
-        known, new, whole = self.words, {}, {}
-        for t, parts in zip(texts, split):
-            if parts is None:
-                whole[t] = b""
-            else:
-                whole[parts[0]] = b""
-                for p in parts[1:]:
-                    if p not in known:
-                        new[p] = b""
-        for part in (whole, new):
-            keys = list(part)
-            coded = self._code(keys) if part is whole else self.ids_of_words(keys)
-            part.update(zip(keys, coded))
-        known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-        out = []
-        for t, parts in zip(texts, split):
-            if parts is None:
-                out.append(whole[t])
-            else:
-                out.append(whole[parts[0]] + b"".join([known[p] if p in known else new[p] for p in parts[1:]]))
+        known = self.words
+        met = set().union(*[parts[1:] for parts in split if parts is not None])
+        new = [w for w in met if w not in known]
+        known.update(zip(new, self.ids_of_words(new)))
+        # First words have no space before them, and texts of other shape are coded in one piece.
+        whole = list(dict.fromkeys(t if parts is None else parts[0] for t, parts in zip(texts, split)))
+        pieces = dict(zip(whole, self._code(whole)))
+        out = [pieces[t] if parts is None else pieces[parts[0]] + b"".join(map(known.__getitem__, parts[1:]))
+               for t, parts in zip(texts, split)]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
         if len(known) > CACHE:
             self.words = dict(islice(known.items(), CACHE // 2))
         return out
