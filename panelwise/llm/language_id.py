@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelwise.llm.common import broadcast_checked
+
 WIDTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBED = 16, 8
@@ -32,10 +34,10 @@ def fold(n: int) -> Column:
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, windows: int = WINDOWS) -> list:
     """(lang, piece): windows of about per_language documents of each language, evenly spread over their texts."""
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
+    known = docs.select("doc_id", "text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     total = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.join(F.broadcast(total), "lang").where(draw * F.col("n") < per_language)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    picked = known.join(broadcast_checked(total), "lang").where(draw * F.col("n") < per_language)
     span = F.greatest(F.char_length("text") - WIDTH, F.lit(0))
     places = F.transform(F.sequence(F.lit(0), F.lit(windows - 1)), lambda i: F.floor(span * i / max(windows - 1, 1)).cast("int"))
     return picked.select("doc_id", "lang", F.explode(F.array_distinct(places)).alias("at"), "text").select(
