@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwise.sources.storage import shared_folder
+from panelwise.sources.storage import remove, shared_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # What stands between words: every ASCII character but letters and digits.
@@ -31,13 +33,33 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+# Folders written since the innermost ``condensed`` began.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write once to the shared folder and read back: a lost executor re-reads files, and nothing is computed twice."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def condensed(build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``build``. The tables it stored on its way are deleted once the result is written."""
+    token = _WRITTEN.set([])
+    try:
+        rows = build()
+        own = _WRITTEN.get()
+    finally:
+        _WRITTEN.reset(token)
+    out = stored(rows)
+    for path in own:
+        remove(rows.sparkSession, path)
+    return out
+
+
 def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side of narrow, fixed-width rows if a count shows that it is small; else Spark picks a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -6,9 +6,9 @@ equal sets are one class, and only classes are joined. Classes that share a pref
 fit, if enough shingles are left behind the shared place, and if the counts of their shingles by hash range allow the
 overlap; each candidate pair is verified once on the texts themselves.
 
-Components need not see every pair: in the first rounds each class is tried against one member of the largest component of
-its posting lists; the last round takes every pair of a list whose two sides aren't in one component yet, leaving no link
-between components unseen. Lists where all members are already connected, as in a large group of copies, cost nothing more.
+Components need not see every pair: short lists give their pairs, and long ones, as many near copies make, are groups in
+which ``copies`` finds links from the members' differences against what most of the group holds, so that work grows with the
+members and not with their pairs, and leaves no link between components unseen.
 
 Defined cases: null, empty and wordless texts have no shingles and no links and are their own component; rows with one id
 and one text are one row, with one id and several texts one row each; rows without doc_id are left out; ties go to the
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -28,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwise.llm.common import broadcast_checked, stored, text_key
+from panelwise.llm import copies
+from panelwise.llm.common import broadcast_checked, condensed, stored, text_key
 from panelwise.llm.components import components
 from panelwise.llm.shingles import shingle_sets
 
 WORDS, NUM, DEN = 4, 85, 100
 # The sketch has 2 ** 22 counters, in chunks that are added up apart.
 SKETCH_BITS, CHUNKS, SALTS = 22, 64, 16
-PIVOT_ROUNDS = 2
 # Hash ranges by which shingles are counted for the suffix filter.
 RANGES = 64
 # Sets that a task keeps while it verifies pairs.
@@ -129,53 +129,27 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) ->
 
 
 def lists(prefix: DataFrame) -> DataFrame:
-    """Postings of the prefix shingles that two classes at least share, each class once."""
-    once = prefix.repartition("shingle").groupBy("shingle", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
+    """Postings of the prefix shingles that two classes at least share, each class once, with the list's members."""
+    once = prefix.groupBy("shingle", "cls").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     members = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
-    return once.withColumn("members", members).where("members > 1").drop("members")
+    return once.withColumn("members", members).where("members > 1")
 
 
-def labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Postings with their component, of lists that more than one component shares; the list's largest one as ``main``.
+def may_reach(num: int, den: int) -> Callable[[Column, Column], Column]:
+    """Length and positional filter on two postings x and y of one shingle, with fields n and pos."""
+    def fits(x: Column, y: Column) -> Column:
+        sizes = den * F.least(x["n"], y["n"]) >= num * F.greatest(x["n"], y["n"])
+        return sizes & (F.least(x["n"] - x["pos"], y["n"] - y["pos"]) * (num + den) >= num * (x["n"] + y["n"]))
 
-    Everything is a window within a list, so the postings are dealt out by shingle once.
-    """
-    if labels is None:
-        p = postings.withColumn("component", F.col("cls"))
-    else:
-        p = postings.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn(
-            "component", F.coalesce("component", "cls"))
-    own, whole = Window.partitionBy("shingle", "component"), Window.partitionBy("shingle")
-    p = p.repartition("shingle").withColumn("c", F.count(F.lit(1)).over(own))
-    p = p.withColumn("main", F.max(F.struct("c", F.xxhash64("component").alias("h"), "component")).over(whole)["component"])
-    return p.withColumn("mixed", F.max((F.col("component") != F.col("main")).cast("int")).over(whole)).where("mixed = 1").drop("c", "mixed")
+    return fits
 
 
-def may_reach(num: int, den: int) -> Column:
-    """Length and positional filter on two postings of one shingle, columns n, pos and n2, pos2."""
-    n, n2, pos, pos2 = (F.col(c) for c in ("n", "n2", "pos", "pos2"))
-    fits = den * F.least(n, n2) >= num * F.greatest(n, n2)
-    return fits & (F.least(n - pos, n2 - pos2) * (num + den) >= num * (n + n2))
-
-
-def pivots(mixed: DataFrame, salt: int, num: int, den: int) -> DataFrame:
-    """A candidate pair (a, b) for each class outside the main component: with one member of it in lists and size band."""
-    band = Window.partitionBy("shingle", "band")
-    member = F.when(F.col("component") == F.col("main"), F.struct(
-        F.xxhash64("cls", F.lit(salt)).alias("h"), F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2")))
-    p = mixed.withColumn("band", F.floor(F.log("n") / float(np.log(den / num)))).withColumn("m", F.max(member).over(band))
-    met = p.where("component <> main AND m IS NOT NULL").select("cls", "n", "pos", "m.*").where(may_reach(num, den))
-    return met.groupBy("cls").agg(F.max(F.struct("h", "cls2")).alias("m")).select(
-        F.greatest("cls", "m.cls2").alias("a"), F.least("cls", "m.cls2").alias("b"))
-
-
-def across(mixed: DataFrame, num: int, den: int) -> DataFrame:
-    """Candidate pairs (a, b) of one list that lie in different components."""
-    # Each pair has a side outside the list's largest component, so that component is never joined to itself.
-    minor = mixed.where("component <> main").select(
-        "shingle", F.col("cls").alias("cls2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("component2"))
-    return mixed.join(minor, "shingle").where("component <> component2").where(may_reach(num, den)).where(
-        "component = main OR cls < cls2").select(F.greatest("cls", "cls2").alias("a"), F.least("cls", "cls2").alias("b")).distinct()
+def candidates(postings: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b) of short lists, groups (g, cls) of long ones). Long lists with one smallest class are one group."""
+    short = postings.where(F.col("members") <= copies.FEW).groupBy("shingle").agg(F.collect_list(F.struct("cls", "n", "pos")).alias("m"))
+    long = postings.where(F.col("members") > copies.FEW)
+    heads = long.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls"))["cls"].alias("g"))
+    return copies.few_pairs(short, may_reach(num, den)), long.join(heads, "shingle").select("g", "cls").distinct()
 
 
 def overlap_possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -239,15 +213,12 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> Dat
     postings = stored(lists(prefixes(docs, sketch, k, num, den)))
     texts = class_texts(docs, classes, postings)
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        return stored(verified(overlap_possible(pairs, classes, num, den), texts, k, num, den))
-
-    near, labels = None, None
-    for salt in range(PIVOT_ROUNDS):
-        more = linked(pivots(labelled(postings, labels), salt, num, den))
-        near = more if near is None else near.union(more)
-        labels = stored(components(near))
-    labels = stored(components(near.union(linked(across(stored(labelled(postings, labels)), num, den)))))
+    pairs, groups = candidates(postings, num, den)
+    groups = stored(groups)
+    sets = stored(copies.hashed_sets(texts.join(groups.select("cls").distinct(), "cls"), k))
+    sure, asked = copies.links(groups, sets, num, den)
+    proven = stored(verified(overlap_possible(pairs.union(asked).distinct(), classes, num, den), texts, k, num, den))
+    labels = stored(components(proven.union(sure)))
     named = classes.select("cls", "rep.doc_id").join(labels, F.col("cls") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "cls"))
     # The smallest id of each component of classes.
@@ -260,4 +231,4 @@ def join(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> Dat
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return join(docs).select("doc_id", "n_shingles", "component_id")
+    return condensed(lambda: join(docs).select("doc_id", "n_shingles", "component_id"))

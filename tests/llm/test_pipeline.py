@@ -32,3 +32,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert "bob.smith" not in text[90006].text and "@mail1.example.com" in text[90006].text
     assert ids["packing"] == ids["personal_data"] == ids["benchmark"]
     assert cp.run(spark, str(tmp_path)).count() == len(seen["packing"])
+
+
+def test_pipeline_of_empty_tables_and_other_columns(spark, tmp_path):
+    """Empty tables give no rows; columns of any name beside those of documents are not read; stages leave no tables behind."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n int, language string, text_key int, m int"
+    for name, rows in (("none", []), ("few", [(i, f"the house of number {i} and the garden with it", "en", "s", 1, 2, "x", 3, 4) for i in range(6)])):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+    assert {r.doc_id for r in cp.run(spark, f"{tmp_path}/few").collect()} <= set(range(6))
