@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise.llm import copies
-from panelwise.llm.common import stored, text_key
+from panelwise.llm.common import condensed, stored, text_key
 from panelwise.llm.components import components
 from panelwise.llm.ngram_join import class_texts, verified
 from panelwise.llm.shingles import shingle_sets
@@ -83,12 +83,13 @@ def candidates(postings: DataFrame, num: int, den: int) -> tuple[DataFrame, Data
 
     short = postings.where(F.col("df") <= copies.FEW)
     long = postings.where(F.col("df") > copies.FEW)
-    # Lists of common values may be short where most classes have rarer ones. Lists with one smallest class are one group.
-    heads = long.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls"))["cls"].alias("g"))
+    # Lists of common values may be short where most classes have rarer ones.
+    heads = long.groupBy("value").agg(F.count(F.lit(1)).alias("m"))
     headed = stored(long.join(heads.where("m > 1"), "value"))
     few = short.select("value", "cls", "n").union(headed.where(F.col("m") <= copies.FEW).select("value", "cls", "n"))
     lists = few.groupBy("value").agg(F.collect_list(F.struct("cls", "n")).alias("m")).where(F.size("m") > 1)
-    return copies.few_pairs(lists, sizes), headed.where(F.col("m") > copies.FEW).select("g", "cls").distinct()
+    groups = copies.merged(headed.where(F.col("m") > copies.FEW).select(F.col("value").alias("l"), "cls"))
+    return copies.few_pairs(lists, sizes), groups
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, keep: int, num: int, den: int) -> DataFrame:
@@ -134,8 +135,8 @@ def grouped(rows: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).select(
-        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return condensed(lambda: near_duplicates(docs).select(
+        "doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")))
 
 
 def linked_sql(k: int, num: int, den: int, columns: str) -> str:

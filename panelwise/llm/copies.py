@@ -30,8 +30,10 @@ from panelwise.llm.shingles import shingle_sets
 # Lists up to this size give their pairs; larger ones are groups. As many members of a list may be left over.
 FEW = 16
 # Elements held by one member in RARE are counted one by one in a group's reference row; rarer ones come first in any order.
-RARE = 32
+RARE = 16
 SALTS = 16
+# Rounds in which labels travel between lists and their members before lists of one label are taken as one group.
+HOPS = 2
 
 
 def hashed_sets(texts: DataFrame, k: int) -> DataFrame:
@@ -59,6 +61,19 @@ def few_pairs(lists: DataFrame, fits: Column | None = None) -> DataFrame:
     return pairs.select(F.inline("p")).distinct()
 
 
+def merged(lists: DataFrame, hops: int = HOPS) -> DataFrame:
+    """(g, cls) of (l, cls): lists that share members become one group, so that a class stands in few of them.
+
+    A list takes the smallest label among its members, a member the smallest among its lists. Any number of hops is right, as
+    a list's members stay together.
+    """
+    label = lists.groupBy("l").agg(F.min(F.xxhash64("cls")).alias("g"))
+    for _ in range(hops):
+        member = lists.join(label, "l").groupBy("cls").agg(F.min("g").alias("g"))
+        label = lists.join(member, "cls").groupBy("l").agg(F.min("g").alias("g"))
+    return lists.join(label, "l").select("g", "cls").distinct()
+
+
 def _references(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(g, m, e, c): size of each group, and elements that not too few of its members hold, sorted, with their counts."""
     size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))

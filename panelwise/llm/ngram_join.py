@@ -145,11 +145,10 @@ def may_reach(num: int, den: int) -> Callable[[Column, Column], Column]:
 
 
 def candidates(postings: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b) of short lists, groups (g, cls) of long ones). Long lists with one smallest class are one group."""
+    """(pairs (a, b) of short lists, groups (g, cls) of long ones)."""
     short = postings.where(F.col("members") <= copies.FEW).groupBy("shingle").agg(F.collect_list(F.struct("cls", "n", "pos")).alias("m"))
     long = postings.where(F.col("members") > copies.FEW)
-    heads = long.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls"))["cls"].alias("g"))
-    return copies.few_pairs(short, may_reach(num, den)), long.join(heads, "shingle").select("g", "cls").distinct()
+    return copies.few_pairs(short, may_reach(num, den)), copies.merged(stored(long.select(F.col("shingle").alias("l"), "cls")))
 
 
 def overlap_possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
