@@ -101,6 +101,11 @@ def exposures_one_hot(reference: DataFrame, column: str, values: list[str]) -> D
     )
 
 
+def exposures_long(reference: DataFrame, column: str) -> DataFrame:
+    """(ticker, category, exposure) of 1 where a ticker is in a category; absent pairs are 0. Any number of categories."""
+    return reference.select("ticker", F.coalesce(F.col(column), F.lit("Unknown")).alias("category"), F.lit(1.0).alias("exposure")).distinct()
+
+
 def to_shares(weights: DataFrame, portfolio_value: float) -> DataFrame:
     notional = F.col("weight") * portfolio_value
     return weights.withColumn("notional", notional).withColumn("shares", ratio("notional", "price"))

@@ -116,13 +116,10 @@ def ewma_covariance(spark: SparkSession, root: str) -> DataFrame:
     return c.select("as_of", "i", "j", num("cov").alias("cov"))
 
 
-@query("one_hot_exposures", with_ctes(
-    "reference", "SELECT * FROM (PIVOT (SELECT ticker, sector, 1.0::DOUBLE AS v FROM reference) ON sector USING coalesce(max(v), 0.0::DOUBLE) GROUP BY ticker)"))
+@query("one_hot_exposures", with_ctes("reference", "SELECT DISTINCT ticker, sector AS category, CAST(1.0 AS DOUBLE) AS exposure FROM reference"))
 def one_hot_exposures(spark: SparkSession, root: str) -> DataFrame:
-    """A column for each category that the dimension holds."""
-    reference = reference_from_orders(spark, root)
-    kinds = sorted(r[0] for r in reference.select("sector").distinct().collect())
-    return T.exposures_one_hot(reference, "sector", kinds)
+    """A row for each category a ticker is in, so the schema doesn't depend on the data."""
+    return T.exposures_long(reference_from_orders(spark, root), "sector")
 
 
 # --- overlays ------------------------------------------------------------------------------------------------------

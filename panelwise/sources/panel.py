@@ -26,6 +26,41 @@ def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({f: nan_to_null(F.col(f).cast("double")) for f in FIELDS})
 
 
+def read_snapshot(spark: SparkSession, path: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Bars of a version that ``ingest.write_snapshot`` wrote, from first to last day. Years outside are never listed or read.
+
+    Files of a year hold disjoint ticker ranges, so a filter on ticker skips files by their statistics as well.
+    """
+    df = load_snapshot(spark, path)
+    if "year" not in df.columns:
+        raise ValueError("not partitioned by year")
+    for at, after in ((first, True), (last, False)):
+        if at is not None:
+            d = F.lit(at).cast("date")
+            df = df.filter((F.col("year") >= F.year(d)) & (F.col("date") >= d) if after else (F.col("year") <= F.year(d)) & (F.col("date") <= d))
+    return df.drop("year")
+
+
+MACRO_SCHEMA = "date date, value double"
+
+
+def write_macro(macro: DataFrame, path: str) -> None:
+    """A folder for each indicator, named after it; the files hold (date, value) only, sorted by date."""
+    macro.select("indicator", "date", "value").repartition("indicator").sortWithinPartitions("indicator", "date").write.mode(
+        "errorifexists").partitionBy("indicator").parquet(path)
+
+
+def read_macro(spark: SparkSession, path: str, indicators: list[str] | None = None) -> DataFrame:
+    """(indicator, date, value) of the stored series asked for; the indicator is read off each file's own path.
+
+    Only the folders of the indicators asked for are opened; one that isn't stored is an error.
+    """
+    where = [f"{path}/indicator={i}" for i in indicators] if indicators is not None else [f"{path}/indicator=*"]
+    df = spark.read.schema(MACRO_SCHEMA).parquet(*where)
+    name = F.regexp_extract("_metadata.file_path", r"indicator=([^/]+)/", 1)
+    return df.select(name.alias("indicator"), "date", nan_to_null(F.col("value")).alias("value"))
+
+
 def wide_to_long(wide: DataFrame, sep: str = "|") -> DataFrame:
     """Columns ``<ticker>|<Field>`` plus ``date`` -> bars.
 

@@ -113,7 +113,7 @@ def test_grid_equals_single_models(spark):
         else:
             sig = p.signals(bench)[0]
             wide = S.score(bars, marks, [sig], benchmark_returns(bars, bench)).withColumnRenamed(sig.name, "x")
-        one = accounting.forward_growth(wide).withColumn("strategy_id", F.lit(p.param_id * 1000 + 5))
+        one = accounting.forward_growth(wide).withColumn("strategy_id", G.strategy_key(F.lit(p.param_id), F.lit(0), F.lit(5)))
         w = construction.top_n_equal_weight(one, 5, ["strategy_id", "as_of"], score="x", carry=("growth",))
         for r in accounting.periodic_value(w, cal).collect():
             assert got[(r.strategy_id, r.as_of)] == pytest.approx(r.nav, rel=1e-9), (alpha, r.as_of)
