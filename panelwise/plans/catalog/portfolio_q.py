@@ -222,6 +222,55 @@ def overlay_chain(spark: SparkSession, root: str) -> DataFrame:
     return o.select("as_of", "ticker", num("weight").alias("weight"))
 
 
+# Two configurations of one strategy: all overlays, and one without the volatility regime.
+CONFIG_COLUMNS = ["strategy_id", "config", "target_vol", "min_scale", "max_scale", "max_weight", "soft", "hard", "exit", "high_vix", "elevated_vix"]
+CONFIG_ROWS = [("momentum", "careful", 3.0, 0.25, 1.0, 0.15, 0.1, 0.2, 0.3, 30.0, 25.0), ("momentum", "wide", 6.0, 0.5, 1.5, 0.25, 0.2, 0.4, 0.6, None, None)]
+CONFIGURED_SQL = dict(
+    VOL_SQL,
+    cf=f"SELECT * FROM (VALUES {', '.join('(' + ', '.join('NULL' if v is None else repr(v) if isinstance(v, str) else f'CAST({v} AS DOUBLE)' for v in r[1:]) + ')' for r in CONFIG_ROWS)}) "
+    "t(config, tv, mins, maxs, mw, soft, hard, xt, hv, ev)",
+    v1="SELECT w.as_of, w.ticker, w.weight, cf.*, vol, CASE WHEN coalesce(n, 0) < 20 THEN 1.0 WHEN vol < 0.01 THEN least(greatest(1.0, mins), maxs) ELSE least(greatest(tv / vol, mins), maxs) END AS sc "
+    "FROM w CROSS JOIN cf LEFT JOIN vol USING (as_of)",
+    v2="SELECT *, weight * sc - cap AS over FROM (SELECT *, least(weight * sc, mw) AS cap FROM v1)",
+    v3="SELECT *, sum(over) OVER d AS ex, sum(CASE WHEN cap > 0 AND cap < mw THEN cap END) OVER d AS pool FROM v2 WINDOW d AS (PARTITION BY config, as_of)",
+    v4="SELECT *, least(cap + CASE WHEN cap > 0 AND cap < mw AND ex > 0 THEN ex * cap / NULLIF(pool, 0) ELSE 0 END, mw) AS w2 FROM v3",
+    st="SELECT as_of, (pk - nav) / pk AS dd FROM (SELECT *, max(nav) OVER (ORDER BY as_of) AS pk FROM curve)",
+    v5="SELECT *, CASE WHEN dd >= xt THEN 0.25 WHEN dd >= hard THEN 0.5 WHEN dd >= soft THEN 0.75 ELSE 1.0 END AS ef, "
+    "CASE WHEN dd >= xt THEN 'EXIT' WHEN dd >= hard THEN 'HARD' WHEN dd >= soft THEN 'SOFT' ELSE 'NONE' END AS lv FROM v4 LEFT JOIN st USING (as_of)",
+    v6="SELECT v5.*, w2 * ef AS w3, CASE WHEN hv IS NULL THEN NULL WHEN m.VIX IS NULL THEN 'UNKNOWN' WHEN m.VIX >= hv THEN 'HIGH_VOL' WHEN m.VIX >= ev THEN 'ELEVATED_VOL' ELSE 'NORMAL' END AS vl "
+    "FROM v5 LEFT JOIN macro_at m USING (as_of)",
+    v7="SELECT *, CASE vl WHEN 'HIGH_VOL' THEN 0.5 WHEN 'ELEVATED_VOL' THEN 0.25 ELSE 0.0 END AS sh, sum(CASE WHEN ticker NOT IN ('Brand#2', 'Brand#3', 'Brand#4') THEN w3 END) OVER (PARTITION BY config, as_of) AS risky FROM v6",
+    v8="SELECT config, as_of, ticker, CASE WHEN sh > 0 AND risky > 0 AND ticker NOT IN ('Brand#2', 'Brand#3', 'Brand#4') THEN w3 * (1 - sh) ELSE w3 END AS weight, vol, sc, ex, dd, ef, lv, vl, sh FROM v7 UNION ALL "
+    "SELECT DISTINCT config, as_of, d.t, sh / 3.0, vol, sc, ex, dd, ef, lv, vl, sh FROM v7 CROSS JOIN (VALUES ('Brand#2'), ('Brand#3'), ('Brand#4')) d(t) WHERE sh > 0 AND risky > 0",
+)
+
+
+def configured_weights(spark: SparkSession, root: str) -> DataFrame:
+    # Weights feed the overlays and the value curve that the breaker looks at.
+    w = durable(momentum_weights(spark, root))
+    peaks = with_peak(accounting.periodic_value(w, monthly(spark)))
+    return overlays.configured(w, literal_rows(spark, CONFIG_COLUMNS, CONFIG_ROWS), daily_returns(bars_from_orders(spark, root)), peaks,
+                               vix_at(spark, root), SAFE)
+
+
+@query("overlay_configurations", with_ctes(
+    "px rets macro_at", "SELECT config, as_of, ticker, round(CAST(sum(weight) AS DOUBLE), 6) AS weight FROM v8 GROUP BY 1, 2, 3", **CONFIGURED_SQL))
+def overlay_configurations(spark: SparkSession, root: str) -> DataFrame:
+    """Four overlays from configuration rows, both configurations in one job."""
+    return configured_weights(spark, root).select("config", "as_of", "ticker", num("weight").alias("weight"))
+
+
+@query("overlay_diagnostics", with_ctes(
+    "px rets macro_at", "SELECT DISTINCT config, as_of, round(vol, 6) AS realized_vol, round(CAST(sc AS DOUBLE), 6) AS scale_factor, round(CAST(ex AS DOUBLE), 6) AS excess_weight, round(dd, 6) AS drawdown, "
+    "round(CAST(ef AS DOUBLE), 6) AS exposure_factor, lv AS breaker_level, vl AS vix_level, CASE WHEN vl IS NOT NULL THEN round(CAST(sh AS DOUBLE), 6) END AS defensive_share FROM v8", **CONFIGURED_SQL))
+def overlay_diagnostics(spark: SparkSession, root: str) -> DataFrame:
+    """What each overlay measured and did, for each configuration and date."""
+    c = configured_weights(spark, root)
+    cells = [num(F.try_element_at("diagnostics", F.lit(m))).alias(m) for m in overlays.MEASURES]
+    names = [F.try_element_at("levels", F.lit(n)).alias(n) for n in ("breaker_level", "vix_level")]
+    return c.select("config", "as_of", *cells, *names).distinct()
+
+
 # --- trades --------------------------------------------------------------------------------------------------------
 
 

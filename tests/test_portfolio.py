@@ -131,3 +131,26 @@ def test_share_trades_actions(spark):
     pairs_ = T.align(cur, tgt, T.SHARE_FIELDS)
     got = {r.ticker: (r.action, r.notional_value) for r in T.share_trades(pairs_).collect()}
     assert got["A"][0] == "HOLD" and got["B"] == ("SELL", 8.0) and got["C"] == ("BUY", 21.0)
+
+
+def test_configured_overlays(spark):
+    """Two configurations side by side; overlays that are off change nothing and leave no diagnostics."""
+    d = dt.date(2020, 6, 30)
+    w = spark.createDataFrame([("s", d, "A", 0.6), ("s", d, "B", 0.3), ("s", d, "DEF", 0.1)], "strategy_id string, as_of date, ticker string, weight double")
+    none = spark.createDataFrame([], "date date, ticker string, r double, prev_date date")
+    states = spark.createDataFrame([("s", d, 75.0, 100.0)], "strategy_id string, as_of date, nav double, peak_nav double")
+    vix = spark.createDataFrame([(d, 35.0)], "as_of date, vix double")
+    cols = "strategy_id string, config string, max_weight double, soft double, hard double, exit double, high_vix double, elevated_vix double"
+    configs = spark.createDataFrame([("s", "off", None, None, None, None, None, None), ("s", "limit", 0.4, None, None, None, None, None),
+                                     ("s", "all", 0.4, 0.1, 0.2, 0.3, 30.0, 25.0), ("other", "x", 0.1, None, None, None, None, None)], cols)
+    got = {}
+    for r in O.configured(w, configs, none, states, vix, ["DEF"]).collect():
+        got.setdefault(r.config, {})[r.ticker] = (round(r.weight, 6), r.diagnostics, r.levels)
+    assert {t: v[0] for t, v in got["off"].items()} == {"A": 0.6, "B": 0.3, "DEF": 0.1} and got["off"]["A"][1:] == ({}, {})
+    assert {t: v[0] for t, v in got["limit"].items()} == {"A": 0.4, "B": 0.4, "DEF": 0.15}
+    # Limit, then half the exposure for a drawdown of a quarter, then half of what is left to the defensive ticker.
+    assert {t: v[0] for t, v in got["all"].items()} == {"A": 0.1, "B": 0.1, "DEF": round(0.075 + 0.5, 6)}
+    assert got["all"]["A"][1] == {"excess_weight": pytest.approx(0.2), "drawdown": 0.25, "exposure_factor": 0.5, "defensive_share": 0.5}
+    assert got["all"]["A"][2] == {"breaker_level": "HARD", "vix_level": "HIGH_VOL"} and "x" not in got
+    with pytest.raises(ValueError):
+        O.configured(w, configs.withColumn("no_such", F.lit(1.0)), none, states, vix)
