@@ -74,48 +74,54 @@ def merged(lists: DataFrame, hops: int = HOPS) -> DataFrame:
     return lists.join(label, "l").select("g", "cls").distinct()
 
 
-def _references(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(g, m, e, c): size of each group, and elements that not too few of its members hold, sorted, with their counts."""
+def _shared(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References (g, m, e, c): size of each group, and the elements that not too few of its members hold, sorted, with their
+    counts; and members (g, cls, n, items), with the number of all their elements and those that another member holds too."""
     size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    counts = members.join(sets, "cls").select("g", F.explode("items").alias("e")).groupBy("g", "e").agg(
-        F.count(F.lit(1)).alias("c"))
+    rows = members.join(sets, "cls").select("g", "cls", F.explode("items").alias("e"))
+    counts = stored(rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     kept = counts.join(size, "g").where(F.col("c") * RARE >= F.col("m")).groupBy("g").agg(
-        F.first("m").alias("m"), F.array_sort(F.collect_list(F.struct("e", "c"))).alias("r"))
-    return size.join(kept.select("g", "r"), "g", "left").select(
-        "g", "m", F.coalesce("r.e", F.array().cast("array<bigint>")).alias("e"),
-        F.coalesce("r.c", F.array().cast("array<bigint>")).alias("c"))
+        F.array_sort(F.collect_list(F.struct("e", "c"))).alias("r"))
+    none = F.array().cast("array<bigint>")
+    refs = size.join(kept, "g", "left").select("g", "m", F.coalesce("r.e", none).alias("e"), F.coalesce("r.c", none).alias("c"))
+    held = rows.join(counts, ["g", "e"]).groupBy("g", "cls").agg(F.array_sort(F.collect_list("e")).alias("items"))
+    whole = members.join(sets.select("cls", F.size("items").cast("long").alias("n")), "cls")
+    return refs, whole.join(held, ["g", "cls"], "left").select("g", "cls", "n", F.coalesce("items", none).alias("items"))
 
 
-def _differences(members: DataFrame, sets: DataFrame, refs: DataFrame) -> DataFrame:
-    """(g, cls, n, diff): the differences of each member against its group's reference, rarest first."""
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, cls, n, d, diff): differences of each member against its group's reference: how many, and those that another member
+    holds or may lack too, rarest first. All others come before them in the order of rarity and are in no other set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                n, diff = [], []
+                total, diff = [], []
                 for row in range(batch.num_rows):
                     items, e, c = (batch.column(x)[row].values.to_numpy() for x in ("items", "e", "c"))
-                    m = batch.column("m")[row].as_py()
+                    m, n = batch.column("m")[row].as_py(), batch.column("n")[row].as_py()
                     common = 2 * c > m
                     place = np.minimum(np.searchsorted(e, items), max(len(e) - 1, 0))
                     known = e[place] == items if len(e) else np.zeros(len(items), bool)
                     extra = ~known if not len(e) else ~known | ~common[place]
-                    held = np.where(known, c[place], 1) if len(e) else np.ones(len(items), np.int64)
+                    # Elements of few members, which the reference row leaves out, count as two.
+                    times = np.where(known, c[place], 2) if len(e) else np.full(len(items), 2)
                     lacking = common.copy()
                     lacking[place[known]] = False
                     d = np.concatenate((items[extra], e[lacking]))
-                    order = np.lexsort((d, np.concatenate((held[extra], m - c[lacking]))))
-                    n.append(len(items))
+                    order = np.lexsort((d, np.concatenate((times[extra], m - c[lacking]))))
+                    total.append(n - len(items) + len(d))
                     diff.append(d[order])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("g"), batch.column("cls"), pa.array(n, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
-                    ["g", "cls", "n", "diff"])
+                    [batch.column("g"), batch.column("cls"), batch.column("n"), pa.array(total, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
+                    ["g", "cls", "n", "d", "diff"])
 
+    refs, held = _shared(members, sets)
     # A large group lies in several tasks, each with its own copy of the reference.
-    salted = members.join(sets, "cls").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
+    salted = held.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
     spread = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(spread, ["g", "salt"]).select("g", "cls", "items", "m", "e", "c").mapInArrow(
-        run, "g bigint, cls bigint, n bigint, diff array<bigint>")
+    return salted.join(spread, ["g", "salt"]).select("g", "cls", "n", "items", "m", "e", "c").mapInArrow(
+        run, "g bigint, cls bigint, n bigint, d bigint, diff array<bigint>")
 
 
 def _ceil_half(x: Column, unit: int) -> Column:
@@ -132,17 +138,19 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int, few: int = FE
     sure, asked = [], []
     members = stored(members.distinct())
     while not members.isEmpty():
-        d = stored(_differences(members, sets, _references(members, sets)).withColumn(
-            "slack", (den - num) * F.col("n") - unit * F.size("diff")))
+        d = stored(_differences(members, sets).withColumn("slack", (den - num) * F.col("n") - unit * F.col("d")))
         best = d.groupBy("g").agg(F.max(F.struct("slack", "cls")).alias("z"))
         met = d.join(best, "g").withColumn("over", F.col("slack") + F.col("z.slack") < 0)
         sure.append(met.where(~F.col("over")).select("cls", "z.cls"))
         # The largest slack of members left over; groups without any are done.
         left = met.where("over").groupBy("g").agg(F.max("slack").alias("left"))
         least = _ceil_half(-(F.col("slack") + F.when(F.col("over"), F.col("z.slack")).otherwise(F.col("left"))), unit)
+        # Differences of one member alone hold the first places and are listed by no other.
+        alone = F.col("d") - F.size("diff")
+        listed = F.greatest(F.col("d") - least + 1 - alone, F.lit(0)).cast("int")
         rows = met.join(left, "g").select(
-            "g", "cls", "slack", "over", F.size("diff").alias("d"),
-            F.posexplode(F.slice("diff", F.lit(1), F.greatest(F.size("diff") - least + 1, F.lit(0)).cast("int"))).alias("pos", "e"))
+            "g", "cls", "slack", "over", "d", alone.alias("alone"), F.posexplode(F.slice("diff", F.lit(1), listed)).alias("pos", "e"))
+        rows = rows.withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
         rows = stored(rows.withColumn("g", F.xxhash64("g", "e")).drop("e"))
         lists = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("slack", "cls")).alias("z"),
                                       F.count(F.when(F.col("over"), F.lit(1))).alias("u"))
