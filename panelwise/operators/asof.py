@@ -33,7 +33,7 @@ def read_range(bars: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def unknown_tickers(requested: DataFrame, bars: DataFrame) -> DataFrame:
-    return requested.join(bars.select("ticker"), "ticker", "left_anti")
+    return requested.join(bars.select("ticker").distinct(), "ticker", "left_anti")
 
 
 def availability(requested: DataFrame, bars: DataFrame, as_of: str) -> DataFrame:
