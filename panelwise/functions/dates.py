@@ -7,6 +7,7 @@ days before ``d``; a Saturday and a Sunday share the index of the Monday that fo
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -82,6 +83,17 @@ def every_n_bdays(start: str, end: str, n: int) -> Column:
     return F.expr(f"filter({days}, (d, i) -> i % {int(n)} = 0)")
 
 
+def union_days(schedules: dict[str, Column]) -> Column:
+    """The days of all schedules, each once."""
+    return F.array_distinct(F.concat(*schedules.values()))
+
+
+def schedule_tables(spark: SparkSession, schedules: dict[str, Column]) -> DataFrame:
+    """(schedule, seq, as_of, prev_as_of, next_as_of) of several schedules; bounded by their calendars."""
+    return reduce(DataFrame.unionByName, [
+        schedule_table(spark, days).withColumn("schedule", F.lit(name)) for name, days in schedules.items()])
+
+
 def schedule_table(spark: SparkSession, days: Column) -> DataFrame:
     """(seq, as_of, prev_as_of, next_as_of); one row per rebalance day, so bounded by the calendar."""
     one = spark.range(1).select(days.alias("days"))

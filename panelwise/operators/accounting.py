@@ -17,10 +17,10 @@ from panelwise.functions.joins import DAYS, bounded
 from panelwise.operators.construction import paired
 
 
-def forward_growth(scored: DataFrame, price: str = "price") -> DataFrame:
+def forward_growth(scored: DataFrame, price: str = "price", keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Add ``growth``: price at the next decision date over price now, per ticker. Scores of ``signals.score``
-    are already partitioned by ticker, so this adds no shuffle."""
-    w = Window.partitionBy("ticker").orderBy("as_of")
+    are already partitioned by ticker, so this adds no shuffle, also with a schedule as a further key."""
+    w = Window.partitionBy(*keys).orderBy("as_of")
     return scored.withColumn("growth", ratio(F.lead(price).over(w), F.col(price)))
 
 

@@ -73,11 +73,13 @@ def paired(
     A target is the new weight at its own date and the previous weight at the next date, so the full outer
     join with the previous portfolio is an explode and one grouped sum. The first target follows cash when
     ``start_in_cash`` (weights must then sum to 1), else an empty portfolio.
-    ``calendar`` is (as_of, next_as_of, seq), one row per date, hence the broadcast.
+    ``calendar`` is (as_of, next_as_of, seq), one row per date, hence the broadcast; with a column ``schedule`` on
+    both sides each portfolio follows the dates of its own schedule.
     """
-    cal = bounded(calendar.select("as_of", "next_as_of", "seq"), DAYS)
+    on = ["schedule", "as_of"] if "schedule" in calendar.columns and "schedule" in weights.columns else ["as_of"]
+    cal = bounded(calendar.select(*on, "next_as_of", "seq"), DAYS)
     g = F.col("growth") if carry_growth else F.lit(1.0)
-    w = weights.join(cal, "as_of").withColumn("_held", F.col("weight") * F.coalesce(g, F.lit(0.0)))
+    w = weights.join(cal, on).withColumn("_held", F.col("weight") * F.coalesce(g, F.lit(0.0)))
     zero, first = F.lit(0.0), F.col("seq") == 0
     if "run_start" in weights.columns:
         # Runs over parts of the calendar: each starts at its own date and ends by its own.

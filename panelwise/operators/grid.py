@@ -124,10 +124,10 @@ def param_table(spark: SparkSession, sets: list[ParamSet]) -> DataFrame:
         mw = p.get("momentum_weight", 0.5)
         rows.append((
             s.param_id, s.schedule, s.alpha, s.label, float(p.get("risk_free_rate", 0.0)) * s.lookback / S.YEAR,
-            mw / (mw + 0.5), int(p.get("ma_period", 0)), s.warmup_days,
+            mw / (mw + 0.5), int(p.get("ma_period", 0)), s.warmup_days, float(PERIODS[s.schedule]),
         ))
     return literal_rows(
-        spark, ["param_id", "schedule", "alpha", "label", "hurdle", "momentum_weight", "ma_period", "warmup_days"], rows
+        spark, ["param_id", "schedule", "alpha", "label", "hurdle", "momentum_weight", "ma_period", "warmup_days", "periods_per_year"], rows
     )
 
 

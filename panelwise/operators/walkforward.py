@@ -70,21 +70,24 @@ def slice_returns(curve: DataFrame, spans: list[WindowSpan]) -> DataFrame:
     return w.select("strategy_id", "window_id", F.explode(phases).alias("phase"), "as_of", "r")
 
 
-def slice_metrics(rows: DataFrame, periods_per_year: float = 252.0) -> DataFrame:
+def slice_metrics(rows: DataFrame, periods_per_year: float | str = 252.0) -> DataFrame:
     """Total return, annualised-return Sharpe, volatility and drawdown per (strategy, window, phase).
 
+    ``periods_per_year`` is a number or the name of a column that is constant in each strategy.
     One shuffle by strategy serves every window: the growth path is a window over (strategy, window, phase).
     """
+    own = isinstance(periods_per_year, str)
+    ppy = F.first(periods_per_year) if own else F.lit(float(periods_per_year))
     keys = ["strategy_id", "window_id", "phase"]
     run = Window.partitionBy(*keys).orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)
     p = rows.withColumn("cum", F.product(1.0 + F.col("r")).over(run))
     p = p.withColumn("dd", change(F.col("cum"), F.max("cum").over(run)))
     m = p.groupBy(*keys).agg(
         F.count("*").alias("n"), (F.max_by("cum", "as_of") - 1.0).alias("total_return"),
-        (F.stddev_samp("r") * F.sqrt(F.lit(float(periods_per_year)))).alias("volatility"), F.min("dd").alias("max_drawdown"),
+        (F.stddev_samp("r") * F.sqrt(ppy)).alias("volatility"), F.min("dd").alias("max_drawdown"), ppy.alias("ppy"),
     )
     enough = F.col("n") >= 2
-    ann = F.pow(1.0 + F.col("total_return"), F.lit(float(periods_per_year)) / F.col("n")) - 1.0
+    ann = F.pow(1.0 + F.col("total_return"), F.col("ppy") / F.col("n")) - 1.0
     zero = F.lit(0.0)
     return m.select(
         *keys, "n", F.when(enough, F.col("total_return")).otherwise(zero).alias("total_return"),
@@ -188,15 +191,16 @@ def period_composite(periods: DataFrame) -> DataFrame:
     )
 
 
-def trailing_score(returns: DataFrame, trailing_rows: int = 252, periods_per_year: float = 12.0) -> DataFrame:
-    """Sharpe of the last rows, annualised by the schedule's periods; fewer than 20 rows give minus infinity."""
+def trailing_score(returns: DataFrame, trailing_rows: int = 252, periods_per_year: float | str = 12.0) -> DataFrame:
+    """Sharpe of the last rows, annualised by the schedule's periods, a number or a column that is constant in each
+    strategy; fewer than 20 rows give minus infinity."""
     by = Window.partitionBy("strategy_id")
     r = returns.filter(F.col("r").isNotNull()).withColumn("_k", F.row_number().over(by.orderBy(F.col("date").desc())))
     t = r.filter(F.col("_k") <= trailing_rows).groupBy("strategy_id").agg(
-        F.count("*").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"))
-    ppy = F.lit(float(periods_per_year))
+        F.count("*").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"),
+        (F.first(periods_per_year) if isinstance(periods_per_year, str) else F.lit(float(periods_per_year))).alias("ppy"))
     return t.select("strategy_id", "n", F.when(F.col("n") < 20, float("-inf")).otherwise(
-        F.coalesce(ratio("m", "s") * F.sqrt(ppy), F.lit(0.0))).alias("trailing_score"))
+        F.coalesce(ratio("m", "s") * F.sqrt("ppy"), F.lit(0.0))).alias("trailing_score"))
 
 
 def regime_weighted_score(stats: DataFrame, weights: DataFrame, strategies: DataFrame) -> DataFrame:

@@ -204,8 +204,8 @@ def run_log(spark: SparkSession, root: str) -> str:
     """Two runs of the optimizer, a model each; the first was written once before with the scores of nothing."""
     path = run_folder(spark)
     for run, alpha in RUNS.items():
-        configs = grid_q.configs(spark, "monthly", [alpha])
-        done = grid_q.evaluate(spark, root, grid_q.curves(spark, root, "monthly", [alpha]), configs, 12.0)
+        configs = grid_q.configs(spark, ["monthly"], [alpha])
+        done = grid_q.evaluate(spark, root, grid_q.curves(spark, root, ["monthly"], [alpha]), configs)
         out = results.outcomes(configs.select("strategy_id", "config_name"), done)
         if run == "base":
             results.append({"all": out.withColumn("composite_score", F.lit(None).cast("double")).withColumn("status", F.lit(results.FAILED))}, path, run, 1)
@@ -219,12 +219,12 @@ def run_log(spark: SparkSession, root: str) -> str:
 
 
 LOG_SQL = grid_q.GRID_SQL | dict(
-    rs="SELECT nm.sid, config_name, CASE WHEN p.sl > 0 THEN 'accelerated' ELSE 'base' END AS run_id, act, 4.0 * act + 0.3 * oos_sharpe_mean + 0.3 * wr AS sc "
-    "FROM nm JOIN ps p ON p.pid = nm.sid // 1000 LEFT JOIN agg USING (sid)")
+    rs="SELECT nm.sid, config_name, CASE alpha WHEN 'momentum' THEN 'base' ELSE 'accelerated' END AS run_id, act, 4.0 * act + 0.3 * oos_sharpe_mean + 0.3 * wr AS sc "
+    "FROM nm LEFT JOIN agg USING (sid) WHERE sch = 'monthly' AND alpha IN ('momentum', 'momentum_acceleration')")
 
 
 @query("optimizer_result_log", with_ctes(
-    "px", f"SELECT run_id, CAST(CASE run_id WHEN 'base' THEN 2 ELSE 1 END AS BIGINT) AS version, config_name, CASE WHEN sc IS NULL THEN 'failed' ELSE 'ok' END AS status, {q_sig('sc', 7)} AS composite_score, coalesce(act > 0, FALSE) AS won FROM rs", **LOG_SQL))
+    grid_q.GRID_INPUTS, f"SELECT run_id, CAST(CASE run_id WHEN 'base' THEN 2 ELSE 1 END AS BIGINT) AS version, config_name, CASE WHEN sc IS NULL THEN 'failed' ELSE 'ok' END AS status, {q_sig('sc', 7)} AS composite_score, coalesce(act > 0, FALSE) AS won FROM rs", **LOG_SQL))
 def optimizer_result_log(spark: SparkSession, root: str) -> DataFrame:
     """All configurations of both runs in their newest versions, marked where the table of winners has them."""
     path = run_log(spark, root)
@@ -234,7 +234,7 @@ def optimizer_result_log(spark: SparkSession, root: str) -> DataFrame:
 
 
 @query("optimizer_run_history", with_ctes(
-    "px", f"SELECT run_id, count(*) AS n_configs, count(*) FILTER (WHERE sc IS NULL) AS n_failed, count(*) FILTER (WHERE act > 0) AS n_winners, {q_sig('max(sc)', 7)} AS best_score, arg_max(config_name, sc) AS config_name FROM rs GROUP BY 1", **LOG_SQL))
+    grid_q.GRID_INPUTS, f"SELECT run_id, count(*) AS n_configs, count(*) FILTER (WHERE sc IS NULL) AS n_failed, count(*) FILTER (WHERE act > 0) AS n_winners, {q_sig('max(sc)', 7)} AS best_score, arg_max(config_name, sc) AS config_name FROM rs GROUP BY 1", **LOG_SQL))
 def optimizer_run_history(spark: SparkSession, root: str) -> DataFrame:
     """Counts of each run, failed configurations among them, beside the configuration its mapping chose."""
     path = run_log(spark, root)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwise.functions.dates import schedule_days
 from panelwise.functions.exprs import literal_rows, num, sig
@@ -208,8 +208,12 @@ FALLBACK = "momentum_acceleration"
 
 
 def regimes_monthly(spark: SparkSession, root: str) -> DataFrame:
+    return regimes_of(spark, root, schedule_days(START, END, "monthly"))
+
+
+def regimes_of(spark: SparkSession, root: str, days: Column) -> DataFrame:
     lab = labels(spark, root).select(F.lit("m").alias("k"), "date", "regime")
-    marks = asof.markers(literal_rows(spark, ["k"], [("m",)]), schedule_days(START, END, "monthly"))
+    marks = asof.markers(literal_rows(spark, ["k"], [("m",)]), days)
     return asof.as_of(lab, marks, ["k"], ["regime"], inclusive=True).select("as_of", "regime")
 
 

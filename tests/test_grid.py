@@ -96,7 +96,7 @@ def test_grid_equals_single_models(spark):
     bars, mem = bars_from_orders(spark, SF).cache(), members_from_orders(spark, SF)
     marks = asof.markers(mem, days)
     universe = mem.withColumn("universe_no", F.lit(0))
-    curves = O.grid_curves(bars, mem, universe, days, cal, list(sets.values()), bench, safe)
+    curves = O.grid_curves(bars, mem, universe, {"monthly": days}, list(sets.values()), bench, safe)
     got = {(r.strategy_id, r.as_of): r.nav for r in curves.collect()}
     assert len(got) == 7 * 3 * 84
     for alpha, p in sets.items():
