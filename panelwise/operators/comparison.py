@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwise.functions.exprs import ratio
 from panelwise.functions.tdist import t_pvalue
-from panelwise.operators.pairwise import correlation, pair_moments
+from panelwise.operators.pairwise import BLOCK_SERIES, correlation, pair_moments
 
 
-def return_correlation(returns: DataFrame, n_blocks: int = 4) -> DataFrame:
+def return_correlation(returns: DataFrame, block_series: int = BLOCK_SERIES, pairs: DataFrame | None = None) -> DataFrame:
     """(i, j, n, corr) for every pair of strategies, over their common dates."""
-    return correlation(pair_moments(returns, "strategy_id", "r", n_blocks=n_blocks)).select("i", "j", "n", "corr")
+    return correlation(pair_moments(returns, "strategy_id", "r", block_series=block_series, pairs=pairs)).select("i", "j", "n", "corr")
 
 
-def holdings_correlation(weights: DataFrame, days, window: int | None = None, n_blocks: int = 4) -> DataFrame:
+def holdings_correlation(weights: DataFrame, days, window: int | None = None, block_series: int = BLOCK_SERIES, pairs: DataFrame | None = None) -> DataFrame:
     """Correlation of position weights over time among tickers ever held; absent positions count 0.
 
     Dense rows are tickers ever held x decision dates, which is the matrix the correlation is defined on.
@@ -26,15 +26,15 @@ def holdings_correlation(weights: DataFrame, days, window: int | None = None, n_
     grid = held.select("ticker", F.explode(days).alias("date"))
     w = weights.select("ticker", F.col("as_of").alias("date"), "weight")
     dense = grid.join(w, ["ticker", "date"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return correlation(pair_moments(dense, "ticker", "weight", n_blocks=n_blocks)).select("i", "j", "corr")
+    return correlation(pair_moments(dense, "ticker", "weight", block_series=block_series, pairs=pairs)).select("i", "j", "corr")
 
 
-def sharpe_test(returns: DataFrame, n_blocks: int = 4) -> DataFrame:
+def sharpe_test(returns: DataFrame, block_series: int = BLOCK_SERIES, pairs: DataFrame | None = None) -> DataFrame:
     """Sharpe ratios of each pair, their difference statistic and its two-sided p-value.
 
     A non-positive variance estimate falls back to the paired t statistic; both have n - 1 degrees of freedom.
     """
-    m = correlation(pair_moments(returns, "strategy_id", "r", n_blocks=n_blocks)).filter(F.col("n") >= 2)
+    m = correlation(pair_moments(returns, "strategy_id", "r", block_series=block_series, pairs=pairs)).filter(F.col("n") >= 2)
     n = F.col("n")
 
     def var(q: str, s: str):

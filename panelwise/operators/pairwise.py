@@ -16,29 +16,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwise.functions.exprs import ratio
 
+# Series in a block: two blocks and a year of days are some 4 MB of doubles.
+BLOCK_SERIES = 1000
 MOMENTS = ["n", "s_i", "s_j", "q_i", "q_j", "p"]
 
 
 def pair_moments(
-    rows: DataFrame, series: str, value: str, keys: Sequence[str] = (), weight: str | None = None, n_blocks: int = 4,
-    include_self: bool = False, by_year: bool = True,
+    rows: DataFrame, series: str, value: str, keys: Sequence[str] = (), weight: str | None = None, block_series: int = BLOCK_SERIES,
+    include_self: bool = False, by_year: bool = True, pairs: DataFrame | None = None, counted: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, i, j, n, s_i, s_j, q_i, q_j, p), i < j (or i <= j), over dates where both have a value.
 
-    With a weight column every sum is weighted, n included. Choose ``n_blocks`` so that a block holds a few
-    hundred series. ``by_year`` bounds the days of a task; rows that are already cut to short windows can do without.
+    With a weight column every sum is weighted, n included. The number of blocks follows from the number of series,
+    counted in the same plan, so that a block holds about ``block_series`` of them. ``by_year`` bounds the days of a
+    task; rows that are already cut to short windows can do without. ``pairs`` (i, j), i before j, keeps only these. ``counted``
+    stands in for ``rows`` where the series are counted, if ``rows`` repeats each of them for many windows.
     """
     keys = list(keys)
-    block = F.pmod(F.xxhash64(series), F.lit(n_blocks)).cast("int")
+    # One row: at least two blocks, so that few series still give several tasks.
+    size = (rows if counted is None else counted).filter(F.col(value).isNotNull()).agg(
+        F.greatest(F.lit(2), F.ceil(F.approx_count_distinct(series) / F.lit(float(block_series)))).cast("int").alias("n_blocks"))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     base = rows.filter(F.col(value).isNotNull()).select(
         *keys, F.col(series).alias("s"), F.unix_date("date").alias("d"), (F.year("date") if by_year else F.lit(0)).alias("chunk"),
-        F.col(value).cast("double").alias("v"), w.alias("w"), block.alias("b"),
-    )
+        F.col(value).cast("double").alias("v"), w.alias("w"),
+    ).crossJoin(F.broadcast(size)).withColumn("b", F.pmod(F.xxhash64("s"), F.col("n_blocks")).cast("int"))
     # Block b meets every block k; the pair is stored once as (low, high).
-    spread = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumns(
+    spread = base.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumns(
         {"bi": F.least("b", "k"), "bj": F.greatest("b", "k")}
-    ).drop("k")
+    ).drop("k", "n_blocks")
     fields = rows.select(*keys).schema.fields if keys else []
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["i string", "j string"] + [f"{m} double" for m in MOMENTS]
@@ -74,6 +80,8 @@ def pair_moments(
         return out[[*keys, "i", "j", *MOMENTS]]
 
     parts = spread.groupBy(*keys, "bi", "bj", "chunk").applyInPandas(multiply, schema)
+    if pairs is not None:
+        parts = parts.join(pairs.select("i", "j").distinct(), ["i", "j"], "left_semi")
     return parts.groupBy(*keys, "i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS])
 
 
@@ -89,7 +97,7 @@ def correlation(moments: DataFrame) -> DataFrame:
 
 
 def ewma_covariance(
-    returns: DataFrame, days, halflife: float = 60.0, lookback: int = 252, n_blocks: int = 4
+    returns: DataFrame, days, halflife: float = 60.0, lookback: int = 252, block_series: int = BLOCK_SERIES
 ) -> DataFrame:
     """(as_of, i, j, cov) over the last ``lookback`` business days up to each decision date, both ends included.
 
@@ -112,7 +120,7 @@ def ewma_covariance(
     w = raw.withColumn("w", ratio("raw", F.sum("raw").over(Window.partitionBy("as_of")))).select("as_of", "date", "w")
     x = r.join(w, "date").select("as_of", "date", "ticker", "r", "w")
     mean = x.groupBy("as_of", "ticker").agg(F.sum(F.col("w") * F.col("r")).alias("mu"))
-    p = pair_moments(x, "ticker", "r", ["as_of"], "w", n_blocks, include_self=True, by_year=False)
+    p = pair_moments(x, "ticker", "r", ["as_of"], "w", block_series, include_self=True, by_year=False, counted=r)
     mi = mean.select("as_of", F.col("ticker").alias("i"), F.col("mu").alias("mu_i"))
     mj = mean.select("as_of", F.col("ticker").alias("j"), F.col("mu").alias("mu_j"))
     return p.join(mi, ["as_of", "i"]).join(mj, ["as_of", "j"]).select(

@@ -116,19 +116,22 @@ def test_drawdown_episodes(spark):
     assert e[1].max_dd == pytest.approx(80 / 102 - 1)
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 8])
-def test_pairwise_correlation_with_gaps(spark, blocks):
+@pytest.mark.parametrize("block_series", [1, 2, 1000])
+def test_pairwise_correlation_with_gaps(spark, block_series):
     rng = np.random.default_rng(5)
     d = pd.date_range("2022-12-01", periods=80)
     m = pd.DataFrame(rng.normal(size=(80, 7)), index=d, columns=list("ABCDEFG"))
     m[rng.random(m.shape) < .25] = np.nan
     rows = [(c, x.date(), float(v)) for c in m for x, v in m[c].items() if v == v]
     df = spark.createDataFrame(rows, "strategy_id string, date date, r double")
-    got = {(r.i, r.j): r.corr for r in comparison.return_correlation(df, blocks).collect()}
+    got = {(r.i, r.j): r.corr for r in comparison.return_correlation(df, block_series).collect()}
     want = m.corr()
     assert len(got) == 21
     for (i, j), v in got.items():
         assert i < j and v == pytest.approx(want.loc[i, j])
+    some = spark.createDataFrame([("A", "C"), ("B", "G"), ("A", "C"), ("A", "Z")], "i string, j string")
+    kept = {(r.i, r.j): r.corr for r in comparison.return_correlation(df, block_series, some).collect()}
+    assert kept == pytest.approx({k: got[k] for k in [("A", "C"), ("B", "G")]})
 
 
 def test_t_pvalues():
