@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelwise.functions.dates import schedule_days, schedule_table
-from panelwise.functions.exprs import num, sig
+from panelwise.functions.exprs import change, num, sig
 from panelwise.functions.joins import DAYS, bounded
 from panelwise.operators import accounting, asof, benchmarks as B, comparison, construction, costs, metrics as M, rolling as W
 from panelwise.operators.returns import benchmark_prices, benchmark_returns, daily_returns
@@ -438,6 +440,58 @@ def benchmark_set_comparison(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _beside_sql() -> str:
+    """Five benchmarks and the strategy as curves (strategy_id, as_of, nav, ppy), then their statistics."""
+    def lagged(name: str, gross: str) -> str:
+        return (f"SELECT '{name}' AS strategy_id, as_of, 100000 * product(coalesce(g, 1)) OVER (ORDER BY as_of) AS nav, 12 AS ppy FROM "
+                f"(SELECT as_of, lag(gross) OVER (ORDER BY as_of) AS g FROM ({gross}))")
+
+    return with_ctes(
+        "px rebal_qe",
+        f"SELECT c.strategy_id, CASE WHEN c.strategy_id IN ('bench:random', 'bench:foresight') THEN any_value(bn.n) END AS n_selected, {q_sig('arg_max(nav, as_of) / 100000 - 1', 7)} AS total_return, "
+        "round(avg(r) / stddev_samp(r) * sqrt(any_value(ppy)), 6) AS sharpe, round(stddev_samp(r) * sqrt(any_value(ppy)), 6) AS volatility "
+        "FROM (SELECT *, nav / lag(nav) OVER (PARTITION BY strategy_id ORDER BY as_of) - 1 AS r FROM c) c CROSS JOIN bn GROUP BY c.strategy_id",
+        **CSQL,
+        bn="SELECT greatest(1, CAST(round_even(avg(n), 0) AS INTEGER)) AS n FROM (SELECT as_of, count(*) FILTER (ticker <> '$CASH$' AND weight > 0) AS n FROM w GROUP BY 1)",
+        fk="SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY growth DESC NULLS LAST, ticker) AS k, count(growth) OVER (PARTITION BY as_of) AS known FROM pxn",
+        dr="SELECT *, row_number() OVER (PARTITION BY trial, as_of ORDER BY md5('42|' || trial || '|' || as_of || '|' || ticker), ticker) AS k FROM pxn CROSS JOIN (SELECT unnest(range(100)) AS trial) WHERE price > 0",
+        rg="SELECT trial, as_of, sum(growth) / any_value(n) AS gross FROM dr CROSS JOIN bn WHERE k <= n GROUP BY 1, 2",
+        rn="SELECT as_of, 100000 * product(coalesce(g, 1)) OVER (PARTITION BY trial ORDER BY as_of) AS nav FROM (SELECT *, lag(gross) OVER (PARTITION BY trial ORDER BY as_of) AS g FROM rg)",
+        pq=_px_sql("rebal_qe"),
+        mx="SELECT as_of, sum(wt * growth) AS gross FROM (SELECT *, CASE ticker WHEN 'Brand#1' THEN 0.6 ELSE 0.4 END AS wt, count(price) OVER (PARTITION BY as_of) AS c FROM pq WHERE ticker IN ('Brand#1', 'Brand#2')) WHERE c = 2 GROUP BY 1",
+        c="SELECT 'momentum' AS strategy_id, as_of, nav, 12 AS ppy FROM curve UNION ALL "
+        "SELECT 'bench:hold', as_of, 100000 * price / first_value(price) OVER (ORDER BY as_of), 12 FROM px WHERE ticker = 'Brand#1' AND price IS NOT NULL UNION ALL "
+        + lagged("bench:equal_weight", "SELECT as_of, avg(coalesce(growth, 0)) AS gross FROM pxn WHERE price > 0 GROUP BY 1") + " UNION ALL "
+        + lagged("bench:foresight", "SELECT as_of, CASE WHEN any_value(known) >= any_value(n) THEN sum(growth) FILTER (k <= n) / any_value(n) ELSE 1 END AS gross FROM fk CROSS JOIN bn GROUP BY 1") + " UNION ALL "
+        + lagged("bench:60_40", "SELECT * FROM mx").replace("12 AS ppy", "4 AS ppy") + " UNION ALL "
+        "SELECT 'bench:random', as_of, avg(nav), 12 FROM rn GROUP BY as_of")
+
+
+@query("benchmark_set_beside_strategy", _beside_sql())
+def benchmark_set_beside_strategy(spark: SparkSession, root: str) -> DataFrame:
+    """Five benchmarks on the strategy's schedule (the mix on quarter ends) beside it; random and foresight hold as many names as it does on average."""
+    weights = durable(momentum_weights(spark, root))
+    p, cal = durable(priced(spark, root, "monthly")), monthly(spark)
+    like = B.like_strategy(p, weights)
+    cols = ["strategy_id", "as_of", "nav"]
+    rand = B.random_summary(B.value(B.random_selection(like, "n_selected", 100), cal))
+    mix = B.value(B.fixed_mix(priced(spark, root, "quarter_end"), {"Brand#1": 0.6, "Brand#2": 0.4}, "bench:60_40"), calendar(spark, "quarter_end"))
+    own = accounting.periodic_value(weights, cal)
+    rest = [B.hold(p, BENCH, "bench:hold"), B.value(B.equal_weight(p), cal), B.value(B.foresight_like(like), cal), rand]
+
+    def statistics(c: DataFrame, ppy: float) -> DataFrame:
+        r = change(F.col("nav"), F.lag("nav").over(Window.partitionBy("strategy_id").orderBy("as_of")))
+        final = c.groupBy("strategy_id").agg((F.max_by("nav", "as_of") / 100_000.0 - 1.0).alias("growth"))
+        return M.performance(c.select("strategy_id", F.col("as_of").alias("date"), r.alias("r")), ppy).join(final, "strategy_id")
+
+    monthly_ones = reduce(DataFrame.unionByName, [x.select(*cols) for x in [own, *rest]])
+    s = statistics(monthly_ones, 12.0).unionByName(statistics(mix.select(*cols), 4.0))
+    size = like.select("n_selected").limit(1)
+    sized = F.col("strategy_id").isin("bench:random", "bench:foresight")
+    return s.crossJoin(F.broadcast(size)).select(
+        "strategy_id", F.when(sized, F.col("n_selected")).alias("n_selected"), sig("growth", 7).alias("total_return"), num("sharpe").alias("sharpe"), num("volatility").alias("volatility"))
+
+
 # --- daily accounting ----------------------------------------------------------------------------------------------
 
 
