@@ -68,7 +68,7 @@ PAGE = ('<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>va
         '</a></li></ul></nav><!-- c --><div class="ad">Buy now.</div><article><h1>Head &amp; line</h1><p><b>One  \n two<br><p>Three&nbsp;four</p>'
         '<aside>side</aside><form><label>mail</label><input name=q></form><p>a < b <i>it</i>alic</p><div class="comments"><p>Nice!</p></div>'
         '</article><footer>&copy; me</footer></body></html>')
-WEIGHTS = {ht.WORD: 1.0, ht.FURNITURE_WORD: -1.0, "p": -0.01, "/p": -0.01, "b": -0.01, "h1": -0.01, "/h1": -0.01, "br": -0.01}
+WEIGHTS = {ht.WORD: 1.0, ht.LINK_WORD: 0.1, ht.ANY_TAG: -0.5, "p": -0.01, "/p": -0.01, "b": -0.01, "h1": -0.01, "/h1": -0.01, "br": -0.01}
 
 
 def test_extraction():
@@ -80,6 +80,32 @@ def test_extraction():
     assert ht.extract("<script>x</script><p>" + "w " * 50000, WEIGHTS) == " ".join(["w"] * 50000)
 
 
+def stripped(page):
+    return ht.re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def test_names_around_the_text_and_unclosed_tags():
+    text = "Head\n" + "\n".join(f"long text of the page {i} " + "and more of it " * 9 for i in range(5))
+    text = "\n".join(x.strip() for x in text.split("\n"))
+    inner = "<h1>Head</h1>" + "".join(f"<p>{x}</p>" for x in text.split("\n")[1:])
+    menu, end = '<nav><a href="/">home</a></nav>', "<footer>foot note</footer>"
+    pages = [
+        f'<html><body class="single no-sidebar">{menu}<article>{inner}</article>{end}</body></html>',
+        f'<body>{menu}<div class="layout has-sidebar"><article>{inner}</article><div class="sidebar">side words</div></div>{end}</body>',
+        f'<body>{menu}<div class="with-footer"><div>{inner}</div></div>{end}</body>',
+        f'<body>{menu}<article class="post tag-search">{inner}</article>{end}</body>',
+        f'<body><nav><a href="/">home</a><article>{inner}</article>{end}</body>',
+        f'<body>{menu}<label>mail<div><article>{inner}</article></div>{end}</body>',
+        f'<body>{menu}<form action="x"><div id="all">{inner}</div></form>{end}</body>',
+        f'<body>{menu}<article>{inner}</article><div class="comments"><article><p>I agree</p></article> so do I</div>{end}</body>',
+        f'<body>{menu}<article>{inner}</article><aside class="sidebar"><article><p>Another text</p></article></aside>{end}</body>',
+    ]
+    w = {**WEIGHTS, ht.LINK_WORD: 0.0, "article": -4.0, "/article": -4.0, "div": -3.0, "/div": -3.0, ht.WORD: 0.2}
+    for p in pages:
+        assert ht.extract(p, w) == text, p[:80]
+    assert ht.extract("<body><nav><ul><li>only a menu</li></ul></nav></body>", w) == ""
+
+
 def test_best_region_against_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -96,6 +122,25 @@ def test_extraction_of_pages(spark):
         assert r.text.split() == ht.references.unescape(ht.re.sub("<[^>]*>", " ", inner)).split()
     extra = spark.createDataFrame([(None, None, None), (1, "u", "")], "page_id long, url string, html string")
     assert [r.text for r in ht.main_text(extra).collect()] == ["", ""]
+    assert ht.main_text(extra.limit(0)).count() == 0
+    clash = pages.limit(5).selectExpr("*", "1 AS held", "'x' AS key", "2 AS n", "0 AS scale")
+    assert sorted(r.text for r in ht.main_text(clash.unionAll(clash), ht.weights(pages)).collect()) == sorted(
+        2 * [r.text for r in ht.main_text(pages.limit(5), ht.weights(pages)).collect()])
+
+
+def test_extraction_without_names(spark, monkeypatch):
+    """Region by learned weights alone: names taken from the pages, then from the code."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows, w = pages.select("html").collect(), ht.weights(pages)
+
+    def right(weights, change):
+        return sum(ht.extract(change(r.html), weights).split() == ht.references.unescape(ht.re.sub(
+            "<[^>]*>", " ", r.html.split("<article>")[1].split("</article>")[0])).split() for r in rows) / len(rows)
+
+    assert right(w, stripped) >= 0.95
+    assert right(w, lambda p: stripped(p).replace("<article>", "").replace("</article>", "")) >= 0.95
+    monkeypatch.setattr(ht, "_FURNITURE_NAMES", set())
+    assert right(w, lambda p: p) >= 0.95
 
 
 def test_extraction_is_not_decided_by_article_tags(spark):
