@@ -15,6 +15,7 @@ from panelwise import CASH
 from panelwise.functions.exprs import change, ratio
 from panelwise.functions.joins import DAYS, bounded
 from panelwise.operators.construction import paired
+from panelwise.operators.metrics import active, performance
 
 
 def forward_growth(scored: DataFrame, price: str = "price", keys: Sequence[str] = ("ticker",)) -> DataFrame:
@@ -59,6 +60,20 @@ def holdings(weights: DataFrame, curve: DataFrame) -> DataFrame:
     return j.withColumn("notional", F.col("weight") * F.col("nav")).withColumn("shares", ratio(F.col("notional"), px))
 
 
+def experiment_bundle(curve: DataFrame, benchmark: DataFrame, periods_per_year: float = 12.0) -> DataFrame:
+    """One row per strategy: growth, risk and active metrics of its curve, rebalances and costs.
+
+    ``curve``: (strategy_id, as_of, nav, cost, returns); ``benchmark``: (date, r). Both metric tables come from returns per (strategy,
+    date); a strategy without a common date with the benchmark has NULL active metrics.
+    """
+    r = curve.select("strategy_id", F.col("as_of").alias("date"), F.col("returns").alias("r"))
+    spent = curve.groupBy("strategy_id").agg(F.count("*").alias("num_rebalances"), F.sum("cost").alias("total_costs"))
+    own = performance(r, periods_per_year).select(
+        "strategy_id", "total_return", "cagr", "sharpe", "sortino", "max_drawdown", "volatility", "win_rate")
+    beside = active(r, benchmark, periods_per_year).select("strategy_id", "active_return", "information_ratio", "tracking_error")
+    return own.join(spent, "strategy_id").join(beside, "strategy_id", "left")
+
+
 def run_summary(curve: DataFrame, capital: float = 100_000.0, periods_per_year: int = 12) -> DataFrame:
     """Total return, Sharpe, worst drawdown, costs and rebalance count per strategy."""
     by = Window.partitionBy("strategy_id").orderBy("as_of").rowsBetween(Window.unboundedPreceding, 0)

@@ -70,6 +70,20 @@ def as_of(
     )
 
 
+def panel_row(series: DataFrame, marks: DataFrame, columns: list[str], inclusive: bool = False) -> DataFrame:
+    """Values in the panel's newest row before (or on) each mark; a ticker without a bar on that date has NULLs.
+
+    The strict form of ``as_of``, which would go back further. The panel's dates are reduced to one row a day before they meet the
+    decision dates, and one row a decision date comes back.
+    """
+    one = F.lit(1).alias("_k")
+    days = series.select(one, "date").distinct()
+    newest = as_of(days, marks.select(one, "as_of").distinct(), ["_k"], [], inclusive).select("as_of", F.col("seen_date").alias("panel_date"))
+    own = as_of(series, marks, ["ticker"], columns, inclusive).join(bounded(newest, DAYS), "as_of")
+    there = F.col("seen_date") == F.col("panel_date")
+    return own.select("ticker", "as_of", "panel_date", *[F.when(there, F.col(c)).alias(c) for c in columns])
+
+
 def forward_fill(grid: DataFrame, keys: list[str], value: str, date_col: str = "date") -> DataFrame:
     """Carry the last non-null value forward within the keys."""
     w = Window.partitionBy(*keys).orderBy(date_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -29,41 +29,53 @@ def trading_days(bars: DataFrame) -> DataFrame:
     return bars.select("date").distinct()
 
 
-def validate(bars: DataFrame, max_missing: float = 0.05) -> DataFrame:
-    """Violation counts and a status per ticker."""
+def _violations() -> dict[str, Column]:
     o, h, lo, c = (F.col(x) for x in PRICES)
     missing = sum((F.col(f).isNull().cast("int") for f in FIELDS), F.lit(0))
-    out = bars.groupBy("ticker").agg(
-        F.count("*").alias("n_rows"),
-        F.count_if((o < 0) | (h < 0) | (lo < 0) | (c < 0)).alias("negative_prices"),
-        F.count_if((h < lo) | (h < o) | (h < c)).alias("bad_high"),
-        F.count_if((lo > o) | (lo > c)).alias("bad_low"),
-        (F.sum(missing) / (F.count("*") * len(FIELDS))).alias("missing_pct"),
-    )
+    return {
+        "n_rows": F.count("*"),
+        "negative_prices": F.count_if((o < 0) | (h < 0) | (lo < 0) | (c < 0)),
+        "bad_high": F.count_if((h < lo) | (h < o) | (h < c)),
+        "bad_low": F.count_if((lo > o) | (lo > c)),
+        "missing_pct": F.sum(missing) / (F.count("*") * len(FIELDS)),
+    }
+
+
+def _status(max_missing: float) -> Column:
     bad = F.col("negative_prices") + F.col("bad_high") + F.col("bad_low") > 0
-    status = F.when(bad, "INVALID").when(F.col("missing_pct") > max_missing, "MISSING").otherwise("OK")
-    return out.withColumn("status", status)
+    return F.when(bad, "INVALID").when(F.col("missing_pct") > max_missing, "MISSING").otherwise("OK")
+
+
+def validate(bars: DataFrame, max_missing: float = 0.05) -> DataFrame:
+    """Violation counts and a status per ticker."""
+    out = bars.groupBy("ticker").agg(*[v.alias(k) for k, v in _violations().items()])
+    return out.withColumn("status", _status(max_missing))
+
+
+def _with_change(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("_r", change("close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))))
+
+
+def _anomalies(max_daily_change: float) -> dict[str, Column]:
+    flat = (F.col("open") == F.col("high")) & (F.col("open") == F.col("low")) & (F.col("open") == F.col("close"))
+    return {
+        "suspicious_days": F.count_if(flat), "extreme_changes": F.count_if(F.abs("_r") > max_daily_change),
+        "zero_volume": F.count_if(F.col("volume") == 0),
+    }
 
 
 def anomaly_counts(bars: DataFrame, max_daily_change: float = 0.5) -> DataFrame:
     """Flat bars, extreme close-to-close moves and zero-volume days per ticker."""
-    w = Window.partitionBy("ticker").orderBy("date")
-    b = bars.withColumn("_r", change("close", F.lag("close").over(w)))
-    flat = (F.col("open") == F.col("high")) & (F.col("open") == F.col("low")) & (F.col("open") == F.col("close"))
-    return b.groupBy("ticker").agg(
-        F.count_if(flat).alias("suspicious_days"), F.count_if(F.abs("_r") > max_daily_change).alias("extreme_changes"),
-        F.count_if(F.col("volume") == 0).alias("zero_volume"),
-    )
+    return _with_change(bars).groupBy("ticker").agg(*[v.alias(k) for k, v in _anomalies(max_daily_change).items()])
 
 
 def ingest_screen(bars: DataFrame) -> DataFrame:
-    """One row per ticker: kept or dropped (no value at all), validity and the anomaly total."""
+    """One row per ticker: kept or dropped (no value at all), validity and the anomaly total, from one pass by ticker."""
     some = F.coalesce(*[F.col(f) for f in FIELDS]).isNotNull()
-    rows = bars.groupBy("ticker").agg(F.count_if(some).alias("usable_rows"))
-    a = anomaly_counts(bars)
-    j = rows.join(validate(bars).select("ticker", "status"), "ticker").join(a, "ticker")
+    counts = {**_violations(), **_anomalies(0.5), "usable_rows": F.count_if(some)}
+    j = _with_change(bars).groupBy("ticker").agg(*[v.alias(k) for k, v in counts.items()])
     total = F.col("suspicious_days") + F.col("extreme_changes") + F.col("zero_volume")
-    return j.select("ticker", (F.col("usable_rows") > 0).alias("kept"), "status", total.alias("anomalies"))
+    return j.select("ticker", (F.col("usable_rows") > 0).alias("kept"), _status(0.05).alias("status"), total.alias("anomalies"))
 
 
 def date_coverage(bars: DataFrame, start: str, end: str, tolerance_days: int = 5) -> DataFrame:

@@ -7,8 +7,9 @@ when the history is too short.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -50,6 +51,17 @@ class Signal:
     needs_benchmark: bool = False
 
 
+def in_rows(signal: Signal) -> Signal:
+    """The same signal with its lookback counted in rows alone: however many calendar days they span, and all history counts for the
+    length test. A signal without a number of rows, such as a regression over a calendar window, has no such form."""
+    if not any(rows for rows, _ in signal.spans):
+        raise ValueError(f"{signal.name} has no lookback in rows")
+    sql = signal.sql
+    for rows, days in signal.spans:
+        sql = re.sub(rf"\b{span_name(rows, days)}\b", span_name(rows, None), sql)
+    return replace(signal, spans=tuple((rows, None) for rows, _ in signal.spans), sql=sql)
+
+
 def momentum(
     lookback: int = 252, min_periods: int = 200, name: str = "momentum", read_days: int | None = None
 ) -> Signal:

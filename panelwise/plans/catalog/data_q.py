@@ -90,6 +90,23 @@ def as_of_prices(spark: SparkSession, root: str) -> DataFrame:
     return p.select("ticker", "as_of", "seen_date", sig("close", 13).alias("close"))
 
 
+@query("panel_row_prices", with_ctes(
+    "bars members rebal", f"SELECT m.ticker, r.as_of, r.panel_date, {q_sig('b.close', 13)} AS close FROM members m CROSS JOIN pr r LEFT JOIN bars b ON b.ticker = m.ticker AND b.date = r.panel_date",
+    pr="SELECT as_of, (SELECT max(date) FROM bars WHERE date < as_of) AS panel_date FROM rebal"))
+def panel_row_prices(spark: SparkSession, root: str) -> DataFrame:
+    """Prices of the panel's last row before each decision date, missing where a ticker has no bar in it."""
+    p = asof.panel_row(bars_from_orders(spark, root), month_marks(spark, root), ["close"])
+    return p.select("ticker", "as_of", "panel_date", sig("close", 13).alias("close"))
+
+
+@query("forward_filled_volume", with_ctes(
+    "bars", "SELECT date, ticker, last_value(volume IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date) AS volume FROM dm",
+    dm="SELECT date, ticker, CASE WHEN day(date) % 3 = 0 THEN NULL WHEN volume <= 10 THEN 0.0 ELSE volume END AS volume FROM bars"))
+def forward_filled_volume(spark: SparkSession, root: str) -> DataFrame:
+    """Volumes with their holes filled from the row before."""
+    return asof.forward_fill(damaged(spark, root), ["ticker"], "volume").select("date", "ticker", "volume")
+
+
 @query("forward_filled_macro", with_ctes(
     "bars macro_w", "SELECT t.date, m.VIX AS vix FROM (SELECT DISTINCT date FROM bars) t ASOF LEFT JOIN (SELECT date AS md, VIX FROM macro_w) m ON t.date >= m.md"))
 def forward_filled_macro(spark: SparkSession, root: str) -> DataFrame:
@@ -192,7 +209,9 @@ def instrument_lists(spark: SparkSession, root: str) -> tuple[DataFrame, DataFra
         F.lit("iShares").alias("provider"), F.when(F.col("c_nationkey") % 2 == 0, F.lit("")).otherwise(F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("expense_ratio_pct"),
         F.col("c_mktsegment").alias("region"), F.col("c_custkey").alias("position"),
     )
-    return primary, secondary
+    # Headers as published lists have them.
+    shown = {"ticker": "Ticker ", "name": "Name", "expense_ratio_pct": "Expense Ratio (Pct)", "provider": " Provider"}
+    return primary.withColumnsRenamed(shown), secondary.withColumnsRenamed(shown)
 
 
 @query("instrument_list_harmonize", (

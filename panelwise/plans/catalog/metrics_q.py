@@ -246,22 +246,42 @@ def strategy_return_correlation(spark: SparkSession, root: str) -> DataFrame:
     return c.select("i", "j", F.col("n").cast("long").alias("n"), num("corr").alias("corr"))
 
 
+PAIR_SQL = (
+    "SELECT a.ticker AS i, b.ticker AS j, count(*) AS n, avg(a.r) AS m1, avg(b.r) AS m2, avg(a.r) / stddev_samp(a.r) AS s1, avg(b.r) / stddev_samp(b.r) AS s2, "
+    "corr(a.r, b.r) AS rho, var_samp(a.r) AS v1, var_samp(b.r) AS v2, stddev_samp(a.r - b.r) AS sdd FROM rets a JOIN rets b ON a.date = b.date AND a.ticker < b.ticker "
+    "WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2")
+
+
 @query("sharpe_difference_statistic", with_ctes(
     "rets",
     "SELECT i, j, n, round(s1, 6) AS sharpe_1, round(s2, 6) AS sharpe_2, round(CASE WHEN theta > 0 THEN (s1 - s2) / sqrt(theta) ELSE (m1 - m2) / (sdd / sqrt(n)) END, 5) AS t_statistic "
     "FROM (SELECT *, (2 - 2 * rho * sqrt(v1 / v2) - 0.5 * s1 * s1 - 0.5 * s2 * s2 + s1 * s2 * rho) / n AS theta FROM p)",
-    p="SELECT a.ticker AS i, b.ticker AS j, count(*) AS n, avg(a.r) AS m1, avg(b.r) AS m2, avg(a.r) / stddev_samp(a.r) AS s1, avg(b.r) / stddev_samp(b.r) AS s2, "
-    "corr(a.r, b.r) AS rho, var_samp(a.r) AS v1, var_samp(b.r) AS v2, stddev_samp(a.r - b.r) AS sdd FROM rets a JOIN rets b ON a.date = b.date AND a.ticker < b.ticker "
-    "WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2"))
+    p=PAIR_SQL))
 def sharpe_difference_statistic(spark: SparkSession, root: str) -> DataFrame:
     t = comparison.sharpe_test(strategies(spark, root))
     return t.select("i", "j", "n", num("sharpe_1").alias("sharpe_1"), num("sharpe_2").alias("sharpe_2"), num("t_statistic", 5).alias("t_statistic"))
 
 
-@query("sharpe_difference_test")
+# Student's distribution with v degrees of freedom as a finite sum in the angle atan(t / sqrt(v)), one sum for even v and one for odd v.
+T_SUM = dict(
+    q="SELECT i, j, n, s1, s2, n - 1 AS v, t, atan(abs(t) / sqrt(n - 1)) AS th FROM (SELECT *, CASE WHEN theta > 0 THEN (s1 - s2) / sqrt(theta) ELSE (m1 - m2) / (sdd / sqrt(n)) END AS t "
+    "FROM (SELECT *, (2 - 2 * rho * sqrt(v1 / v2) - 0.5 * s1 * s1 - 0.5 * s2 * s2 + s1 * s2 * rho) / n AS theta FROM p))",
+    co="SELECT k, exp(sum(ln((2.0 * greatest(k, 1) - 1) / (2.0 * greatest(k, 1))) * least(k, 1)) OVER w) AS ev, "
+    "exp(sum(ln(2.0 * greatest(k, 1) / (2.0 * greatest(k, 1) + 1)) * least(k, 1)) OVER w) AS od "
+    "FROM (SELECT unnest(generate_series(0, (SELECT max(n) FROM p))) AS k) WINDOW w AS (ORDER BY k)",
+    su="SELECT q.i, q.j, sum(CASE WHEN v % 2 = 0 THEN ev * pow(cos(th), 2 * k) ELSE od * pow(cos(th), 2 * k + 1) END) AS s "
+    "FROM q JOIN co ON 2 * k + 2 + v % 2 <= v GROUP BY 1, 2",
+    pv="SELECT q.*, CASE WHEN v % 2 = 0 THEN 1 - sin(th) * coalesce(s, 0) ELSE 1 - 2 / pi() * (th + sin(th) * coalesce(s, 0)) END AS pval FROM q LEFT JOIN su USING (i, j)",
+)
+
+
+@query("sharpe_difference_test", with_ctes(
+    "rets", "SELECT i, j, n, round(s1, 6) AS sharpe_1, round(s2, 6) AS sharpe_2, round(t, 5) AS t_statistic, round(pval, 6) AS p_value, pval < 0.05 AS is_significant FROM pv",
+    p=PAIR_SQL, **T_SUM))
 def sharpe_difference_test(spark: SparkSession, root: str) -> DataFrame:
-    """With the p-value; Student's distribution is not available in SQL, see the tests."""
-    return comparison.sharpe_test(strategies(spark, root))
+    t = comparison.sharpe_test(strategies(spark, root))
+    return t.select("i", "j", "n", *[num(c).alias(c) for c in ("sharpe_1", "sharpe_2")], num("t_statistic", 5).alias("t_statistic"),
+                    num("p_value").alias("p_value"), "is_significant")
 
 
 @query("monthly_returns", with_ctes(
@@ -323,6 +343,12 @@ def cycle_rows(spark: SparkSession, root: str) -> DataFrame:
     return M.cycles(curve.join(bounded(seen, DAYS), "as_of"))
 
 
+@query("benchmark_price_fallback", with_ctes("bars", f"SELECT date, {q_sig('avg(close)', 9)} AS price FROM bars GROUP BY 1"))
+def benchmark_price_fallback(spark: SparkSession, root: str) -> DataFrame:
+    """A benchmark that the panel lacks: mean close of all tickers on each day."""
+    return benchmark_prices(bars_from_orders(spark, root), "no such ticker").select("date", sig("price", 9).alias("price"))
+
+
 CYC = dict(
     CSQL,
     bx="SELECT r.as_of, b.close AS bench FROM rebal r ASOF LEFT JOIN (SELECT date, close FROM bars WHERE ticker = 'Brand#1') b ON r.as_of >= b.date",
@@ -520,20 +546,28 @@ def portfolio_daily_returns(spark: SparkSession, root: str) -> DataFrame:
     return accounting.portfolio_returns(pos, rets(spark, root)).select("date", sig("r").alias("r"))
 
 
+EXPERIMENT_COLS = {
+    "total_return": "arg_max(eq, as_of) - 1",
+    "cagr": "pow(arg_max(eq, as_of), 12.0 / count(*)) - 1",
+    "sharpe": "coalesce(avg(r) / NULLIF(stddev_samp(r), 0) * sqrt(12), 0)",
+    "sortino": "avg(r) * 12 / (stddev_samp(r) FILTER (r < 0) * sqrt(12))",
+    "max_drawdown": "min(dd)",
+    "volatility": "stddev_samp(r) * sqrt(12)",
+    "win_rate": "avg(CASE WHEN r > 0 THEN 100.0 ELSE 0.0 END)",
+    "total_costs": "(SELECT sum(cost) FROM curve)",
+    "active_return": "product(1 + r) FILTER (b IS NOT NULL) - product(1 + b)",
+    "information_ratio": "avg(r - b) * 12 / (stddev_samp(r - b) * sqrt(12))",
+    "tracking_error": "stddev_samp(r - b) * sqrt(12)",
+}
+
+
 @query("experiment_metrics", with_ctes(
-    "px",
-    f"SELECT {q_sig('arg_max(nav, as_of) / arg_min(nav, as_of) - 1')} AS total_return, round(coalesce(avg(s.r) / NULLIF(stddev_samp(s.r), 0) * sqrt(12), 0), 6) AS sharpe, "
-    "round(stddev_samp(s.r) * sqrt(12), 6) AS volatility, round(avg(CASE WHEN s.r > 0 THEN 100.0 ELSE 0.0 END), 6) AS win_rate, "
-    "round(avg(s.r - s.b) * 12 / (stddev_samp(s.r - s.b) * sqrt(12)), 6) AS information_ratio, round(stddev_samp(s.r - s.b) * sqrt(12), 6) AS tracking_error "
-    "FROM (SELECT c.as_of, nav, returns AS r, bench / lag(bench) OVER (ORDER BY c.as_of) - 1 AS b FROM curve c JOIN bx USING (as_of)) s WHERE s.r IS NOT NULL", **CYC).replace(
-        "arg_max(nav, as_of) / arg_min(nav, as_of) - 1", "product(1 + s.r) - 1"))
+    "px", "SELECT (SELECT count(*) FROM curve) AS num_rebalances, " + ", ".join(f"{q_sig(x, 7)} AS {k}" for k, x in EXPERIMENT_COLS.items())
+    + " FROM (SELECT *, eq / max(eq) OVER (ORDER BY as_of) - 1 AS dd FROM (SELECT *, product(1 + r) OVER (ORDER BY as_of) AS eq FROM ("
+    "SELECT c.as_of, returns AS r, bench / lag(bench) OVER (ORDER BY c.as_of) - 1 AS b FROM curve c JOIN bx USING (as_of)) WHERE r IS NOT NULL))", **CYC))
 def experiment_metrics(spark: SparkSession, root: str) -> DataFrame:
-    """Periodic curve metrics next to active metrics on the same dates."""
+    """The whole bundle of an experiment: curve metrics, active metrics on the same dates, rebalances and costs."""
     curve = accounting.periodic_value(momentum_weights(spark, root), monthly(spark))
-    cyc = cycle_rows(spark, root)
-    r = curve.select("strategy_id", F.col("as_of").alias("date"), F.col("returns").alias("r"))
-    p = M.performance(r, 12.0)
-    a = M.active(r, cyc.select(F.col("end_date").alias("date"), F.col("bench_return").alias("r")), 12.0)
-    j = p.join(a.select("strategy_id", "information_ratio", "tracking_error"), "strategy_id")
-    return j.select(sig("total_return").alias("total_return"), num("sharpe").alias("sharpe"), num("volatility").alias("volatility"),
-                    num("win_rate").alias("win_rate"), num("information_ratio").alias("information_ratio"), num("tracking_error").alias("tracking_error"))
+    bench = cycle_rows(spark, root).select(F.col("end_date").alias("date"), F.col("bench_return").alias("r"))
+    j = accounting.experiment_bundle(curve, bench, 12.0)
+    return j.select("num_rebalances", *[sig(c, 7).alias(c) for c in EXPERIMENT_COLS])

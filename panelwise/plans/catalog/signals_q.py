@@ -63,6 +63,14 @@ def momentum_scores(spark: SparkSession, root: str) -> DataFrame:
     return wide.select("ticker", "as_of", sig("momentum").alias("score"))
 
 
+@query("momentum_scores_in_rows", with_ctes(
+    "bars members rebal", f"SELECT ticker, as_of, {q_sig('score')} AS score FROM g", s=span_sql(LOOKBACK, 100_000, MIN_PERIODS), g=GRID))
+def momentum_scores_in_rows(spark: SparkSession, root: str) -> DataFrame:
+    """Momentum over a number of rows, however many calendar days they span."""
+    wide = S.score(bars_from_orders(spark, root), month_marks(spark, root), [S.in_rows(S.momentum(LOOKBACK, MIN_PERIODS))])
+    return wide.select("ticker", "as_of", sig("momentum").alias("score"))
+
+
 WEIGHTS_SQL = dict(
     s=MOM_SQL,
     g=GRID,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -109,10 +111,24 @@ LIST_FIELDS = [
 ]
 
 
+def header(name: str) -> str:
+    """Lower-case column name of letters, digits and underscores; anything else between them is one underscore."""
+    return "_".join(re.findall("[a-z0-9_]+", name.lower())).strip("_")
+
+
+def with_plain_headers(df: DataFrame) -> DataFrame:
+    """Columns renamed by ``header``. Of equal names the first stays, later ones and nameless ones get their position as a suffix."""
+    names: list[str] = []
+    for i, c in enumerate(df.columns, 1):
+        name = header(c)
+        names.append(name if name and name not in names else f"{name or 'column'}_{i}")
+    return df.toDF(*names)
+
+
 def harmonize(primary: DataFrame, secondary: DataFrame, order: str = "position") -> DataFrame:
     """Merge two instrument lists by cleaned ticker. The secondary list wins field by field where it has a value.
 
-    Both lists need ``ticker``; absent fields are NULL. The first row of a ticker by ``order`` is kept per list.
+    Headers are those of the files and are made plain first. Both lists need ``ticker``; absent fields are NULL. The first row of a ticker by ``order`` is kept per list.
     One grouped pass over the union stands for the full outer join.
     """
 
@@ -126,8 +142,8 @@ def harmonize(primary: DataFrame, secondary: DataFrame, order: str = "position")
         first = s.filter(F.col("ticker").isNotNull()).groupBy("ticker").agg(F.min_by("row", F.col(f"row.{order}")).alias(tag))
         return first
 
-    p = side(primary, "a").withColumn("b", F.lit(None))
-    s = side(secondary, "b")
+    p = side(with_plain_headers(primary), "a").withColumn("b", F.lit(None))
+    s = side(with_plain_headers(secondary), "b")
     p = p.withColumn("b", F.lit(None).cast(s.schema["b"].dataType))
     both = p.unionByName(s.withColumn("a", F.lit(None).cast(p.schema["a"].dataType)))
     m = both.groupBy("ticker").agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))

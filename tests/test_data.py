@@ -149,3 +149,22 @@ def test_feature_store_replaces_a_date(spark, tmp_path):
     state.write_features(f(dt.date(2023, 1, 2), 3.0), path, "d", "n")
     assert sorted(r.x for r in state.read_features(spark, path, "d", "n").collect()) == [1.0, 3.0]
     assert state.read_features(spark, path, "d", "n", "2023-01-02").first().x == 3.0
+
+
+def test_headers_of_published_lists(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5)], [" Expense Ratio (%)", "Name", "name ", "--", "ISIN-Code"])
+    assert ingest.with_plain_headers(df).columns == ["expense_ratio", "name", "name_3", "column_4", "isin_code"]
+    a = spark.createDataFrame([(" a ", "x", 1)], ["Ticker ", "NAME", "Position"])
+    b = spark.createDataFrame([("A", "EU", 1)], ["ticker", "Region", "position"])
+    r = ingest.harmonize(a, b).first()
+    assert (r.ticker, r.name, r.region, r.source) == ("A", "x", "EU", "both")
+
+
+def test_screen_equals_its_parts(spark):
+    b = bars(spark, {"A": [10, 10, 30], "B": [1, 2, None], "C": [5, -5, 5]}).withColumn("volume", F.when(F.col("ticker") != "B", F.col("volume")))
+    empty = spark.createDataFrame([(dt.date(2023, 1, 1), "D")], "date date, ticker string")
+    b = b.unionByName(empty, allowMissingColumns=True)
+    parts = Q.validate(b).join(Q.anomaly_counts(b), "ticker").collect()
+    want = {r.ticker: (r.ticker != "D", r.status, r.suspicious_days + r.extreme_changes + r.zero_volume) for r in parts}
+    assert {r.ticker: (r.kept, r.status, r.anomalies) for r in Q.ingest_screen(b).collect()} == want
+    assert want["D"][1] == want["B"][1] == "MISSING" and want["C"][1] == "INVALID" and want["A"][2] == 1

@@ -220,3 +220,26 @@ def test_daily_value_against_loop(spark):
         eq *= 1 + ret
         assert got[x] == pytest.approx(eq)
         held = tw.get(x, held)
+
+
+def test_benchmark_falls_back_to_the_mean(spark):
+    from conftest import bars
+    from panelwise.operators.returns import benchmark_prices
+
+    b = bars(spark, {"A": [1, 2], "B": [3, 6]})
+    assert [r.price for r in benchmark_prices(b, "A").orderBy("date").collect()] == [1.0, 2.0]
+    assert [r.price for r in benchmark_prices(b, "Z").orderBy("date").collect()] == [2.0, 4.0]
+    assert benchmark_prices(b.limit(0), "A").count() == 0
+
+
+def test_experiment_bundle(spark):
+    days = pd.date_range("2020-01-31", periods=4, freq="ME").date
+    curve = spark.createDataFrame(
+        [("s", d, v, 1.5, r) for d, v, r in zip(days, (100.0, 110.0, 99.0, 108.9), (None, 0.1, -0.1, 0.1))],
+        "strategy_id string, as_of date, nav double, cost double, returns double")
+    bench = spark.createDataFrame([(days[1], 0.05), (days[2], -0.05)], "date date, r double")
+    r = accounting.experiment_bundle(curve, bench, 12.0).first()
+    assert (r.num_rebalances, r.total_costs) == (4, 6.0)
+    assert r.total_return == pytest.approx(0.089) and r.max_drawdown == pytest.approx(-0.1) and r.win_rate == pytest.approx(200 / 3)
+    assert r.cagr == pytest.approx(1.089 ** 4 - 1) and r.active_return == pytest.approx(1.1 * 0.9 - 1.05 * 0.95)
+    assert accounting.experiment_bundle(curve, bench.limit(0), 12.0).first().tracking_error is None

@@ -66,3 +66,23 @@ def test_observe_equals_plain_slicing(spark):
                 rets = w.close.pct_change().dropna()
                 assert r["last"].n_r - cell.n_r == len(rets)
                 assert abs((r["last"].s_r - cell.s_r) - rets.sum()) < 1e-9
+
+
+def test_panel_row_is_strict(spark):
+    b = bars(spark, {"A": [1, 2, 3, 4], "B": [5, 6, None, None]})
+    marks = asof.markers(members(spark, "A", "B", "Z"), days_array("2023-01-01", "2023-01-03", "2023-01-04"))
+    got = {(r.ticker, str(r.as_of)): (r.panel_date and str(r.panel_date), r.close) for r in asof.panel_row(b, marks, ["close"]).collect()}
+    assert got[("A", "2023-01-01")] == (None, None) and got[("Z", "2023-01-03")] == ("2023-01-02", None)
+    assert got[("B", "2023-01-03")] == ("2023-01-02", 6.0)
+    assert got[("A", "2023-01-04")] == ("2023-01-03", 3.0) and got[("B", "2023-01-04")] == ("2023-01-03", None)
+    loose = {(r.ticker, str(r.as_of)): r.close for r in asof.as_of(b, marks, ["ticker"], ["close"]).collect()}
+    assert loose[("B", "2023-01-04")] == 6.0 and len(got) == len(loose) == 9
+    same_day = asof.panel_row(b, marks, ["close"], inclusive=True).filter("ticker = 'A' AND as_of = DATE '2023-01-01'").first()
+    assert same_day.close == 1.0
+    assert asof.panel_row(b.limit(0), marks, ["close"]).filter("close IS NOT NULL").count() == 0
+
+
+def test_forward_fill(spark):
+    df = spark.createDataFrame([("A", 1, None), ("A", 2, 1.0), ("A", 3, None), ("B", 1, 7.0), ("B", 2, None)], "k string, date int, v double")
+    got = {(r.k, r.date): r.v for r in asof.forward_fill(df, ["k"], "v").collect()}
+    assert got == {("A", 1): None, ("A", 2): 1.0, ("A", 3): 1.0, ("B", 1): 7.0, ("B", 2): 7.0}

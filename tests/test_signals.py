@@ -136,3 +136,13 @@ def test_ensemble_and_selection(spark):
     for bad in ({"m1": -1.0}, {"m1": 0.0}):
         with pytest.raises(ValueError):
             E.selection_table(spark, {"X": bad}, {"m1": 1.0})
+
+
+def test_lookback_in_rows_ignores_the_calendar(spark):
+    b = bars(spark, {"A": list(range(100, 160))}, freq="7D")
+    marks = asof.markers(members(spark, "A"), days_array("2025-01-01"))
+    calendar, rows = S.momentum(20, 20), S.in_rows(S.momentum(20, 20, name="rows"))
+    r = S.score(b, marks, [calendar, rows, S.in_rows(S.vol_adjusted_momentum(20, 20, name="vol"))]).first()
+    assert r.momentum is None and r.rows == pytest.approx(159 / 140 - 1) and r.vol is not None
+    with pytest.raises(ValueError):
+        S.in_rows(S.residual_momentum())
