@@ -52,7 +52,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms; n_chars follows the text."""
-    return pseudonyms.pseudonymize(docs.select(*COLUMNS)).withColumn(
+    return pseudonyms.pseudonymize(docs.select(*COLUMNS), pseudonyms.key_of(spark)).withColumn(
         "n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 

@@ -17,7 +17,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-KEY = "panelwise"
+# Whoever knows the key can invert the pseudonyms: set one by this Spark setting. The fixed key stands in where a query has none.
+KEY_SETTING, FIXED_KEY = "spark.panelwise.pseudonyms.key", "panelwise"
 ROUNDS = 6
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -140,7 +141,15 @@ def phone(s: Column, key: str) -> Column:
 
 
 def ssn(s: Column, key: str) -> Column:
-    return F.when(s.rlike(r"^(?:000|666|9)|-00-|-0000$"), s).otherwise(permute_text(s, key, "ssn"))
+    """Area, group and serial number are symbols among their valid values, so that a pseudonym is never one of the invalid numbers."""
+    def shown(x: Column) -> Column:
+        area = F.get(x, 0) + 1
+        parts = ((F.when(area >= 666, area + 1).otherwise(area), 3), (F.get(x, 1) + 1, 2), (F.get(x, 2) + 1, 4))
+        return F.concat_ws("-", *[F.lpad(v.cast("string"), n, "0") for v, n in parts])
+    area, group, serial = (F.get(F.split(s, "-"), F.lit(i)).cast("int") for i in range(3))
+    symbols = F.array(F.when(area > 666, area - 2).otherwise(area - 1), group - 1, serial - 1)
+    moved = feistel(symbols, F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn")
+    return F.when(s.rlike(r"^(?:000|666|9)|-00-|-0000$"), s).otherwise(let(moved, shown))
 
 
 def secret(s: Column, key: str) -> Column:
@@ -226,8 +235,12 @@ def pseudonym(s: Column, key: str) -> Column:
     return let(kind_of(s), by_kind)
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns of docs, ``text`` with its personal data replaced."""
+def key_of(spark) -> str:
+    return spark.conf.get(KEY_SETTING, FIXED_KEY)
+
+
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
+    """All columns of docs, ``text`` with its personal data replaced under ``key``."""
     text = F.col("text")
     gaps, found = F.split(text, ANY, -1), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     woven = F.zip_with(gaps, F.transform(found, lambda s: pseudonym(s, key)), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))
@@ -236,4 +249,4 @@ def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymize(docs)
+    return pseudonymize(docs, key_of(spark))

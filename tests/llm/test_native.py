@@ -78,8 +78,12 @@ def luhn(s):
     return sum(v if i % 2 == 0 else v * 2 // 10 + v * 2 % 10 for i, v in enumerate(d)) % 10 == 0
 
 
+def pseudonymize(df, key=ps.FIXED_KEY):
+    return ps.pseudonymize(df, key)
+
+
 def test_pseudonyms_keep_format_and_links(spark):
-    a, b, c, d = (r.text for r in ps.pseudonymize(docs(spark, [(1, TEXT), (2, TEXT.replace(", ", " ; ")), (3, None), (4, "no data")])).orderBy("doc_id").collect())
+    a, b, c, d = (r.text for r in pseudonymize(docs(spark, [(1, TEXT), (2, TEXT.replace(", ", " ; ")), (3, None), (4, "no data")])).orderBy("doc_id").collect())
     assert b == a.replace(", ", " ; ") and c is None and d == "no data"
     shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d+", "0", s)))
     assert shape(a.split("iban")[0]) == shape(TEXT.split("iban")[0])
@@ -116,7 +120,7 @@ def test_feistel_is_a_permutation_and_matches_its_definition(spark):
 
 def test_dates_are_permuted_within_the_calendar(spark):
     days = spark.sql("SELECT explode(sequence(date'2019-01-01', date'2024-12-31', interval 1 day)) AS d")
-    out = days.select(F.date_format("d", "yyyy-MM-dd").alias("text")).transform(ps.pseudonymize)
+    out = days.select(F.date_format("d", "yyyy-MM-dd").alias("text")).transform(pseudonymize)
     got = [r.text for r in out.collect()]
     assert len(set(got)) == len(got) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", x) for x in got)
     assert out.where(F.try_to_timestamp("text", F.lit("yyyy-MM-dd")).isNull()).count() == 0
@@ -125,15 +129,29 @@ def test_dates_are_permuted_within_the_calendar(spark):
 def test_secrets_without_digits_are_linked(spark):
     rows = [(1, "password: correcthorse"), (2, "on 7 days password: correcthorse"), (3, "ghp_" + "abcdefghij" * 3), (4, "sk-" + "abcdefghij" * 3),
             (5, "a " + "abcdefab" * 4), (6, "nothing here")]
-    out = {r.doc_id: r.text for r in ps.pseudonymize(docs(spark, rows)).collect()}
+    out = {r.doc_id: r.text for r in pseudonymize(docs(spark, rows)).collect()}
     assert "correcthorse" not in out[1] and out[1].split()[-1] == out[2].split()[-1] and out[6] == "nothing here"
     for i in (3, 4, 5):
         assert out[i] != rows[i - 1][1] and out[i][:2] == rows[i - 1][1][:2]
 
 
+def test_pseudonyms_of_social_security_numbers_are_valid(spark):
+    ssn = F.format_string("%03d-%02d-%04d", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("int"), (F.col("id") % 100).cast("int"), F.pmod(F.col("id") * 7919, F.lit(10000)).cast("int"))
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), ssn.alias("text"))
+    before = {r.doc_id: r.text for r in rows.collect()}
+    after = {r.doc_id: r.text for r in pseudonymize(rows).collect()}
+    bad = re.compile(r"^(?:000|666|9)|-00-|-0000$")
+    assert all(after[i] == x if bad.search(x) else not bad.search(after[i]) and re.fullmatch(r"\d{3}-\d{2}-\d{4}", after[i]) for i, x in before.items())
+    assert sum(after[i] != x for i, x in before.items()) == sum(not bad.search(x) for x in before.values()) > 3000
+    assert len(set(after.values())) == len(set(before.values()))
+    other = {r.doc_id: r.text for r in pseudonymize(rows, "another key").collect()}
+    assert sum(other[i] != after[i] for i in after) > 3000
+    assert pseudonymize(rows.limit(0)).count() == 0
+
+
 def test_dates_of_all_numeric_layouts(spark):
     texts = ["12/31/1990", "1/31/1990", "02/29/2024", "5/3/1990", "05/03/1990", "1990/12/31", "1990.12.31", "31-12-1990", "1990-1-2", "3.4.2001"]
-    shown = ps.pseudonymize(docs(spark, list(enumerate([*texts, "31/02/2020", "13/13/2020"])))).orderBy("doc_id").collect()
+    shown = pseudonymize(docs(spark, list(enumerate([*texts, "31/02/2020", "13/13/2020"])))).orderBy("doc_id").collect()
     out = [r.text for r in shown]
     assert out[10:] == ["31/02/2020", "13/13/2020"] and all(a != b for a, b in zip(texts, out))
     assert all(re.sub(r"\d", "", a) == re.sub(r"\d", "", b) for a, b in zip(texts, out))
@@ -141,7 +159,7 @@ def test_dates_of_all_numeric_layouts(spark):
     days = spark.sql("SELECT explode(sequence(date'1999-01-01', date'2004-12-31', interval 1 day)) AS d")
     for layout in ("MM/dd/yyyy", "d-M-yyyy"):
         got = [r.text for r in days.select(F.date_format("d", layout).alias("text")).where(
-            "text LIKE '%-%' OR int(substr(text, 4, 2)) > 12").transform(ps.pseudonymize).collect()]
+            "text LIKE '%-%' OR int(substr(text, 4, 2)) > 12").transform(pseudonymize).collect()]
         assert len(set(got)) == len(got)
 
 
