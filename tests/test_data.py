@@ -1,12 +1,15 @@
 import datetime as dt
 
+import duckdb
 import pytest
 from conftest import bars, members
 from pyspark.sql import functions as F
 
 from panelwise.functions import dates as DT
+from panelwise.functions.exprs import num
 from panelwise.operators import monitoring as MON, quality as Q, universe as U
 from panelwise.operators.calendar import next_rebalance
+from panelwise.plans.catalog import QUERIES, SQL
 from panelwise.sources import ingest, panel, state
 
 
@@ -79,6 +82,25 @@ def test_drawdown_alerts_are_edges(spark):
     assert MON.filter_alerts(a, last=3).count() == 3
 
 
+def test_rounding_is_that_of_sql(spark):
+    """Doubles next to a tie: 1 - 1.65 / 160 is printed below 0.9896875 and rounded up all the same."""
+    values = [(160 - 1.65) / 160, 0.9896875] + [(p - c / 100) / p for p in (16.0, 32.0, 160.0) for c in range(1, 1600)]
+    want = [r[0] for r in duckdb.sql("SELECT round(unnest($v), 6)", params={"v": values}).fetchall()]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double").repartition(3)
+    assert [r.x for r in df.select("i", num("x").alias("x")).orderBy("i").collect()] == want
+    odd = spark.createDataFrame([(float("inf"),), (None,), (1e306,)], "x double").select(num("x").alias("x"))
+    assert [r.x for r in odd.collect()] == [float("inf"), None, 1e306]
+
+
+def test_drawdown_alerts_query_equals_sql_at_a_tie(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, d, 12), v) for d, v in ((1, 160.0), (2, 1.65), (3, 159.0))]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(SQL["drawdown_alerts"]).fetchall()
+    assert sorted(map(tuple, QUERIES["drawdown_alerts"](spark, str(tmp_path)).collect())) == sorted(want) and len(want) == 8
+
+
 def test_universe_point_in_time(spark):
     u = spark.createDataFrame([("U", "a ", None), ("U", "B", dt.date(2023, 6, 1)), ("V", "C", None)], "name string, ticker string, added_date date")
     get = lambda *a: sorted(r.ticker for r in U.members(u, *a).collect())
