@@ -1,8 +1,10 @@
 import datetime as dt
 
+import duckdb
 import numpy as np
 
 from panelwise.operators import monitoring as MON, regimes as R
+from panelwise.plans.catalog import QUERIES, SQL
 from panelwise.streaming import runs
 
 
@@ -19,6 +21,16 @@ def test_drawdown_stream_equals_batch_with_late_rows(spark):
     assert got == want and len(got) > 10
 
 
+def test_drawdown_stream_query_equals_sql_at_a_tie(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, d, 12), v) for d, v in ((1, 160.0), (2, 1.65), (3, 159.0))]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(SQL["stream_drawdown_alerts"]).fetchall()
+    got = QUERIES["stream_drawdown_alerts"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 8
+
+
 def test_label_stream_equals_batch(spark):
     rng = np.random.default_rng(12)
     rows = [(dt.date(2023, 1, 1) + dt.timedelta(i), 100 + float(rng.normal(0, 2.5)), 100.0, 22 + float(rng.normal(0, 4))) for i in range(60)]
