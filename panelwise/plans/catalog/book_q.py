@@ -213,7 +213,7 @@ def run_log(spark: SparkSession, root: str) -> str:
         results.append({"all": out}, path, run, version)
         kept = results.read(spark, path, "all", [run]).drop("run_id", "version")
         results.append({"winners": results.winners(kept), "history": results.summary(kept),
-                        "mapping": kept.agg(F.max_by("config_name", "composite_score").alias("config_name")).withColumn("regime", F.lit("ANY"))},
+                        "mapping": results.best(kept).withColumn("regime", F.lit("ANY"))},
                        path, run, version)
     return path
 

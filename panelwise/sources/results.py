@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelwise.functions.exprs import sig
+
 TABLES = ("all", "winners", "mapping", "history")
 OK, FAILED = "ok", "failed"
 
@@ -32,6 +34,16 @@ def summary(outcome: DataFrame) -> DataFrame:
         F.max("composite_score").alias("best_score"))
 
 
+def best(outcome: DataFrame) -> DataFrame:
+    """One row: the configuration of the best score, null if none has one.
+
+    As in ``walkforward.rank``, scores equal in ten digits are ties and go to the smallest id: equivalent configurations differ
+    in rounding noise only, which follows the order of sums.
+    """
+    order = F.when(F.col("composite_score").isNotNull(), F.struct(sig("composite_score", 10), -F.col("strategy_id")))
+    return outcome.agg(F.max_by("config_name", order).alias("config_name"))
+
+
 def append(frames: dict[str, DataFrame], path: str, run_id: str, version: int = 1) -> None:
     """Write the tables of a run. A version that is there already is refused."""
     unknown = set(frames) - set(TABLES)

@@ -99,6 +99,15 @@ def test_run_log(spark, tmp_path):
         results.append({"other": out}, path, "r1", 3)
 
 
+def test_best_of_equivalent_configurations(spark):
+    """Scores that differ in rounding noise only are ties, whatever the order of rows; failed ones are never best."""
+    rows = [(7, "c", 459.01037204225730), (5, "a", 459.01037204225713), (6, "b", 459.01037204225722), (4, "low", 1.0), (1, "failed", None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "strategy_id long, config_name string, composite_score double").repartition(3)
+        assert results.best(df).first().config_name == "a"
+    assert results.best(df.where("strategy_id = 1")).first().config_name is None
+
+
 def test_snapshot_and_macro_files(spark, tmp_path):
     b = bars(spark, {"A": list(range(1, 800)), "B": list(range(1, 500))}, start="2020-01-01")
     path = ingest.write_snapshot(b, f"{tmp_path}/panel", "1")
