@@ -203,6 +203,37 @@ def test_language_model_counts_pairs_of_all_documents(spark, monkeypatch):
     assert np.allclose(got, np.log((level + 10 * prior) / (level.sum(1, keepdims=True) + 10)), atol=1e-5)
 
 
+def test_language_model_learns_weights_from_every_training_document(spark, monkeypatch):
+    """Documents, and words at the ends of long ones, that a sample of 2,000 middles would leave out move the weights."""
+    monkeypatch.setattr(lm, "EPOCHS", 1)
+    monkeypatch.setattr(lm, "TASK_IDS", 2000)
+    took = []
+    plain = lm.trained_round
+    monkeypatch.setattr(lm, "trained_round", lambda rows, *a: took.append((rows.count(), rows.selectExpr(
+        "coalesce(sum(length(ids)), 0) AS n").first()[0] // 2)) or plain(rows, *a))
+    rows = [(i, f"alpha beta w{i % 7}") for i in range(2500)] + [(9000, "one two " * 2000), (None, None), (1, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = lm.stored(lm.word_counts(df))
+    m = lm.fit(df, counts, default_path())
+    assert sum(r for r, _ in took) == len(rows) and sum(n for _, n in took) == lm.id_counts(counts, default_path()).sum()
+    assert all(np.isfinite(v).all() for k, v in m.items() if isinstance(v, np.ndarray))
+
+
+def test_language_model_mean_of_tasks(spark):
+    """The mean of two tasks' weights, by ids; a later round begins where the last one ended."""
+    rng = np.random.default_rng(4)
+    priors = [np.full(7, 1 / 7), np.full(2, 0.5)]
+    seqs = [rng.integers(0, 7, k) for k in (40, 200)]
+    fixed, p = lm.pairs(lm.count_pairs(seqs, 6, 7), 6, lm.starts_of(priors), priors), lm.initial(priors, 6)
+    raw = [(bytearray(s.astype("<u2").tobytes()),) for s in seqs]
+    frames = [spark.createDataFrame(spark.sparkContext.parallelize(r, len(r)), "ids binary") for r in (raw[:1], raw[1:], raw)]
+    one, two = (lm.trained_round(f, p, fixed, 6, 0.01) for f in frames[:2])
+    both = lm.trained_round(frames[2], p, fixed, 6, 0.01)
+    assert all(np.allclose(both[k], (40 * one[k] + 200 * two[k]) / 240, atol=1e-5) for k in p) and np.abs(one["e"] - p["e"]).max() > 0
+    nothing = lm.trained_round(frames[0].where("false"), p, fixed, 6, 0.01)
+    assert all((nothing[k] == p[k]).all() for k in p)
+
+
 def test_language_model_sees_sixteen_ids_back():
     """Each id depends on the one 16 places before it, wherever blocks begin; the quick form equals the training's."""
     rng = np.random.default_rng(2)
