@@ -29,7 +29,7 @@ from panelwise.llm.shingles import shingle_sets
 
 # Lists up to this size give their pairs; larger ones are groups. As many members of a list may be left over.
 FEW = 16
-# Elements held by one member in RARE are counted one by one in a group's reference row; rarer ones come first in any order.
+# A group's reference row counts the elements that one member in RARE holds; rarer ones come first in any order.
 RARE = 16
 SALTS = 16
 # Rounds in which labels travel between lists and their members before lists of one label are taken as one group.
@@ -76,52 +76,60 @@ def merged(lists: DataFrame, hops: int = HOPS) -> DataFrame:
 
 def _shared(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References (g, m, e, c): size of each group, and the elements that not too few of its members hold, sorted, with their
-    counts; and members (g, cls, n, items), with the number of all their elements and those that another member holds too."""
+    counts; and (g, e) of the rarer elements that two members hold at least."""
     size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    rows = members.join(sets, "cls").select("g", "cls", F.explode("items").alias("e"))
-    counts = stored(rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    kept = counts.join(size, "g").where(F.col("c") * RARE >= F.col("m")).groupBy("g").agg(
-        F.array_sort(F.collect_list(F.struct("e", "c"))).alias("r"))
+    rows = members.join(sets, "cls").select("g", F.explode("items").alias("e"))
+    counts = stored(rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1").join(size, "g"))
+    known = F.col("c") * RARE >= F.col("m")
+    kept = counts.where(known).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("e", "c"))).alias("r"))
     none = F.array().cast("array<bigint>")
     refs = size.join(kept, "g", "left").select("g", "m", F.coalesce("r.e", none).alias("e"), F.coalesce("r.c", none).alias("c"))
-    held = rows.join(counts, ["g", "e"]).groupBy("g", "cls").agg(F.array_sort(F.collect_list("e")).alias("items"))
-    whole = members.join(sets.select("cls", F.size("items").cast("long").alias("n")), "cls")
-    return refs, whole.join(held, ["g", "cls"], "left").select("g", "cls", "n", F.coalesce("items", none).alias("items"))
+    return refs, counts.where(~known).select("g", "e")
 
 
 def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(g, cls, n, d, diff): differences of each member against its group's reference: how many, and those that another member
-    holds or may lack too, rarest first. All others come before them in the order of rarity and are in no other set."""
+    has too, rarest first. All others come before them in the order of rarity and are in no other set.
+
+    Only elements that the reference row leaves out are looked up one by one.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                total, diff = [], []
+                size, total, rare, diff = [], [], [], []
                 for row in range(batch.num_rows):
                     items, e, c = (batch.column(x)[row].values.to_numpy() for x in ("items", "e", "c"))
-                    m, n = batch.column("m")[row].as_py(), batch.column("n")[row].as_py()
+                    m = batch.column("m")[row].as_py()
                     common = 2 * c > m
                     place = np.minimum(np.searchsorted(e, items), max(len(e) - 1, 0))
                     known = e[place] == items if len(e) else np.zeros(len(items), bool)
-                    extra = ~known if not len(e) else ~known | ~common[place]
-                    # Elements of few members, which the reference row leaves out, count as two.
-                    times = np.where(known, c[place], 2) if len(e) else np.full(len(items), 2)
+                    extra = place[known][~common[place[known]]]
                     lacking = common.copy()
                     lacking[place[known]] = False
-                    d = np.concatenate((items[extra], e[lacking]))
-                    order = np.lexsort((d, np.concatenate((times[extra], m - c[lacking]))))
-                    total.append(n - len(items) + len(d))
-                    diff.append(d[order])
+                    size.append(len(items))
+                    total.append(len(items) - known.sum() + len(extra) + lacking.sum())
+                    rare.append(items[~known])
+                    # What this member alone lacks is in no other member's differences.
+                    lacking &= m - c > 1
+                    d = np.concatenate((e[extra], e[lacking]))
+                    diff.append(d[np.lexsort((d, np.concatenate((c[extra], m - c[lacking]))))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("g"), batch.column("cls"), batch.column("n"), pa.array(total, pa.int64()), pa.array(diff, pa.list_(pa.int64()))],
-                    ["g", "cls", "n", "d", "diff"])
+                    [batch.column("g"), batch.column("cls"), pa.array(size, pa.int64()), pa.array(total, pa.int64()),
+                     pa.array(rare, pa.list_(pa.int64())), pa.array(diff, pa.list_(pa.int64()))], ["g", "cls", "n", "d", "rare", "diff"])
 
-    refs, held = _shared(members, sets)
+    refs, rarer = _shared(members, sets)
     # A large group lies in several tasks, each with its own copy of the reference.
-    salted = held.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
+    salted = members.join(sets, "cls").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
     spread = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    return salted.join(spread, ["g", "salt"]).select("g", "cls", "n", "items", "m", "e", "c").mapInArrow(
-        run, "g bigint, cls bigint, n bigint, d bigint, diff array<bigint>")
+    out = stored(salted.join(spread, ["g", "salt"]).select("g", "cls", "items", "m", "e", "c").mapInArrow(
+        run, "g bigint, cls bigint, n bigint, d bigint, rare array<bigint>, diff array<bigint>"))
+    if rarer.isEmpty():
+        return out.drop("rare")
+    held = out.select("g", "cls", F.explode("rare").alias("e")).join(rarer, ["g", "e"]).groupBy("g", "cls").agg(
+        F.array_sort(F.collect_list("e")).alias("held"))
+    return out.join(held, ["g", "cls"], "left").select(
+        "g", "cls", "n", "d", F.concat(F.coalesce("held", F.array().cast("array<bigint>")), "diff").alias("diff"))
 
 
 def _ceil_half(x: Column, unit: int) -> Column:

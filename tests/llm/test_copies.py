@@ -87,6 +87,21 @@ def test_same_when_everything_differs_alike(spark):
     assert labels == plain(sets, 80, 100) and asked < 2000
 
 
+def test_common_elements_are_not_looked_up(spark):
+    """Only elements that few of a large group hold are joined one by one; what most hold stays in the reference row."""
+    rng = random.Random(9)
+    sets = [set(range(200)) - {rng.randrange(200)} | {1000 + m // 2, 5000 + m} for m in range(120)]
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "cls bigint, items array<bigint>").repartition(4)
+    groups = rows.selectExpr("1L AS g", "cls")
+    refs, rarer = copies._shared(groups, rows)
+    assert sorted(refs.first().e) == list(range(200)) and {r.e for r in rarer.collect()} == set(range(1000, 1060))
+    for r in copies._differences(groups, rows).collect():
+        lacking = set(range(200)) - sets[r["cls"]]
+        wanted = {1000 + r["cls"] // 2} | {x for x in lacking if sum(x not in s for s in sets) > 1}
+        assert (r["n"], r["d"]) == (201, 3) and set(r["diff"]) == wanted
+    assert found(spark, sets, 98, 100)[0] == plain(sets, 98, 100)
+
+
 def texts(rng):
     words = [f"w{i}" for i in range(400)]
     rows = []
