@@ -32,6 +32,8 @@ FEW = 16
 # A group's reference row counts the elements that one member in RARE holds; rarer ones come first in any order.
 RARE = 16
 SALTS = 16
+# Times that members without a possible partner in a list are left out of it.
+TRIMS = 3
 # Rounds in which labels travel between lists and their members before lists of one label are taken as one group.
 HOPS = 2
 
@@ -137,6 +139,22 @@ def _ceil_half(x: Column, unit: int) -> Column:
     return F.ceil(x / F.lit(2 * unit))
 
 
+def _heads(rows: DataFrame) -> DataFrame:
+    """(g, z): the member of largest slack of each list in which a member left over meets another one."""
+    lists = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("slack", "cls")).alias("z"),
+                                  F.count(F.when(F.col("over"), F.lit(1))).alias("u"))
+    return lists.where("m > 1 AND u > 0").drop("m", "u")
+
+
+def _trimmed(rows: DataFrame, unit: int) -> DataFrame:
+    """The rows of lists whose member has enough differences from its place on to be linked with the list's largest slack.
+
+    A pair's first common difference stands in a list that keeps both, as no partner there needs fewer.
+    """
+    met = rows.join(_heads(rows), "g")
+    return met.where(F.col("pos") + _ceil_half(-(F.col("slack") + F.col("z.slack")), unit) <= F.col("d")).drop("z")
+
+
 def links(members: DataFrame, sets: DataFrame, num: int, den: int, few: int = FEW) -> tuple[DataFrame, DataFrame]:
     """(links, candidates), both (a, b), of groups (g, cls) of sets (cls, items) that are linked from J >= num / den on.
 
@@ -160,12 +178,10 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int, few: int = FE
             "g", "cls", "slack", "over", "d", alone.alias("alone"), F.posexplode(F.slice("diff", F.lit(1), listed)).alias("pos", "e"))
         rows = rows.withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
         rows = stored(rows.withColumn("g", F.xxhash64("g", "e")).drop("e"))
-        lists = rows.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("slack", "cls")).alias("z"),
-                                      F.count(F.when(F.col("over"), F.lit(1))).alias("u"))
+        for _ in range(TRIMS):
+            rows = stored(_trimmed(rows, unit))
         # One difference in common is known here.
-        rows = rows.join(lists.where("m > 1 AND u > 0").drop("m", "u"), "g").withColumn(
-            "rest", F.col("slack") + F.col("z.slack") + 2 * unit < 0)
-        rows = stored(rows)
+        rows = stored(rows.join(_heads(rows), "g").withColumn("rest", F.col("slack") + F.col("z.slack") + 2 * unit < 0))
         sure.append(rows.where(~F.col("rest") & F.col("over")).select("cls", "z.cls"))
         rest = rows.where("rest").groupBy("g").agg(F.count(F.lit(1)).alias("k"))
         x = rows.where("rest").join(rest.where(F.col("k") <= few), "g").select(

@@ -87,6 +87,22 @@ def test_same_when_everything_differs_alike(spark):
     assert labels == plain(sets, 80, 100) and asked < 2000
 
 
+def test_unlike_members_do_not_come_again(spark, monkeypatch):
+    """Families that share a passage, and the passage alone: its large slack doesn't bring the families' members into more rounds."""
+    rng = random.Random(10)
+    passage = set(range(10))
+    sets = [passage]
+    for t in range(6):
+        for m in range(40):
+            gone = set(rng.sample(range(60), 8 if m else 4))
+            sets.append(passage | {1000 * t + 100 + i for i in range(60) if i not in gone} | {100_000 + 1000 * t + 20 * m + i for i in range(len(gone))})
+    sets += [s - {min(s - passage)} for s in sets[1:200:40]]
+    seen, plainly = [], copies._differences
+    monkeypatch.setattr(copies, "_differences", lambda members, rows: seen.append(members.count()) or plainly(members, rows))
+    assert found(spark, sets, 80, 100)[0] == plain(sets, 80, 100)
+    assert seen[0] == len(sets) and sum(seen[1:]) <= len(sets)
+
+
 def test_common_elements_are_not_looked_up(spark):
     """Only elements that few of a large group hold are joined one by one; what most hold stays in the reference row."""
     rng = random.Random(9)
