@@ -32,6 +32,8 @@ FEW = 16
 # A group's reference row counts the elements that one member in RARE holds; rarer ones come first in any order.
 RARE = 16
 SALTS = 16
+# Bits by which a group tells elements that one member alone holds from most others, before any is looked up.
+BITS = 1 << 15
 # Times that members without a possible partner in a list are left out of it.
 TRIMS = 3
 # Rounds in which labels travel between lists and their members before lists of one label are taken as one group.
@@ -77,23 +79,34 @@ def merged(lists: DataFrame, hops: int = HOPS) -> DataFrame:
 
 
 def _shared(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """References (g, m, e, c): size of each group, and the elements that not too few of its members hold, sorted, with their
-    counts; and (g, e) of the rarer elements that two members hold at least."""
+    """References (g, m, e, c, bits): size of each group, the elements that not too few of its members hold, sorted, with their
+    counts, and a bitmap of the rarer elements that two members hold at least; and (g, e) of these."""
     size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
     rows = members.join(sets, "cls").select("g", F.explode("items").alias("e"))
     counts = stored(rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1").join(size, "g"))
     known = F.col("c") * RARE >= F.col("m")
     kept = counts.where(known).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("e", "c"))).alias("r"))
+    rarer = counts.where(~known).select("g", "e")
+    bits = rarer.groupBy("g").agg(F.bitmap_construct_agg(F.pmod("e", F.lit(BITS))).alias("bits"))
     none = F.array().cast("array<bigint>")
-    refs = size.join(kept, "g", "left").select("g", "m", F.coalesce("r.e", none).alias("e"), F.coalesce("r.c", none).alias("c"))
-    return refs, counts.where(~known).select("g", "e")
+    refs = size.join(kept, "g", "left").join(bits, "g", "left").select(
+        "g", "m", F.coalesce("r.e", none).alias("e"), F.coalesce("r.c", none).alias("c"), "bits")
+    return refs, rarer
+
+
+def maybe_shared(items: np.ndarray, bits: bytes | None) -> np.ndarray:
+    """The items whose bit is set; all that are set in truth are among them."""
+    if bits is None:
+        return items[:0]
+    at = items & (BITS - 1)
+    return items[(np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7)) & 1 == 1]
 
 
 def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(g, cls, n, d, diff): differences of each member against its group's reference: how many, and those that another member
     has too, rarest first. All others come before them in the order of rarity and are in no other set.
 
-    Only elements that the reference row leaves out are looked up one by one.
+    Only elements that the reference row leaves out and whose bit another member's element may have set are looked up one by one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -102,7 +115,7 @@ def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
                 size, total, rare, diff = [], [], [], []
                 for row in range(batch.num_rows):
                     items, e, c = (batch.column(x)[row].values.to_numpy() for x in ("items", "e", "c"))
-                    m = batch.column("m")[row].as_py()
+                    m, bits = batch.column("m")[row].as_py(), batch.column("bits")[row].as_py()
                     common = 2 * c > m
                     place = np.minimum(np.searchsorted(e, items), max(len(e) - 1, 0))
                     known = e[place] == items if len(e) else np.zeros(len(items), bool)
@@ -111,7 +124,7 @@ def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
                     lacking[place[known]] = False
                     size.append(len(items))
                     total.append(len(items) - known.sum() + len(extra) + lacking.sum())
-                    rare.append(items[~known])
+                    rare.append(maybe_shared(items[~known], bits))
                     # What this member alone lacks is in no other member's differences.
                     lacking &= m - c > 1
                     d = np.concatenate((e[extra], e[lacking]))
@@ -124,7 +137,7 @@ def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     # A large group lies in several tasks, each with its own copy of the reference.
     salted = members.join(sets, "cls").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
     spread = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    out = stored(salted.join(spread, ["g", "salt"]).select("g", "cls", "items", "m", "e", "c").mapInArrow(
+    out = stored(salted.join(spread, ["g", "salt"]).select("g", "cls", "items", "m", "e", "c", "bits").mapInArrow(
         run, "g bigint, cls bigint, n bigint, d bigint, rare array<bigint>, diff array<bigint>"))
     if rarer.isEmpty():
         return out.drop("rare")

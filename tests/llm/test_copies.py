@@ -169,3 +169,17 @@ def test_least_common():
 
 def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_elements_of_one_member_alone_are_not_looked_up(spark, monkeypatch):
+    rng, tables, real = random.Random(6), [], copies.stored
+    sets = [set(range(200)) | {rng.randrange(-1 << 62, 1 << 62) for _ in range(30)} for _ in range(100)]
+    sets[0].add(-77)
+    sets[1].add(-77)
+    rows = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "cls bigint, items array<bigint>")
+    monkeypatch.setattr(copies, "stored", lambda df: tables.append(real(df)) or tables[-1])
+    out = {r["cls"]: r for r in copies._differences(rows.selectExpr("1L AS g", "cls"), rows).collect()}
+    assert {c: r["diff"] for c, r in out.items() if r["diff"]} == {0: [-77], 1: [-77]}
+    assert {c: r["d"] for c, r in out.items()} == {c: len(s) - 200 for c, s in enumerate(sets)}
+    looked_up = next(t for t in tables if "rare" in t.columns).selectExpr("sum(size(rare))").first()[0]
+    assert 2 <= looked_up < 20  # 3,002 elements are in the reference of none
