@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise.llm import copies
-from panelwise.llm.common import condensed, stored, text_key
+from panelwise.llm.common import condensed, stored, text_key, trimmed
 from panelwise.llm.components import components
 from panelwise.llm.ngram_join import class_texts, verified
 from panelwise.llm.shingles import shingle_sets
@@ -61,7 +61,7 @@ def sketches(docs: DataFrame, k: int, keep: int) -> DataFrame:
                  pa.array(kept, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "cls", "kept"])
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(
-        run, f"doc_id {kind}, text_key bigint, n_shingles bigint, cls bigint, kept array<bigint>")
+        trimmed(run), f"doc_id {kind}, text_key bigint, n_shingles bigint, cls bigint, kept array<bigint>")
 
 
 def inverted(classes: DataFrame, keep: int, num: int, den: int) -> DataFrame:

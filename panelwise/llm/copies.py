@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwise.llm.common import stored
+from panelwise.llm.common import stored, trimmed
 from panelwise.llm.shingles import shingle_sets
 
 # Lists up to this size give their pairs; larger ones are groups. As many members of a list may be left over.
@@ -49,7 +49,7 @@ def hashed_sets(texts: DataFrame, k: int) -> DataFrame:
                 sets = [np.sort(s.view(np.int64)) for s in shingle_sets(pc.cast(batch.column("text"), pa.binary()).to_pylist(), k)]
                 yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.list_(pa.int64()))], ["cls", "items"])
 
-    return texts.select("cls", "text").mapInArrow(run, "cls bigint, items array<bigint>")
+    return texts.select("cls", "text").mapInArrow(trimmed(run), "cls bigint, items array<bigint>")
 
 
 def few_pairs(lists: DataFrame, fits: Column | None = None) -> DataFrame:
@@ -138,7 +138,7 @@ def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     salted = members.join(sets, "cls").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
     spread = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     out = stored(salted.join(spread, ["g", "salt"]).select("g", "cls", "items", "m", "e", "c", "bits").mapInArrow(
-        run, "g bigint, cls bigint, n bigint, d bigint, rare array<bigint>, diff array<bigint>"))
+        trimmed(run), "g bigint, cls bigint, n bigint, d bigint, rare array<bigint>, diff array<bigint>"))
     if rarer.isEmpty():
         return out.drop("rare")
     held = out.select("g", "cls", F.explode("rare").alias("e")).join(rarer, ["g", "e"]).groupBy("g", "cls").agg(

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelwise.llm import copies
-from panelwise.llm.common import broadcast_checked, condensed, stored, text_key
+from panelwise.llm.common import broadcast_checked, condensed, stored, text_key, trimmed
 from panelwise.llm.components import components
 from panelwise.llm.shingles import shingle_sets
 
@@ -40,10 +40,14 @@ SKETCH_BITS, CHUNKS, SALTS = 22, 64, 16
 RANGES = 64
 # Sets that a task keeps while it verifies pairs.
 KEPT_SETS = 512
+# Texts that a task holds as Python objects at a time.
+SLICE = 500
 
 
 def _sets(batch: pa.RecordBatch, column: str, k: int) -> Iterator[np.ndarray]:
-    return shingle_sets(pc.cast(batch.column(column), pa.binary()).to_pylist(), k)
+    texts = pc.cast(batch.column(column), pa.binary())
+    for at in range(0, len(texts), SLICE):
+        yield from shingle_sets(texts.slice(at, SLICE).to_pylist(), k)
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -83,7 +87,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
 
     names = ["doc_id", "text_key", "n", "cls", "ranges", "chunk", "salt", "counts"]
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text", text_key(F.col("text")).alias("text_key")).mapInArrow(
-        run, f"doc_id {kind}, text_key bigint, n bigint, cls bigint, ranges binary, chunk int, salt int, counts binary")
+        trimmed(run), f"doc_id {kind}, text_key bigint, n bigint, cls bigint, ranges binary, chunk int, salt int, counts binary")
 
 
 def rarity(profiles: DataFrame) -> np.ndarray:
@@ -108,7 +112,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             out = []
             for s in _sets(batch, "text", k):
                 n = len(s)
@@ -125,7 +129,7 @@ def prefixes(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) ->
                         [pa.array(c[a:a + 100_000], t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
                         ["shingle", "cls", "n", "pos"])
 
-    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(run, "shingle bigint, cls bigint, n int, pos int")
+    return docs.where("doc_id IS NOT NULL").select("text").mapInArrow(trimmed(run), "shingle bigint, cls bigint, n int, pos int")
 
 
 def lists(prefix: DataFrame) -> DataFrame:
@@ -163,7 +167,7 @@ def overlap_possible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -
 
     one = classes.select(F.col("cls").alias("a"), F.col("ranges").alias("ra"))
     two = classes.select(F.col("cls").alias("b"), F.col("ranges").alias("rb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ra", "rb").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -191,7 +195,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 yield batch.filter(pa.array(link, pa.bool_())).select(["a", "b"])
 
     one, two = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:

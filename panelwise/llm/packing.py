@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from panelwise.llm.common import stored
+from panelwise.llm.common import stored, trimmed
 from panelwise.llm.subwords import default_path, encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
                      *(pa.array(c, pa.int64()) for c in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+        trimmed(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(size: np.ndarray, capacity: int) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 # Bytes of text that are hashed in one go.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}

@@ -1,6 +1,9 @@
 """The similarity join and components against brute force."""
 
 import random
+import tracemalloc
+
+import pyarrow as pa
 
 from panelwise.llm import ngram_join as nj
 from panelwise.llm.components import components
@@ -86,3 +89,15 @@ def test_shingle_hashes():
         assert len(s) == len(shingles((t or b"").decode(), 3)) and (s[1:] > s[:-1]).all()
     a, b = shingle_sets([b"q a b c", b"a b c"], 3)
     assert b[0] in a
+
+
+def test_shingles_of_a_large_batch_take_little_memory():
+    texts = [" ".join(f"w{(i * j) % 9973}" for j in range(1, 401)) for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    try:
+        assert sum(len(s) > 0 for s in nj._sets(batch, "text", 4)) == 4000
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 36e6, most
