@@ -10,7 +10,9 @@ hold. With D(X) the symmetric difference of X and the reference, |X xor Y| = |D(
 * any other pair has a side left over and shares at least s differences, known from the slacks, so both hold one of them among
   their rarest |D| - s + 1. These lists hold half of the group at most, since a difference is never in the majority. In a
   list one common difference is sure, so most members are again linked with the one of largest slack; a few left over
-  become candidate pairs with the list's members; lists with many left over are the groups of the next round.
+  become candidate pairs with the list's members; lists with many left over are the groups of the next round. There, members
+  are described by the differences of this round that another member has too and by the number of all others, as
+  X xor Y = D(X) xor D(Y); so a set is looked through once, and what a member brings along shrinks from round to round.
 
 So work grows with the members and their differences, not with pairs, and no link that connects components is lost.
 """
@@ -78,11 +80,21 @@ def merged(lists: DataFrame, hops: int = HOPS) -> DataFrame:
     return lists.join(label, "l").select("g", "cls").distinct()
 
 
+def _described(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(g, cls, n, items, more): size of each member, the elements that describe it and how many more it alone has.
+
+    At first these are its elements (sets: cls, items), later its differences in the group ``top`` from which its own one came.
+    """
+    if "top" in sets.columns:
+        return members.join(sets, ["top", "cls"]).select("g", "cls", "n", "items", "more")
+    return members.join(sets, "cls").select("g", "cls", F.size("items").cast("long").alias("n"), "items", F.lit(0).cast("long").alias("more"))
+
+
 def _shared(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References (g, m, e, c, bits): size of each group, the elements that not too few of its members hold, sorted, with their
     counts, and a bitmap of the rarer elements that two members hold at least; and (g, e) of these."""
     size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
-    rows = members.join(sets, "cls").select("g", F.explode("items").alias("e"))
+    rows = _described(members, sets).select("g", F.explode("items").alias("e"))
     counts = stored(rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("c")).where("c > 1").join(size, "g"))
     known = F.col("c") * RARE >= F.col("m")
     kept = counts.where(known).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("e", "c"))).alias("r"))
@@ -112,32 +124,32 @@ def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                size, total, rare, diff = [], [], [], []
+                total, rare, diff = [], [], []
                 for row in range(batch.num_rows):
                     items, e, c = (batch.column(x)[row].values.to_numpy() for x in ("items", "e", "c"))
-                    m, bits = batch.column("m")[row].as_py(), batch.column("bits")[row].as_py()
+                    m, bits, more = (batch.column(x)[row].as_py() for x in ("m", "bits", "more"))
                     common = 2 * c > m
                     place = np.minimum(np.searchsorted(e, items), max(len(e) - 1, 0))
                     known = e[place] == items if len(e) else np.zeros(len(items), bool)
                     extra = place[known][~common[place[known]]]
                     lacking = common.copy()
                     lacking[place[known]] = False
-                    size.append(len(items))
-                    total.append(len(items) - known.sum() + len(extra) + lacking.sum())
+                    total.append(len(items) - known.sum() + len(extra) + lacking.sum() + more)
                     rare.append(maybe_shared(items[~known], bits))
                     # What this member alone lacks is in no other member's differences.
                     lacking &= m - c > 1
                     d = np.concatenate((e[extra], e[lacking]))
                     diff.append(d[np.lexsort((d, np.concatenate((c[extra], m - c[lacking]))))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("g"), batch.column("cls"), pa.array(size, pa.int64()), pa.array(total, pa.int64()),
+                    [batch.column("g"), batch.column("cls"), batch.column("n"), pa.array(total, pa.int64()),
                      pa.array(rare, pa.list_(pa.int64())), pa.array(diff, pa.list_(pa.int64()))], ["g", "cls", "n", "d", "rare", "diff"])
 
     refs, rarer = _shared(members, sets)
     # A large group lies in several tasks, each with its own copy of the reference.
-    salted = members.join(sets, "cls").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
+    salted = _described(members, sets).withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)))
     spread = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-    out = stored(salted.join(spread, ["g", "salt"]).select("g", "cls", "items", "m", "e", "c", "bits").mapInArrow(
+    out = stored(salted.join(spread, ["g", "salt"]).select(
+        "g", "cls", "n", "items", "more", "m", "e", "c", "bits").mapInArrow(
         trimmed(run), "g bigint, cls bigint, n bigint, d bigint, rare array<bigint>, diff array<bigint>"))
     if rarer.isEmpty():
         return out.drop("rare")
@@ -190,7 +202,7 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int, few: int = FE
         rows = met.join(left, "g").select(
             "g", "cls", "slack", "over", "d", alone.alias("alone"), F.posexplode(F.slice("diff", F.lit(1), listed)).alias("pos", "e"))
         rows = rows.withColumn("pos", F.col("pos") + F.col("alone")).drop("alone")
-        rows = stored(rows.withColumn("g", F.xxhash64("g", "e")).drop("e"))
+        rows = stored(rows.withColumn("top", F.col("g")).withColumn("g", F.xxhash64("g", "e")).drop("e"))
         for _ in range(TRIMS):
             rows = stored(_trimmed(rows, unit))
         # One difference in common is known here.
@@ -202,7 +214,8 @@ def links(members: DataFrame, sets: DataFrame, num: int, den: int, few: int = FE
         need = _ceil_half(-(F.col("slack") + F.col("slack2")), unit)
         asked.append(x.join(rows, "g").where((F.col("cls") != F.col("cls2")) & (F.col("pos") + need <= F.col("d"))
                                              & (F.col("pos2") + need <= F.col("d2"))).select("cls", "cls2"))
-        members = stored(rows.join(rest.where(F.col("k") > few), "g").select("g", "cls").distinct())
+        members = stored(rows.join(rest.where(F.col("k") > few), "g").select("g", "top", "cls").distinct())
+        sets = d.select(F.col("g").alias("top"), "cls", "n", F.col("diff").alias("items"), (F.col("d") - F.size("diff")).alias("more"))
 
     def united(parts: list[DataFrame]) -> DataFrame:
         out = spark.createDataFrame([], "a bigint, b bigint")

@@ -183,3 +183,24 @@ def test_elements_of_one_member_alone_are_not_looked_up(spark, monkeypatch):
     assert {c: r["d"] for c, r in out.items()} == {c: len(s) - 200 for c, s in enumerate(sets)}
     looked_up = next(t for t in tables if "rare" in t.columns).selectExpr("sum(size(rare))").first()[0]
     assert 2 <= looked_up < 20  # 3,002 elements are in the reference of none
+
+
+def test_later_rounds_look_through_differences_only(spark, monkeypatch):
+    """One family without a template, few words changed in each: lists with many left over don't unfold whole sets again."""
+    rng, sets = random.Random(11), []
+    for m in range(200):
+        w = list(range(60))
+        for i in rng.sample(range(60), 2 + m % 2):
+            w[i] = 1000 * (m // 2) + 100 + i
+        sets.append({hash(tuple(w[i:i + 4])) for i in range(57)})
+    sizes, plainly = [], copies._differences
+
+    def counted(members, rows):
+        both = members.join(rows, [c for c in members.columns if c in rows.columns])
+        sizes.append(tuple(both.selectExpr("count(1)", "sum(size(items))").first()))
+        return plainly(members, rows)
+
+    monkeypatch.setattr(copies, "_differences", counted)
+    assert found(spark, sets, 80, 100, 2)[0] == plain(sets, 80, 100)
+    again, elements = (sum(x[i] for x in sizes[1:]) for i in (0, 1))
+    assert again > len(sets) and 2 * elements < 57 * again, sizes
