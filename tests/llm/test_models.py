@@ -296,3 +296,41 @@ def test_isotonic_rises():
     s = rng.normal(size=300)
     x, y = tx.isotonic(s, (s + rng.normal(size=300) > 0).astype(float))
     assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and 0 < y[0] < y[-1] < 1
+
+
+def test_language_model_row_sums_and_gathered_gradients():
+    """Short ways of the training step: exponentials without a softmax, also of far rows, and sums by class."""
+    rng = np.random.default_rng(4)
+    for shift in (0, 200, -200):
+        z = rng.normal(0, 3, (7, 30)).astype(np.float32) + np.float32(shift)
+        wanted = lm.softmax(z.copy())
+        total = lm.exps(z)
+        assert np.allclose(z / total[:, None], wanted, rtol=1e-5, atol=1e-7)
+    assert lm.exps(np.zeros((0, 5), np.float32)).shape == (0,)
+    at, rows = rng.integers(0, 9, 100), rng.normal(size=(100, 3))
+    wanted = np.zeros((12, 3))
+    np.add.at(wanted, at, rows)
+    assert np.allclose(lm.summed(at, rows, 12), wanted)
+    assert not lm.summed(at[:0], rows[:0], 12).any()
+
+
+def test_language_model_gradients_are_derivatives():
+    rng = np.random.default_rng(5)
+    priors = [np.full(5, 0.2), np.full(4, 0.25)]
+    sequences = [rng.integers(0, 8, n) for n in (3, 40, 17)]
+    x, y, _ = lm.blocks(sequences, 6)
+    fixed = lm.pairs(lm.count_pairs(sequences, 6, 7), 6, lm.starts_of(priors), priors)
+    p = {k: v.astype(np.float64) for k, v in lm.initial(priors, 6).items()}
+    g, n = lm.gradients(x, y, p, fixed), sum(map(len, sequences))
+
+    def loss():
+        return -lm.log_probabilities(sequences, lm.tables(p, fixed)).sum() / n
+
+    for k, v in p.items():
+        for i in rng.choice(v.size, 3):
+            kept, by = v.flat[i], 1e-3
+            v.flat[i] = kept + by
+            up = loss()
+            v.flat[i] = kept - by
+            slope, v.flat[i] = (up - loss()) / (2 * by), kept
+            assert abs(slope - g[k].flat[i]) < 1e-3, k
