@@ -219,6 +219,16 @@ def test_language_model_learns_weights_from_every_training_document(spark, monke
     assert all(np.isfinite(v).all() for k, v in m.items() if isinstance(v, np.ndarray))
 
 
+@pytest.mark.parametrize("total", [600, 40_000_000, 10**11])
+def test_language_model_goes_through_corpora_of_any_size_as_often(spark, monkeypatch, total):
+    """Every document takes part in EPOCHS rounds; before, those of more than 30 million ids were seen once."""
+    rows = spark.createDataFrame([(i % lm.PARTS, bytearray(np.full(12, i, "<u2").tobytes())) for i in range(50)], "part int, ids binary")
+    took = Counter()
+    monkeypatch.setattr(lm, "trained_round", lambda some, p, *a: took.update(bytes(r.ids) for r in some.collect()) or p)
+    lm.train_corpus(rows, total, [np.full(n + 1, 1 / (n + 1)) for n in lm.LEVELS], lm.INPUT)
+    assert len(took) == 50 and set(took.values()) == {lm.EPOCHS}
+
+
 def test_language_model_mean_of_tasks(spark):
     """The mean of two tasks' weights, by ids; a later round begins where the last one ended."""
     rng = np.random.default_rng(4)
