@@ -1,10 +1,12 @@
 """Ranked search by MaxScore with bounds of term pairs.
 
 The index is a table of blocks of documents. A block row holds its documents' ids and, for each term, its places in the
-block and their integer impacts, so a block is inverted in one task of bounded size and a lost task is redone from files.
+block and how often it stands there, so a block is inverted in one task of bounded size and a lost task is redone from files.
+Its long columns are packed: Spark carries each as one value, where arrays would take it several times their size.
 
-Beside the index stands a table of bounds: for each block the greatest impact of every term, and for each pair of terms that a
-query pairs up the greatest joint impact over the intersection of the two lists. A document that holds both terms scores at
+From the index comes a table of bounds: for each block the greatest impact of every term, and for each pair of terms that a
+query pairs up the greatest joint impact over the intersection of the two lists. The lists of the terms that queries ask for
+stand beside them, so that queries read this table only and no block is joined or shuffled. A document that holds both terms scores at
 most the joint maximum, one that holds a single term at most that term's, so a pair is worth max(joint, one, other), never
 more than the two maxima together. The best ``k`` joint impacts of a pair, and impacts of a term, are real scores that
 documents reach, so the k-th of them is a threshold that any query holding the pair starts from.
@@ -50,6 +52,17 @@ def terms_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, each in as many bytes as the greatest takes; a last byte tells how many."""
+    size = np.min_scalar_type(int(x.max(initial=0))).itemsize
+    return x.astype(f"<u{size}").tobytes() + bytes([size])
+
+
+def _numbers(batch: pa.RecordBatch, row: int, column: str, kind: type = np.int64) -> np.ndarray:
+    raw = memoryview(batch.column(column)[row].as_buffer())
+    return np.frombuffer(raw[:-1], f"<u{raw[-1]}").astype(kind)
+
+
 def _block(number: int, ids: list, lengths: list[int], parts: list[np.ndarray], local: dict[bytes, int], kind: pa.DataType) -> pa.RecordBatch:
     """The inverted block: its terms in byte order, and for each the documents (places in ids) and their counts."""
     terms = np.array(sorted(local), object)
@@ -60,10 +73,18 @@ def _block(number: int, ids: list, lengths: list[int], parts: list[np.ndarray],
     keys, tf = np.unique(term * len(ids) + doc, return_counts=True)
     starts = np.searchsorted(keys, np.arange(len(terms) + 1) * len(ids))
     column = lambda x, t: pa.array([x], pa.list_(t))
+    packed = (np.cumsum([len(t) for t in terms], dtype=np.int64), starts, keys % max(len(ids), 1), tf)
     return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), column(ids, kind), column(lengths, pa.int32()), column(list(terms), pa.binary()),
-         column(starts.astype(np.int32), pa.int32()), column((keys % max(len(ids), 1)).astype(np.int32), pa.int32()),
-         column(tf.astype(np.int32), pa.int32())], ["block", "ids", "lengths", "terms", "starts", "places", "tf"])
+        [pa.array([number], pa.int64()), column(ids, kind), column(lengths, pa.int32()), pa.array([b"".join(terms)], pa.binary()),
+         *(pa.array([_packed(x)], pa.binary()) for x in packed)], ["block", "ids", "lengths", "terms", "ends", "starts", "places", "tf"])
+
+
+def _places_of(batch: pa.RecordBatch, row: int, terms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the terms given a block holds, and the places of those among its own."""
+    ends = _numbers(batch, row, "ends", np.int32)
+    own = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(np.int32(0), ends)), batch.column("terms")[row].as_buffer()])
+    at = pc.index_in(pa.array(terms, pa.binary()), value_set=own)
+    return np.flatnonzero(np.asarray(at.is_valid())), at.drop_null().to_numpy()
 
 
 def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int = 8 << 20) -> DataFrame:
@@ -93,8 +114,8 @@ def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_chars: int
         if ids:
             yield _block(number, ids, lengths, parts, local, kind)
 
-    schema = (f"block bigint, ids array<{spark_kind}>, lengths array<int>, terms array<binary>, starts array<int>, "
-              "places array<int>, tf array<int>")
+    schema = (f"block bigint, ids array<{spark_kind}>, lengths array<int>, terms binary, ends binary, starts binary, "
+              "places binary, tf binary")
     return stored(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, schema))
 
 
@@ -116,20 +137,29 @@ class Plan:
     floor: np.ndarray | None = None
 
 
-def _postings(batch: pa.RecordBatch, row: int, plan: Plan) -> tuple[list, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Ids of a block and, for each term of the plan that it holds, (places, weighted impacts)."""
-    col = lambda c: batch.column(c)[row].values
-    at = pc.index_in(pa.array(plan.terms, pa.binary()), value_set=col("terms"))
-    starts, places, tf = (col(c).to_numpy() for c in ("starts", "places", "tf"))
-    lengths = col("lengths").to_numpy().astype(np.int64)
+def _asked(batch: pa.RecordBatch, row: int, plan: Plan) -> pa.RecordBatch:
+    """A block with no terms but those of the plan, which stand as their numbers."""
+    has, at = _places_of(batch, row, plan.terms)
+    starts, places, tf = (_numbers(batch, row, c, np.int32) for c in ("starts", "places", "tf"))
+    size = starts[at + 1] - starts[at]
+    first = np.append(0, np.cumsum(size))
+    to = np.repeat(starts[at] - first[:-1], size) + np.arange(first[-1])
+    return pa.RecordBatch.from_arrays(
+        [*(batch.column(c).slice(row, 1) for c in ("block", "ids", "lengths")),
+         *(pa.array([_packed(x)], pa.binary()) for x in (has, first, places[to], tf[to]))], ["block", "ids", "lengths", "has", "starts", "places", "tf"])
+
+
+def _postings(batch: pa.RecordBatch, row: int, plan: Plan) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(places, weighted impacts) of each term of the plan that a block of ``_asked`` holds."""
+    starts, tf = _numbers(batch, row, "starts"), _numbers(batch, row, "tf")
+    places = _numbers(batch, row, "places", np.int32)
+    lengths = batch.column("lengths")[row].values.to_numpy().astype(np.int64)
     m = 100 - LENGTH_SHARE + (LENGTH_SHARE * lengths * plan.docs) // max(plan.total, 1)
     out = {}
-    for i, k in enumerate(at.to_pylist()):
-        if k is not None:
-            here = places[starts[k]:starts[k + 1]]
-            n = tf[starts[k]:starts[k + 1]].astype(np.int64)
-            out[i] = here, plan.weight[i] * ((SCALE * n) // (1000 * n + SPREAD * m[here]))
-    return col("ids").to_pylist(), out
+    for i, a, b in zip(_numbers(batch, row, "has").tolist(), starts[:-1].tolist(), starts[1:].tolist()):
+        here, n = places[a:b], tf[a:b]
+        out[i] = here, plan.weight[i] * ((SCALE * n) // (1000 * n + SPREAD * m[here]))
+    return out
 
 
 def _best(values: np.ndarray, k: int) -> np.ndarray:
@@ -145,14 +175,12 @@ def statistics(index: DataFrame, terms: list[bytes]) -> tuple[int, int, dict[byt
         df = np.zeros(len(terms), np.int64)
         for batch in batches:
             for row in range(batch.num_rows):
-                starts = batch.column("starts")[row].values.to_numpy()
-                at = pc.index_in(pa.array(terms, pa.binary()), value_set=batch.column("terms")[row].values)
-                has = np.flatnonzero(np.asarray(at.is_valid()))
-                k = at.drop_null().to_numpy()
+                starts = _numbers(batch, row, "starts")
+                has, k = _places_of(batch, row, terms)
                 df[has] += starts[k + 1] - starts[k]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(terms))), pa.array(df)], ["term", "df"])
 
-    rows = index.select("terms", "starts").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df")).collect()
+    rows = index.select("terms", "ends", "starts").mapInArrow(run, "term bigint, df bigint").groupBy("term").agg(F.sum("df")).collect()
     return n or 0, total or 0, {terms[i]: df for i, df in rows}
 
 
@@ -174,16 +202,16 @@ def plan_queries(index: DataFrame, queries: list[tuple[object, list[bytes]]]) ->
 
 
 def bounds(index: DataFrame, plan: Plan, k: int = TOP) -> DataFrame:
-    """Rows (block, maxima): greatest impacts of terms, then of pairs, -1 where a list is empty; and rows (list, best), the k
-    best values of each term and pair in a task."""
+    """Rows of blocks, with the lists of the plan's terms and maxima: greatest impacts of terms, then of pairs, 0 where a list is
+    empty, else more by 1; and rows (list, best), the k best values of each term and pair in a task."""
     n, m = len(plan.terms), len(plan.pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                _, lists = _postings(batch, row, plan)
-                most = np.full(n + m, -1, np.int64)
+                block = _asked(batch, row, plan)
+                lists, most = _postings(block, 0, plan), np.zeros(n + m, np.int64)
                 found = {i: v for i, (_, v) in lists.items()}
                 for j, (a, b) in enumerate(plan.pairs.tolist()):
                     if a in lists and b in lists:
@@ -191,18 +219,20 @@ def bounds(index: DataFrame, plan: Plan, k: int = TOP) -> DataFrame:
                         if len(x):
                             found[n + j] = lists[a][1][x] + lists[b][1][y]
                 for i, v in found.items():
-                    most[i] = v.max()
+                    most[i] = v.max() + 1
                     best[i] = _best(np.concatenate((best[i], v)) if i in best else v, k)
+                kinds = block.schema.types
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("block")[row:row + 1], pa.array([most], pa.list_(pa.int64())), pa.nulls(1, pa.int32()),
-                     pa.nulls(1, pa.list_(pa.int64()))], names)
+                    [*block.columns, pa.array([_packed(most)], pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.int64()))], names)
         if best:
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(best), pa.int64()), pa.nulls(len(best), pa.list_(pa.int64())), pa.array(list(best), pa.int32()),
+                [*(pa.nulls(len(best), t) for t in kinds), pa.nulls(len(best), pa.binary()), pa.array(list(best), pa.int32()),
                  pa.array(list(best.values()), pa.list_(pa.int64()))], names)
 
-    names = ["block", "maxima", "list", "best"]
-    return stored(index.mapInArrow(run, "block bigint, maxima array<bigint>, list int, best array<bigint>"))
+    names = ["block", "ids", "lengths", "has", "starts", "places", "tf", "maxima", "list", "best"]
+    id_kind = index.schema["ids"].dataType.simpleString()
+    return stored(index.mapInArrow(run, f"block bigint, ids {id_kind}, lengths array<int>, has binary, starts binary, places binary, "
+                                        "tf binary, maxima binary, list int, best array<bigint>"))
 
 
 def thresholds(bound: DataFrame, plan: Plan, k: int = TOP) -> np.ndarray:
@@ -260,13 +290,9 @@ def _search_block(lists: dict, size: int, most: np.ndarray, plan: Plan, q: int,
     return places, score[places]
 
 
-def answer(index: DataFrame, bound: DataFrame, plan: Plan, k: int = TOP) -> DataFrame:
+def answer(bound: DataFrame, plan: Plan, k: int = TOP) -> DataFrame:
     """(query, doc_id, score): the k best documents of each query in each task."""
-    id_kind = index.schema["ids"].dataType.elementType.simpleString()
-    maxima = bound.where("block IS NOT NULL").select("block", "maxima")
-    # Maxima of a block take far less than the block; they travel to it while they fit, else both are shuffled by block.
-    rows = max(1, (32 << 20) // (8 * (len(plan.terms) + len(plan.pairs) + 1)))
-    side = F.broadcast(maxima) if maxima.limit(rows + 1).count() <= rows else maxima
+    id_kind = bound.schema["ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = plan.floor.copy()
@@ -275,11 +301,11 @@ def answer(index: DataFrame, bound: DataFrame, plan: Plan, k: int = TOP) -> Data
         for batch in batches:
             kind = batch.schema.field("ids").type.value_type
             for row in range(batch.num_rows):
-                most = batch.column("maxima")[row].values.to_numpy()
+                most = _numbers(batch, row, "maxima") - 1
                 able = [q for q in range(len(plan.items)) if _unit_bounds(most, plan, q).sum() >= max(floor[q], 1)]
                 if not able:
                     continue
-                ids, lists = _postings(batch, row, plan)
+                ids, lists = batch.column("ids")[row].as_py(), _postings(batch, row, plan)
                 names = np.array(ids)
                 for q in able:
                     places, score = _search_block(lists, len(ids), most, plan, q, int(floor[q]))
@@ -295,7 +321,8 @@ def answer(index: DataFrame, bound: DataFrame, plan: Plan, k: int = TOP) -> Data
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(name), q, np.int32)), pa.array(name.tolist(), kind), pa.array(score)], ["query", "doc_id", "score"])
 
-    return index.join(side, "block").mapInArrow(run, f"query int, doc_id {id_kind}, score bigint")
+    blocks = bound.where("block IS NOT NULL").drop("block", "list", "best")
+    return blocks.mapInArrow(run, f"query int, doc_id {id_kind}, score bigint")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = TOP, queries: int = QUERIES, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -319,7 +346,7 @@ def search_index(index: DataFrame, items: DataFrame, k: int = TOP, queries: int
         bound = bounds(index, plan, k)
         plan.floor = thresholds(bound, plan, k)
         names = spark.createDataFrame([(i, q) for i, q in enumerate(plan.items)], f"query int, item_id {kind}")
-        found = answer(index, bound, plan, k).join(F.broadcast(names), "query").select("item_id", "doc_id", "score")
+        found = answer(bound, plan, k).join(F.broadcast(names), "query").select("item_id", "doc_id", "score")
         out = found if out is None else out.union(found)
     if out is None:
         id_kind = index.schema["ids"].dataType.elementType.simpleString()

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelwise.llm import ranked_search as R
@@ -80,3 +81,23 @@ def test_skips_documents_below_the_floor():
     places, score = R._search_block(lists, 9, np.array([50, 10, 60]), plan, 0, 55)
     assert places.tolist() == [1] and score.tolist() == [60]
     assert not len(R._search_block(lists, 9, np.array([50, 10, 60]), plan, 0, 61)[0])
+
+
+def test_blocks_are_neither_joined_nor_held_as_arrays(spark):
+    """What grows with the input stays in its task: before, blocks met their maxima in a join, and in the JVM as arrays."""
+    rng = random.Random(4)
+    docs, items = corpus(rng, 200), [(i, f"w1 w{i} DE") for i in range(9)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    index = R.build_index(d, 16)
+    assert {t for c, t in index.dtypes if c not in ("block", "ids", "lengths")} == {"binary"}
+    found = R.search_index(index, spark.createDataFrame(items, "item_id long, text string"), 5)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # the names of queries
+    assert sorted(map(tuple, found.collect())) == plain(docs, items, 5)
+
+
+@pytest.mark.parametrize("x,size", [([], 1), ([0], 1), ([255, 0], 1), ([256], 2), ([65535], 2), ([65536, 1], 4), ([1 << 32], 8), ([(1 << 62) + 3, 7], 8)])
+def test_packed_numbers(x, size):
+    raw = R._packed(np.array(x, np.int64))
+    batch = pa.RecordBatch.from_arrays([pa.array([b"odd", raw], pa.binary())], ["c"])
+    assert len(raw) == size * len(x) + 1 and R._numbers(batch, 1, "c").tolist() == x
